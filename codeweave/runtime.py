@@ -73,7 +73,7 @@ def release(spark: SparkSession) -> None:
 
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan, in bytes; no job is run."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def parts_for(df: DataFrame, per_part: int = 64 << 20, least: int | None = None) -> int:
