@@ -19,9 +19,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _PIECES = re.compile(r"""\s*[A-Za-z\x80-\U0010ffff]*[A-Za-z](?=[,.;:!?|*%$&#()"])|\s*\S+|\s+""", re.ASCII)
-_WHOLE = re.compile("[\x1c-\x1f\x85\xa0  -     　]|<\\|")
+_WHOLE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|<\\|")
 #: Distinct pieces that one Python worker keeps; further ones are encoded again when met.
 CACHE_PIECES = 700_000
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
@@ -80,7 +81,7 @@ def encoder(path: str, fold_ascii: bool = False) -> Encoder:
 def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut so that the text of each is about ``max_bytes``, or one row."""
     for batch in batches:
-        sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes)
         at = 0
         while at < batch.num_rows:
