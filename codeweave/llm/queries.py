@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweave.llm import sharding, token_files
+from codeweave.llm import license_scan, line_dedup, sharding, token_files
 
 SHARDS = 24
 
@@ -32,8 +32,16 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_table(docs, "doc_id", "text", tokenizer_file("word_bpe_49k.json"), 2, fold_ascii=True)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"), "doc_id", "text", threshold=10)
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op2_token_files": op2_token_files}
+    return {f.__name__: f for f in (op1_sharding, op2_token_files, op3_line_dedup, op8_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
