@@ -66,10 +66,13 @@ class LineRuns:
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         runtime.drop(self.spark, self._paths.pop(name))
 
-    def _all(self, names: list[str]) -> DataFrame:
+    def _merged(self, names: list[str]) -> DataFrame:
+        """The runs' rows with counts summed: a chain of full outer merge joins, as keys are unique in a run."""
         out = self.spark.createDataFrame([], _RUN) if not names else self.spark.table(names[0])
         for name in names[1:]:
-            out = out.unionByName(self.spark.table(name))
+            more = self.spark.table(name).withColumnRenamed("n", "m")
+            total = F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))
+            out = out.join(more, ["h1", "h2"], "full").select("h1", "h2", total.alias("n"))
         return out
 
     def add(self, keys: DataFrame) -> None:
@@ -84,7 +87,7 @@ class LineRuns:
             level += 1
 
     def _compact(self, names: list[str], level: int | None) -> None:
-        merged = self._all(names).groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+        merged = self._merged(names)
         old = list(names)
         reached = self._write(merged.where(F.col("n") >= self.threshold))
         self.settled.append(reached)
@@ -100,11 +103,9 @@ class LineRuns:
         """(h1, h2) of every key that reached the threshold; a plain staged table, so that a join
         against it can be split where one key is hot."""
         rest = [name for level in self.levels for name in level]
-        settled = self._all(self.settled).select("h1", "h2")
-        if rest:
-            counts = self._all(rest).groupBy("h1", "h2").agg(F.sum("n").alias("n"))
-            settled = settled.unionByName(counts.where(F.col("n") >= self.threshold).select("h1", "h2"))
-        out = runtime.stage(settled.distinct(), "common-lines")
+        # A settled key carries a count of at least the threshold into the merge.
+        counts = self._merged([*self.settled, *rest])
+        out = runtime.stage(counts.where(F.col("n") >= self.threshold).select("h1", "h2"), "common-lines")
         for name in [*rest, *self.settled]:
             self._drop(name)
         self.levels, self.settled = [[]], []
@@ -124,7 +125,8 @@ def drop_common_lines(
     runs = LineRuns(spark, threshold, fanout)
     for b in range(batches):
         own = narrow.where(F.pmod(F.xxhash64("k", "th"), F.lit(batches)) == b)
-        lines = own.select(F.monotonically_increasing_id().alias("r"), F.explode(F.array_distinct(lines_of(F.col("t")))).alias("line"))
+        own = own.select("t", F.monotonically_increasing_id().alias("r"))
+        lines = own.select("r", F.explode(F.array_distinct(lines_of(F.col("t")))).alias("line"))
         keys = lines.select("r", line_key(F.col("line")).alias("key")).where(long_enough)
         # Lines that differ only at their ends or in case meet again as one key of the same row.
         keys = keys.select("r", *_hashes(F.col("key"))).groupBy("r", "h1", "h2").agg(F.lit(1).alias("one"))
