@@ -50,7 +50,7 @@ def _map(system, path: str, dtype: np.dtype) -> np.ndarray:
 
 
 def write_token_files(
-    df: DataFrame, key: str, text: str, tokenizer: str, end_id: int, folder: str, fold_ascii: bool = False,
+    df: DataFrame, key: str, text: str, tokenizer: str, end_id: int, folder: str, drops_space: bool = False,
     per_part: int = 32 << 20,
 ) -> DataFrame:
     """Encode ``text`` in ascending ``key`` order into ``folder``; returns the staged manifest."""
@@ -69,7 +69,7 @@ def write_token_files(
 
         system, root = _open_fs(folder)
         system.create_dir(root, recursive=True)
-        enc = tokens.encoder(tokenizer, fold_ascii)
+        enc = tokens.encoder(tokenizer, drops_space)
         end = np.array([end_id], dtype=enc.dtype).tobytes()
         part = TaskContext.get().partitionId()
         stem = f"{part:06d}-{uuid.uuid4().hex[:12]}"
@@ -131,8 +131,8 @@ def read_token_files(manifest: DataFrame, folder: str, key: str) -> DataFrame:
     return spread.mapInArrow(read, f"{key} long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_table(df: DataFrame, key: str, text: str, tokenizer: str, end_id: int, fold_ascii: bool = False) -> DataFrame:
+def token_table(df: DataFrame, key: str, text: str, tokenizer: str, end_id: int, drops_space: bool = False) -> DataFrame:
     """Write the files to the shared folder and return what they say."""
     folder = runtime.scratch(df.sparkSession, "tokens")
-    manifest = write_token_files(df, key, text, tokenizer, end_id, folder, fold_ascii)
+    manifest = write_token_files(df, key, text, tokenizer, end_id, folder, drops_space)
     return read_token_files(manifest, folder, key)
