@@ -3,11 +3,12 @@
 A text is cut only where the tokenizer's own pre-tokenizer must cut as well, and every distinct
 piece is encoded once by the tokenizers library and kept in a bounded per-worker cache:
 
-* before white space that follows something else than white space, and
-* between an ASCII letter and one of ``,.;:!?|*%$&#()"`` (never an apostrophe, which may begin a
-  contraction, nor ``-<>=``).
+* a tokenizer that drops white space is given the words between white space;
+* a byte-level one, whose words carry the space before them, is given the words with the single
+  space or line feed before them.  A text with other white space than single spaces and line feeds
+  between words is cut by a slower pattern, before white space that follows something else.
 
-Texts in which that could go wrong (white space outside ASCII, a special token's ``<|``) are
+Texts in which that could go wrong (white space outside ASCII, a special token's ``<|``, NUL) are
 encoded whole.
 """
 
@@ -15,66 +16,88 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_PIECES = re.compile(r"""\s*[A-Za-z\x80-\U0010ffff]*[A-Za-z](?=[,.;:!?|*%$&#()"])|\s*\S+|\s+""", re.ASCII)
-_WHOLE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|<\\|")
+_RUNS = re.compile(r"\s*\S+|\s+", re.ASCII)
+_WHOLE = re.compile("[\x00\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|<\\|")
+_ODD_SPACE = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c")
 #: Distinct pieces that one Python worker keeps; further ones are encoded again when met.
-CACHE_PIECES = 700_000
+CACHE_PIECES = 1_000_000
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
 class Encoder:
-    """Token ids of texts as little-endian unsigned integers of ``width`` bytes."""
+    """Token ids of texts as little-endian unsigned integers of ``width`` bytes.
 
-    def __init__(self, path: str, fold_ascii: bool) -> None:
+    ``drops_space``: the tokenizer ignores white space and folds case, as a word-level one does.
+    Cache keys: a word for itself (``drops_space``) or for a space and the word; ``\n`` and a word
+    for just that; NUL and a string for that string.
+    """
+
+    def __init__(self, path: str, drops_space: bool) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
-        self.fold_ascii = fold_ascii
+        self.drops_space = drops_space
         self.cache: dict[str, bytes] = {}
 
-    def pieces(self, text: str) -> list[str]:
+    def keys(self, text: str) -> list[str]:
         if _WHOLE.search(text):
-            return [text]
-        if self.fold_ascii:  # the tokenizer folds case itself; doing it early makes pieces repeat
-            text = text.encode().lower().decode()
-        return _PIECES.findall(text)
+            return ["\0" + text]
+        if self.drops_space:
+            # The tokenizer folds case itself; folding ASCII early makes words repeat.
+            return text.encode().lower().decode().split()
+        if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _ODD_SPACE):
+            return ["\0" + run for run in _RUNS.findall(text)]
+        lines = text.split("\n")
+        out = lines[0].split(" ")
+        out[0] = "\0" + out[0]
+        for line in lines[1:]:
+            more = line.split(" ")
+            more[0] = "\n" + more[0]
+            out += more
+        return out
+
+    def _string(self, key: str) -> str:
+        if key[0] == "\0":
+            return key[1:]
+        return key if self.drops_space or key[0] == "\n" else " " + key
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        cut = [self.pieces(t) if t else [] for t in texts]
+        cut = [self.keys(t) if t else [] for t in texts]
         cache = self.cache
-        new = {p for pieces in cut for p in pieces if p not in cache}
-        extra: dict[str, bytes] = {}
-        if new:
-            ordered = list(new)
-            for at in range(0, len(ordered), 4096):
-                some = ordered[at : at + 4096]
-                for piece, enc in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                    ids = np.array(enc.ids, dtype=self.dtype).tobytes()
-                    if len(cache) < CACHE_PIECES and len(piece) <= 64:
-                        cache[piece] = ids
-                    else:
-                        extra[piece] = ids
-        if extra:
-            get = lambda p: cache[p] if p in cache else extra[p]
-        else:
-            get = cache.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in cut]
-
-
-def encoder(path: str, fold_ascii: bool = False) -> Encoder:
+        found = [list(map(cache.get, keys)) for keys in cut]
+        lacking = [i for i, ids in enumerate(found) if None in ids]
+        if lacking:
+            new = list({key for i in lacking for key, ids in zip(cut[i], found[i]) if ids is None})
+            made: dict[str, bytes] = {}
+            for at in range(0, len(new), 4096):
+                some = new[at : at + 4096]
+                for key, enc in zip(some, self.tokenizer.encode_batch_fast(list(map(self._string, some)), add_special_tokens=False)):
+                    ids = enc.ids
+                    made[key] = struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
+            for i in lacking:
+                found[i] = [made[key] if ids is None else ids for key, ids in zip(cut[i], found[i])]
+            room = CACHE_PIECES - len(cache)
+            if room > 0:
+                cache.update((key, ids) for key, ids in islice(made.items(), room) if len(key) <= 64)
+        return list(map(b"".join, found))
+
+
+def encoder(path: str, drops_space: bool = False) -> Encoder:
     """This worker's encoder for a tokenizer file."""
-    key = (path, fold_ascii)
+    key = (path, drops_space)
     if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(path, fold_ascii)
+        _ENCODERS[key] = Encoder(path, drops_space)
     return _ENCODERS[key]
 
 
