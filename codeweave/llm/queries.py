@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweave.llm import license_scan, line_dedup, packing, sharding, token_files
+from codeweave.llm import embedding_dedup, license_scan, line_dedup, packing, quality, sharding, token_files
 
 SHARDS = 24
 
@@ -51,6 +51,15 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"), "doc_id", "text", threshold=10)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id", "text")
+
+
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return embedding_dedup.near_duplicates(vectors, "vec_id", "embedding", "label", threshold=0.98)
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -61,7 +70,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_token_files, op3_line_dedup, op8_license_scan, op9_packing)}
+    return {f.__name__: f for f in (op1_sharding, op2_token_files, op3_line_dedup, op5_quality, op7_embedding_dedup, op8_license_scan, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
