@@ -72,8 +72,12 @@ def release(spark: SparkSession) -> None:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan, in bytes; no job is run."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's size estimate of all that a plan reads, in bytes; no job is run.
+
+    The leaves are summed, as the estimate of a join is the product of its sides.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def parts_for(df: DataFrame, per_part: int = 64 << 20, least: int | None = None) -> int:
