@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweave.llm import embedding_dedup, license_scan, line_dedup, packing, quality, sharding, token_files
+from codeweave.llm import embedding_dedup, license_scan, line_dedup, minhash_dedup, packing, quality, sharding, token_files
 
 SHARDS = 24
 
@@ -69,8 +69,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, "doc_id", "text", tokenizer_file("byte_bpe_50k.json"), 2, capacity=1024)
 
 
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicate_table(table(spark, sf_dir, "documents"), "doc_id", "text", percent=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_token_files, op3_line_dedup, op5_quality, op7_embedding_dedup, op8_license_scan, op9_packing)}
+    return {f.__name__: f for f in (op1_sharding, op2_token_files, op3_line_dedup, op5_quality, op7_embedding_dedup, op8_license_scan, op9_packing, op10_minhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -94,9 +94,7 @@ def shingle_sets(column: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarr
         if n >= width:
             sets.append(np.unique(s[a : b - width + 1]))
         elif n:
-            short = np.zeros(1, dtype=np.uint64)
-            for j in range(n):
-                short += h[a + j] * _PLACE[j]
+            short = (h[a:b] * _PLACE[:n]).sum(keepdims=True)
             sets.append(mix(short + np.uint64(n)))
         else:
             sets.append(np.empty(0, np.uint64))
