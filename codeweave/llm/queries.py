@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweave.llm import embedding_dedup, license_scan, line_dedup, minhash_dedup, packing, quality, sharding, token_files
+from codeweave.llm import decontaminate, embedding_dedup, license_scan, line_dedup, minhash_dedup, packing, quality, sharding, token_files
 
 SHARDS = 24
 
@@ -51,6 +51,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"), "doc_id", "text", threshold=10)
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.contaminated(docs, "doc_id", "text", items, "item_id", "text")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id", "text")
 
@@ -74,7 +79,7 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_token_files, op3_line_dedup, op5_quality, op7_embedding_dedup, op8_license_scan, op9_packing, op10_minhash_dedup)}
+    return {f.__name__: f for f in (op1_sharding, op2_token_files, op3_line_dedup, op4_decontaminate, op5_quality, op7_embedding_dedup, op8_license_scan, op9_packing, op10_minhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
