@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweave.llm import decontaminate, embedding_dedup, license_scan, line_dedup, minhash_dedup, packing, quality, sharding, token_files
+from codeweave.llm import decontaminate, embedding_dedup, license_scan, line_dedup, minhash_dedup, packing, pitman_yor, quality, sharding, token_files
 
 SHARDS = 24
 
@@ -60,6 +60,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id", "text")
 
 
+def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score_table(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return embedding_dedup.near_duplicates(vectors, "vec_id", "embedding", "label", threshold=0.98)
@@ -79,7 +83,7 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_token_files, op3_line_dedup, op4_decontaminate, op5_quality, op7_embedding_dedup, op8_license_scan, op9_packing, op10_minhash_dedup)}
+    return {f.__name__: f for f in (op1_sharding, op2_token_files, op3_line_dedup, op4_decontaminate, op5_quality, op6_pitman_yor, op7_embedding_dedup, op8_license_scan, op9_packing, op10_minhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
