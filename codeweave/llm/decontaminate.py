@@ -14,7 +14,7 @@ in its turn, so a broadcast does not grow with the item table.
 
 Defined cases: items or documents of fewer words than a shingle have their whole word sequence as
 their only shingle; null, empty and blank texts contain nothing and are contained in nothing;
-repeated documents and items are reported each; null ids are ordinary values; empty tables give no
+repeated documents are reported each, equal items once; null ids are ordinary values; empty tables give no
 rows; other columns are carried by ``drop_contaminated`` whatever their names.
 """
 
@@ -160,7 +160,7 @@ def find_items(
     """
     spark = df.sparkSession
     tokens.bound_batches(spark)
-    sized = items.select(items[item_key].cast("long").alias("i"), items[item_text].alias("t"), F.coalesce(F.octet_length(items[item_text]), F.lit(0)).cast("long").alias("b"))
+    sized = items.select(items[item_key].cast("long").alias("i"), items[item_text].alias("t"), F.coalesce(F.octet_length(items[item_text]), F.lit(0)).cast("long").alias("b")).distinct()
     total = sized.agg(F.sum("b")).first()[0] or 0
     slices = max(1, -(-total // SLICE_BYTES))
     rows = df.select(df[key].cast("long").alias("k"), F.xxhash64(df[text]).alias("th"), df[text].alias("t"))
