@@ -4,8 +4,9 @@ Documents with equal shingle sets are one representative.  Each representative h
 minwise hashes.  In each of several independent trees a representative walks down from the root: a
 node chooses (by a hash of the path so far) one or two signature positions, and the values there
 name the children to enter.  Similar documents choose the same children with a probability equal to
-their similarity at each step, so they meet in some leaf of some tree, while others part.  Nodes
-that are still large branch further.  Small nodes are compared exhaustively on signatures, which
+their similarity at each step, so they meet in some leaf of some tree, while others part.  In nodes
+that are still large, members are compared with one of them, the leader; those that resemble it
+join its candidates, and those that are not close to it branch further.  Small nodes are compared exhaustively on signatures, which
 leaves a spanning forest of likely links; what it connects is a candidate cluster, and links are
 confirmed within clusters on the full shingle sets.
 
@@ -42,8 +43,11 @@ TREES = 6
 BRANCHES = (2, 1, 2, 1, 2, 1, 1, 1)
 DEEPER = (2, 1, 2, 1)
 NODE = 64
+#: Estimated similarity with the leader of a large node from which a member joins its candidate
+#: cluster, and from which it need not branch further.
+STAR, CLOSE = 0.55, 0.8
 #: Shingles of a block of a cluster; a task holds two blocks.
-BLOCK = 1_000_000
+BLOCK = 300_000
 LEADERS = 8
 NULL_ID = -(1 << 63)
 _SEEDS = shingles.seeds(WIDTH, 10)
@@ -183,17 +187,32 @@ def _candidates(reps: DataFrame, trees: int, percent: int) -> DataFrame:
         if large.isEmpty():
             break
         rest = entries.join(large, "node")
-        if last:  # a dense node: its members are one candidate cluster
+        if last:  # what is still large: its members are one candidate cluster
             found.append(runtime.stage(rest.select("rid", F.col("leader").alias("root")).distinct(), "dense"))
-        else:
-            entries = runtime.stage(_branch_further(rest.select("node", "rid"), reps, level).distinct(), "paths")
-            level += len(DEEPER)
+            break
+        near = runtime.stage(_near_leader(rest, reps), "near-leader")
+        found.append(near.where(F.col("near") >= STAR).select("rid", F.col("leader").alias("root")).distinct())
+        # Members this close to the leader have met whomever they may be linked with; the others branch.
+        entries = runtime.stage(_branch_further(near.where(F.col("near") < CLOSE).select("node", "rid"), reps, level).distinct(), "paths")
+        level += len(DEEPER)
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
     return out
 
 
+def _near_leader(rest: DataFrame, reps: DataFrame) -> DataFrame:
+    """(node, rid, leader, near): each member's estimated similarity with the leader of its large node."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = (_unpack(batch.column("sig").to_pylist()) == _unpack(batch.column("led").to_pylist())).mean(axis=1)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "rid", "leader")), pa.array(near)], names=["node", "rid", "leader", "near"])
+
+    both = rest.join(reps.select("rid", "sig"), "rid").join(reps.select(F.col("rid").alias("leader"), F.col("sig").alias("led")), "leader")
+    return both.select("node", "rid", "leader", "sig", "led").mapInArrow(compare, "node long, rid long, leader long, near double")
+
+
 def _compare_nodes(own: DataFrame, percent: int) -> DataFrame:
     """Compare every pair of a small node on signatures; report what connects them."""
     slack = percent / 100 - 0.22
