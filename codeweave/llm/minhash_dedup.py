@@ -324,7 +324,8 @@ def _pairs_of_blocks(some: DataFrame, every: DataFrame) -> DataFrame:
 def near_duplicates(
     df: DataFrame, key: str, text: str, percent: int = 85, width: int = 5, trees: int = TREES
 ) -> DataFrame:
-    """Per row: k (id, NULL_ID for null), th, n_shingles, component (least k of its group)."""
+    """Per row: k (id, NULL_ID for null), th (hash of the text), n_shingles, root (names the group; null
+    without words), component (least k of the group)."""
     rows = runtime.stage(sketches(df, key, text, width), "sketches")
     reps = (
         rows.where("n > 0")
@@ -341,9 +342,10 @@ def near_duplicates(
         reps.select("rid", "s1", "s2", "k").join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid")), "rooted"
     )
     least = rooted.groupBy("root").agg(F.min("k").alias("component"))
-    found = rooted.join(least, "root").select("s1", "s2", "component")
-    linked = rows.where("n > 0").join(found, ["s1", "s2"]).select("k", "th", F.col("n").alias("n_shingles"), "component")
-    return linked.unionByName(rows.where("n = 0").select("k", "th", F.col("n").alias("n_shingles"), F.col("k").alias("component")))
+    found = rooted.join(least, "root").select("s1", "s2", "root", "component")
+    linked = rows.where("n > 0").join(found, ["s1", "s2"]).select("k", "th", F.col("n").alias("n_shingles"), "root", "component")
+    alone = rows.where("n = 0").select("k", "th", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("root"), F.col("k").alias("component"))
+    return linked.unionByName(alone)
 
 
 def near_duplicate_table(df: DataFrame, key: str, text: str, percent: int = 85, width: int = 5) -> DataFrame:
@@ -354,9 +356,18 @@ def near_duplicate_table(df: DataFrame, key: str, text: str, percent: int = 85,
     )
 
 
-def keep_one(df: DataFrame, key: str, text: str, percent: int = 80, width: int = 5) -> DataFrame:
-    """The rows of ``df``, one of each group of near-duplicates (that of the least id)."""
-    groups = near_duplicates(df, key, text, percent, width)
-    stay = groups.where("k = component").select(F.col("k").alias("_k"), F.col("th").alias("_th")).distinct()
-    rows = df.select(F.struct("*").alias("row"), F.coalesce(df[key].cast("long"), F.lit(NULL_ID)).alias("_k"), F.xxhash64(df[text]).alias("_th"))
-    return rows.join(stay, ["_k", "_th"], "left_semi").select("row.*")
+def keep_one(df: DataFrame, key: str, text: str, percent: int = 80, width: int = 5, trees: int = TREES) -> DataFrame:
+    """The rows of ``df``, one of each group of near-duplicates: that of the least id, and of rows that
+    share this id the one of least text hash.  Rows without words all stay."""
+    groups = near_duplicates(df, key, text, percent, width, trees)
+    first = groups.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct("k", "th")).alias("one")).select("one.k", "one.th")
+    stay = first.unionByName(groups.where("n_shingles = 0").select("k", "th").distinct())
+    stay = stay.select(F.col("k").alias("_k"), F.col("th").alias("_th"))
+    rows = df.select(
+        F.struct("*").alias("row"), F.coalesce(df[key].cast("long"), F.lit(NULL_ID)).alias("_k"), F.xxhash64(df[text]).alias("_th"),
+        (F.length(F.regexp_replace(F.coalesce(df[text], F.lit("")), "[ \\t\\n\\x0b\\f\\r]+", "")) == 0).alias("_blank"),
+    )
+    rows = rows.join(stay, ["_k", "_th"], "left_semi")
+    each = F.when(F.col("_blank"), F.monotonically_increasing_id()).otherwise(F.lit(0))
+    one = rows.withColumn("_each", each).groupBy("_k", "_th", "_each").agg(F.first("row").alias("row"))
+    return one.select("row.*")
