@@ -44,8 +44,8 @@ HEAVY, SECTIONS = 512, 64
 SAMPLES = 2
 EXACT = 12
 STRENGTH = 1.0
-BUCKET_TOKENS = 1_500_000
-CHUNK_BYTES, CHUNK_DOCS = 12 << 20, 32_000
+BUCKET_TOKENS = 600_000
+CHUNK_BYTES, CHUNK_DOCS = 8 << 20, 32_000
 _END = np.uint64(0x1F83D9ABFB41BD6B)
 _START = np.uint64(0x5BE0CD19137E2179)
 #: Layout of a totals vector.
@@ -89,7 +89,7 @@ def token_stream(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     earlier[first] = _START
     near = (before >> np.uint64(20)) % np.uint64(CLASSES)
     far = (earlier >> np.uint64(40)) % np.uint64(SPLIT)
-    return w, (near * np.uint64(SPLIT) + far).astype(np.uint16), np.repeat(np.arange(n), count), count
+    return w, (near * np.uint64(SPLIT) + far).astype(np.uint16), np.repeat(np.arange(n, dtype=np.int32), count), count
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]):
@@ -98,7 +98,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]):
     size = docs = 0
 
     def join():
-        base = np.cumsum([0, *[len(x[0]) for x in held]])
+        base = np.cumsum([0, *[len(x[0]) for x in held]], dtype=np.int32)
         return (
             [k for x in held for k in x[0]], np.concatenate([x[1] for x in held]), np.concatenate([x[2][0] for x in held]),
             np.concatenate([x[2][1] for x in held]), np.concatenate([x[2][2] + b for x, b in zip(held, base)]),
