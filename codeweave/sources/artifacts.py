@@ -90,7 +90,7 @@ class Artifacts:
         """The same table through Spark's own JSON reader, for documents beyond the driver."""
         if not self.has(FILE_INDEX):
             raise ArtifactNotFound(self.path(FILE_INDEX))
-        lines = self.spark.read.option("wholetext", True).text(self.path(FILE_INDEX))
+        lines = self.spark.read.text(self.path(FILE_INDEX), wholetext=True)
         entries = lines.select(F.explode(F.from_json("value", f"map<string,{schema.STORED_ENTRY}>")).alias("path", "e")).select("path", "e.*")
         return entries.withColumn("imports", F.transform("imports", lambda i: F.struct(i["path"].alias("path"), i["internal"].alias("internal"), F.lit("").alias("resolved_path"))))
 
