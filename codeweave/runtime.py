@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LIVE: list[str] = []
+#: From here on an estimate stands for a size that is not known.
+UNKNOWN_BYTES = 1 << 60
 
 
 def session(app: str = "codeweave", cpus: str | int = "*", **conf: str) -> SparkSession:
@@ -81,6 +83,10 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def parts_for(df: DataFrame, per_part: int = 64 << 20, least: int | None = None) -> int:
-    """Partitions that keep each at about ``per_part`` estimated bytes, never fewer than the session's."""
+    """Partitions that keep each at about ``per_part`` estimated bytes, never fewer than the session's.
+
+    A plan whose size Catalyst does not know (rows from the driver) gets no more than it has now.
+    """
     least = least if least is not None else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, -(-input_bytes(df) // per_part))
+    size = input_bytes(df)
+    return max(least, df.rdd.getNumPartitions() if size >= UNKNOWN_BYTES else -(-size // per_part))
