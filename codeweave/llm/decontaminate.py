@@ -181,7 +181,7 @@ def find_items(
 def _matcher(shipped, threshold: float):
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, ids = shipped.value
-        for batch in tokens.slices(batches, "t", 2 << 20):
+        for batch in tokens.slices(batches, "t", 512 << 10):
             got = matches_in(index, batch.column("t"), threshold)
             if got:
                 at = pa.array([g[0] for g in got])

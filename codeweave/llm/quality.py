@@ -200,7 +200,7 @@ def fit(
 
 
 def _featurise(batches: Iterator[pa.RecordBatch], text: str):
-    for batch in tokens.slices(batches, text, 2 << 20):
+    for batch in tokens.slices(batches, text, 512 << 10):
         yield batch, features(batch.column(text))
 
 
