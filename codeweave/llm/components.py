@@ -14,25 +14,30 @@ from pyspark.sql import functions as F
 from codeweave import runtime
 
 
+#: Rounds after which the labels so far are written.
+HELD = 4
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of ``edges`` (two long columns); root is the least node reachable."""
     edges = runtime.stage(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct(), "edges")
-    labels = None
+    labels, rounds = None, 0
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # A function of the round's written edges, so it can be made again wherever it is needed.
         parent = both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("root"))
-        parent = runtime.stage(parent, "parents")
         if labels is None:
             labels = parent
         else:
             up = parent.select(F.col("node").alias("root"), F.col("root").alias("higher"))
-            labels = runtime.stage(
-                labels.join(up, "root", "left").select("node", F.coalesce("higher", "root").alias("root")), "labels"
-            )
+            labels = labels.join(up, "root", "left").select("node", F.coalesce("higher", "root").alias("root"))
+        rounds += 1
+        if rounds % HELD == 0:
+            labels = runtime.stage(labels, "labels")
         pa = parent.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         pb = parent.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         moved = edges.join(pa, "a").join(pb, "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
         edges = runtime.stage(moved.distinct(), "edges")
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return labels
+    return runtime.stage(labels, "labels")

@@ -116,7 +116,7 @@ def sketches(df: DataFrame, key: str, text: str, width: int = 5) -> DataFrame:
     rows = df.select(F.coalesce(df[key].cast("long"), F.lit(NULL_ID)).alias("k"), F.xxhash64(df[text]).alias("th"), df[text].alias("t"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tokens.slices(batches, "t", 2 << 20):
+        for batch in tokens.slices(batches, "t", 512 << 10):
             flat, off = shingles.shingle_sets(batch.column("t"), width)
             run = np.zeros((2, len(flat) + 1), dtype=np.uint64)
             for j, salt in enumerate((0x5851F42D4C957F2D, 0x14057B7EF767814F)):
@@ -182,13 +182,13 @@ def _candidates(reps: DataFrame, trees: int, percent: int) -> DataFrame:
         # Trees often gather the same members; one node of each such set is enough.
         small = sized.where(F.col("members") <= NODE).groupBy("digest", "members", "leader").agg(F.min("node").alias("node"))
         own = entries.join(small.select("node"), "node").join(reps.select("rid", "sig"), "rid").select("node", "rid", "sig")
-        found.append(runtime.stage(_compare_nodes(own, percent), "likely"))
+        found.append(_compare_nodes(own, percent))
         large = sized.where(F.col("members") > NODE).groupBy("digest", "members").agg(F.min_by(F.struct("node", "leader"), "node").alias("x")).select("x.node", "x.leader")
         if large.isEmpty():
             break
         rest = entries.join(large, "node")
         if last:  # what is still large: its members are one candidate cluster
-            found.append(runtime.stage(rest.select("rid", F.col("leader").alias("root")).distinct(), "dense"))
+            found.append(rest.select("rid", F.col("leader").alias("root")).distinct())
             break
         near = runtime.stage(_near_leader(rest, reps), "near-leader")
         found.append(near.where(F.col("near") >= STAR).select("rid", F.col("leader").alias("root")).distinct())
@@ -251,7 +251,7 @@ def _sets(df: DataFrame, key: str, text: str, wanted: DataFrame, width: int) ->
     one = rows.join(wanted, ["k", "th"]).groupBy("rid", "cluster").agg(F.min("t").alias("t"))
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tokens.slices(batches, "t", 2 << 20):
+        for batch in tokens.slices(batches, "t", 512 << 10):
             flat, off = shingles.shingle_sets(batch.column("t"), width)
             sets = [flat[a:b].tobytes() for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
             yield pa.RecordBatch.from_arrays(
