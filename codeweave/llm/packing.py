@@ -87,6 +87,8 @@ def _round(items: DataFrame, capacity: int, full: int) -> DataFrame:
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = [(n, rids) for frame in frames for n, rids in zip(frame["len"].tolist(), frame["rids"].tolist())]
+        if not own:
+            return
         own.sort(key=lambda x: (-x[0], x[1][0]))
         bins = best_fit([n for n, _ in own], capacity)
         size = [sum(own[i][0] for i in b) for b in bins]
