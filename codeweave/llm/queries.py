@@ -7,25 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweave.llm import decontaminate, embedding_dedup, license_scan, line_dedup, minhash_dedup, packing, pitman_yor, quality, sharding, token_files
+from codeweave.llm import decontaminate, embedding_dedup, license_scan, line_dedup, minhash_dedup, oracle, packing, pitman_yor, quality, sharding, token_files
 
 SHARDS = 24
 
-OP3_SQL = """
-WITH lines AS (
-  SELECT doc_id, u.pos, u.line, translate(trim(u.line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
-         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
-  FROM (SELECT doc_id, unnest(list_transform(string_split(coalesce(text, ''), chr(10)), lambda l, i: {'pos': i, 'line': l})) AS u FROM documents)
-), common AS (
-  SELECT k FROM lines WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10
-), marked AS (
-  SELECT l.doc_id, l.pos, l.line, c.k IS NOT NULL AS gone FROM lines l LEFT JOIN common c ON l.k = c.k
-)
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
-"""
-
 
 def tokenizer_file(name: str) -> str:
     """Path of a public tokenizer file, wherever the installed package keeps it."""
@@ -87,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL}
+    return dict(oracle.SQL)
