@@ -7,8 +7,10 @@
 
 A training token is a customer of a third-level restaurant; a table there sends one customer to the
 parent.  Customers of a word in a restaurant are seated by the Chinese restaurant process and then
-reseated one at a time by Gibbs sampling; words of more than ``EXACT`` customers in a restaurant are
-reseated in blocks whose size is a sixteenth of those seated (new tables of a block are binomial).
+reseated one at a time by Gibbs sampling.  Words of more than ``EXACT`` customers in a restaurant are
+reseated together, a blocked Gibbs step: given all else their tables t have the probability
+base^t S(c, t), S the generalised Stirling numbers of the discount, from which t is drawn exactly up
+to ``STIRLING`` customers, and beyond it from the limit for many customers, 1 + Poisson(base / d).
 ``SAMPLES`` seatings are drawn one after the other, each given the restaurants' totals of the one
 before, and the score averages their predictive probabilities.
 
@@ -42,7 +44,7 @@ CLASSES, SPLIT = 1 << 11, 1 << 3
 WIDE = CLASSES * SPLIT
 HEAVY, SECTIONS = 512, 64
 SAMPLES = 2
-EXACT = 12
+EXACT, STIRLING = 12, 512
 STRENGTH = 1.0
 BUCKET_TOKENS = 600_000
 CHUNK_BYTES, CHUNK_DOCS = 8 << 20, 32_000
@@ -253,10 +255,6 @@ def _totals(types: Types, t2: np.ndarray, k1: np.ndarray, t1: np.ndarray, t0: np
     return out
 
 
-def _new_table(base: np.ndarray, discount: float, seated: np.ndarray, tables: np.ndarray) -> np.ndarray:
-    return base / (base + np.maximum(seated - discount * tables, 1e-9))
-
-
 def seat(c: np.ndarray, base: np.ndarray, discount: float, rng: np.random.Generator, sweeps: int = 1) -> np.ndarray:
     """Tables of each row's ``c`` customers of one word; ``base`` is (strength + discount * tables of
     the restaurant) * the parent's probability of the word."""
@@ -271,14 +269,34 @@ def seat(c: np.ndarray, base: np.ndarray, discount: float, rng: np.random.Genera
     return t
 
 
+_STIRLING: dict[float, np.ndarray] = {}
+
+
+def _log_stirling(discount: float) -> np.ndarray:
+    """log S(n, t) of all 0 < t <= n <= ``STIRLING``; -inf elsewhere."""
+    if discount not in _STIRLING:
+        t = np.arange(STIRLING + 1)
+        s = np.full((STIRLING + 1, STIRLING + 1), -np.inf, dtype=np.float32)
+        s[1, 1] = 0
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for n in range(1, STIRLING):
+                stay = np.where(t <= n, np.log(np.maximum(n - discount * t, 1e-300)) + s[n], -np.inf)
+                s[n + 1] = np.logaddexp(stay, np.concatenate(([-np.inf], s[n, :-1])))
+        _STIRLING[discount] = s
+    return _STIRLING[discount]
+
+
 def _seat_blocks(c: np.ndarray, base: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    t, seated = np.ones(len(c), dtype=np.int64), np.ones(len(c), dtype=np.int64)
-    left = np.arange(len(c))
-    while len(left):
-        step = np.minimum(np.maximum(1, seated[left] // 16), c[left] - seated[left])
-        t[left] += rng.binomial(step, _new_table(base[left], discount, seated[left], t[left]))
-        seated[left] += step
-        left = left[seated[left] < c[left]]
+    t = np.minimum(1 + rng.poisson(base / discount), c)
+    few = np.flatnonzero(c <= STIRLING)
+    few = few[np.argsort(c[few], kind="stable")]
+    stirling, tables = _log_stirling(discount), np.arange(STIRLING + 1)
+    for at in range(0, len(few), 1024):
+        rows = few[at : at + 1024]
+        most = int(c[rows].max()) + 1
+        p = stirling[c[rows], :most] + np.log(base[rows]).astype(np.float32)[:, None] * tables[:most].astype(np.float32)
+        run = np.cumsum(np.exp(p - p.max(axis=1, keepdims=True)), axis=1, dtype=np.float32)
+        t[rows] = np.minimum((run < (rng.random(len(rows)) * run[:, -1])[:, None]).sum(axis=1), c[rows])
     return t
 
 
