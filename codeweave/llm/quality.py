@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from codeweave.llm import shingles, tokens
 
 SAMPLE = 16_000
+#: Least number of training steps, so that a small sample is fitted as closely as a large one.
+STEPS = 500
 WORDS = 1 << 14
 BINS = 12
 PRIOR = 0.7
@@ -159,6 +161,7 @@ def fit(
     if len(y) == 0 or y.min() == y.max():
         return FactorisationMachine(0.0, np.zeros(0), np.zeros((0, 0)), PRIOR)
     rng = np.random.default_rng(seed)
+    epochs = max(epochs, -(-STEPS // -(-len(y) // batch)))
     size = FEATURES
     theta = np.zeros((size, rank + 1), dtype=np.float32)
     theta[:, 1:] = rng.normal(0, 0.05, (size, rank))
