@@ -29,6 +29,8 @@ _WHOLE = re.compile("[\x00\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f
 _ODD_SPACE = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c")
 #: Distinct pieces that one Python worker keeps; further ones are encoded again when met.
 CACHE_PIECES = 1_000_000
+#: Words that are encoded in one call.
+TOGETHER = 64
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
@@ -72,6 +74,26 @@ class Encoder:
             return key[1:]
         return key if self.drops_space or key[0] == "\n" else " " + key
 
+    def _make(self, keys: list[str], made: dict[str, bytes]) -> None:
+        """Encode new pieces: whole strings one by one, words many at a time, cut apart by their offsets."""
+        alone = [k for k in keys if k[0] == "\0"]
+        kind = "H" if self.width == 2 else "I"
+        for key, enc in zip(alone, self.tokenizer.encode_batch_fast(list(map(self._string, alone)), add_special_tokens=False)):
+            ids = enc.ids
+            made[key] = struct.pack(f"<{len(ids)}{kind}", *ids)
+        words = [k for k in keys if k[0] != "\0"]
+        gap = " " if self.drops_space else ""
+        for at in range(0, len(words), TOGETHER * 16):
+            groups = [words[i : i + TOGETHER] for i in range(at, min(at + TOGETHER * 16, len(words)), TOGETHER)]
+            strings = [list(map(self._string, g)) for g in groups]
+            for group, parts, enc in zip(groups, strings, self.tokenizer.encode_batch([gap.join(p) for p in strings], add_special_tokens=False)):
+                first = np.cumsum([0, *[len(p) + len(gap) for p in parts]])
+                where = [o[0] for o in enc.offsets]
+                cuts = np.searchsorted(where, first).tolist()
+                flat = np.array(enc.ids, dtype=self.dtype)
+                for key, a, b in zip(group, cuts[:-1], cuts[1:]):
+                    made[key] = flat[a:b].tobytes()
+
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         cut = [self.keys(t) if t else [] for t in texts]
         cache = self.cache
@@ -81,10 +103,7 @@ class Encoder:
             new = list({key for i in lacking for key, ids in zip(cut[i], found[i]) if ids is None})
             made: dict[str, bytes] = {}
             for at in range(0, len(new), 4096):
-                some = new[at : at + 4096]
-                for key, enc in zip(some, self.tokenizer.encode_batch_fast(list(map(self._string, some)), add_special_tokens=False)):
-                    ids = enc.ids
-                    made[key] = struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
+                self._make(new[at : at + 4096], made)
             for i in lacking:
                 found[i] = [made[key] if ids is None else ids for key, ids in zip(cut[i], found[i])]
             room = CACHE_PIECES - len(cache)
