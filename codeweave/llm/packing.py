@@ -66,7 +66,7 @@ def cut(df: DataFrame, key: str, text: str, tokenizer: str, end_id: int, capacit
         rid = TaskContext.get().partitionId() << 33
         for batch in tokens.slices(batches, "t"):
             out: list[tuple] = []
-            for k, ids in zip(batch.column("k").to_pylist(), enc.encode(batch.column("t").to_pylist())):
+            for k, ids in zip(batch.column("k").to_pylist(), enc.encode(batch.column("t"))):
                 flat = np.frombuffer(ids + end, dtype=enc.dtype).astype("<u4")
                 n = len(flat)
                 first = (n - 1) % capacity + 1

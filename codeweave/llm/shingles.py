@@ -52,14 +52,16 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat, off - off[0]
 
 
-def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word hashes, n + 1 word offsets of the texts, start and end byte of each word)."""
-    flat, off = buffers(column)
+def fold(flat: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z in lower case."""
+    return _FOLD[flat]
+
+
+def spans(flat: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) byte of every word of the texts that ``off`` cuts ``flat`` into."""
     n = len(flat)
     if n == 0:
-        none = np.empty(0, np.int64)
-        return np.empty(0, np.uint64), np.zeros(len(off), np.int64), none, none
-    flat = _FOLD[flat]
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     solid = ~_SPACE[flat]
     first = np.empty(n, dtype=bool)
     first[0] = True
@@ -68,16 +70,26 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     last = np.empty(n, dtype=bool)
     last[-1] = True
     last[:-1] = ~solid[1:]
-    ends_at = off[1:][off[1:] > 0] - 1
-    last[ends_at] = True
-    starts = np.flatnonzero(first & solid)
-    ends = np.flatnonzero(last & solid) + 1
+    last[off[1:][off[1:] > 0] - 1] = True
+    return np.flatnonzero(first & solid), np.flatnonzero(last & solid) + 1
+
+
+def hashes(flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of every stretch of bytes, from one running sum."""
+    n = len(flat)
     up, down = _power(n)
     run = np.empty(n + 1, dtype=np.uint64)
     run[0] = 0
     np.cumsum(_BYTE[flat] * up[:n], out=run[1:])
-    h = mix((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return h, np.searchsorted(starts, off).astype(np.int64), starts, ends
+    return mix((run[end] - run[start]) * down[start] + (end - start).astype(np.uint64)) if len(start) else np.empty(0, np.uint64)
+
+
+def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word hashes, n + 1 word offsets of the texts, start and end byte of each word)."""
+    flat, off = buffers(column)
+    flat = fold(flat)
+    start, end = spans(flat, off)
+    return hashes(flat, start, end), np.searchsorted(start, off).astype(np.int64), start, end
 
 
 def shingle_sets(column: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -78,7 +78,7 @@ def write_token_files(
             if out is None:
                 out = {k: system.open_output_stream(f"{root}/{k}-{stem}.bin") for k in ("tokens", "offsets", "docs")}
                 out["offsets"].write(np.zeros(1, "<u8").tobytes())
-            ids = [x + end for x in enc.encode(batch.column("t").to_pylist())]
+            ids = [x + end for x in enc.encode(batch.column("t"))]
             ends = offset + np.cumsum([len(x) // enc.width for x in ids], dtype="<u8")
             out["tokens"].write(b"".join(ids))
             out["offsets"].write(ends.astype("<u8").tobytes())

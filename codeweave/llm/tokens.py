@@ -1,45 +1,96 @@
 """Exact, cached use of the public tokenizers inside Arrow batches.
 
-A text is cut only where the tokenizer's own pre-tokenizer must cut as well, and every distinct
-piece is encoded once by the tokenizers library and kept in a bounded per-worker cache:
+A text is cut only where the tokenizer's own pre-tokenizer must cut as well: after a word, so that a
+piece is a word with the ASCII white space before it, or the white space at the end of a text.  A
+tokenizer that drops white space and folds case is given bare words.  Pieces are found, hashed and
+looked up for a whole batch at a time; each distinct piece is encoded once by the tokenizers library
+and its ids are kept in a bounded table per worker.
 
-* a tokenizer that drops white space is given the words between white space;
-* a byte-level one, whose words carry the space before them, is given the words with the single
-  space or line feed before them.  A text with other white space than single spaces and line feeds
-  between words is cut by a slower pattern, before white space that follows something else.
-
-Texts in which that could go wrong (white space outside ASCII, a special token's ``<|``, NUL) are
+Texts in which a cut could go wrong (white space outside ASCII, a special token's ``<|``, NUL) are
 encoded whole.
 """
 
 from __future__ import annotations
 
 import os
-import re
-import struct
 from collections.abc import Iterable, Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_RUNS = re.compile(r"\s*\S+|\s+", re.ASCII)
-_WHOLE = re.compile("[\x00\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|<\\|")
-_ODD_SPACE = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c")
+from codeweave.llm import shingles
+
+_WHOLE = "[\\x00\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|<\\|"
 #: Distinct pieces that one Python worker keeps; further ones are encoded again when met.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 2_000_000
+#: Bytes of the longest piece that is kept; longer ones are rare and hashed ids would not be safe.
+LONGEST = 64
 #: Words that are encoded in one call.
 TOGETHER = 64
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
+class Table:
+    """An open-addressing map from 64-bit hashes to id lists, all in flat arrays."""
+
+    def __init__(self, dtype: np.dtype, room: int) -> None:
+        self.bits = max(10, int(np.ceil(np.log2(room * 1.6))))
+        self.room, self.used = room, 0
+        # Untouched pages of a zeroed array cost no memory.
+        self.key = np.zeros(1 << self.bits, np.uint64)
+        self.at = np.zeros(1 << self.bits, np.int64)
+        self.length = np.zeros(1 << self.bits, np.uint16)
+        self.ids = np.empty(1 << 16, dtype)
+        self.n_ids = 0
+
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Slots of the hashes; -1 where absent."""
+        slot = self._slot(h)
+        got = self.key[slot]
+        out = np.where(got == h, slot, -1)
+        open_ = np.flatnonzero((got != h) & (got != 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
+            got = self.key[slot[open_]]
+            hit = got == h[open_]
+            out[open_[hit]] = slot[open_[hit]]
+            open_ = open_[~hit & (got != 0)]
+        return out
+
+    def store(self, ids: np.ndarray) -> int:
+        """Append ids; returns where they start."""
+        at = self.n_ids
+        if at + len(ids) > len(self.ids):
+            grown = np.empty(max(2 * len(self.ids), at + len(ids)), self.ids.dtype)
+            grown[:at] = self.ids[:at]
+            self.ids = grown
+        self.ids[at : at + len(ids)] = ids
+        self.n_ids = at + len(ids)
+        return at
+
+    def insert(self, h: np.ndarray, at: np.ndarray, length: np.ndarray) -> None:
+        """Enter distinct hashes that are absent."""
+        slot, todo = self._slot(h), np.arange(len(h))
+        while len(todo):
+            free = todo[self.key[slot[todo]] == 0]
+            _, first = np.unique(slot[free], return_index=True)
+            put = free[first]
+            self.key[slot[put]], self.at[slot[put]], self.length[slot[put]] = h[put], at[put], length[put]
+            left = np.ones(len(h), bool)
+            left[put] = False
+            todo = todo[left[todo]]
+            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
+        self.used += len(h)
+
+
 class Encoder:
     """Token ids of texts as little-endian unsigned integers of ``width`` bytes.
 
     ``drops_space``: the tokenizer ignores white space and folds case, as a word-level one does.
-    Cache keys: a word for itself (``drops_space``) or for a space and the word; ``\n`` and a word
-    for just that; NUL and a string for that string.
     """
 
     def __init__(self, path: str, drops_space: bool) -> None:
@@ -50,66 +101,91 @@ class Encoder:
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
         self.drops_space = drops_space
-        self.cache: dict[str, bytes] = {}
+        self.table = Table(self.dtype, CACHE_PIECES)
 
-    def keys(self, text: str) -> list[str]:
-        if _WHOLE.search(text):
-            return ["\0" + text]
+    def _pieces(self, flat: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, text) of every piece, in order."""
+        start, end = shingles.spans(flat, off)
+        text = np.searchsorted(off, start, side="right") - 1
         if self.drops_space:
-            # The tokenizer folds case itself; folding ASCII early makes words repeat.
-            return text.encode().lower().decode().split()
-        if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _ODD_SPACE):
-            return ["\0" + run for run in _RUNS.findall(text)]
-        lines = text.split("\n")
-        out = lines[0].split(" ")
-        out[0] = "\0" + out[0]
-        for line in lines[1:]:
-            more = line.split(" ")
-            more[0] = "\n" + more[0]
-            out += more
-        return out
-
-    def _string(self, key: str) -> str:
-        if key[0] == "\0":
-            return key[1:]
-        return key if self.drops_space or key[0] == "\n" else " " + key
-
-    def _make(self, keys: list[str], made: dict[str, bytes]) -> None:
-        """Encode new pieces: whole strings one by one, words many at a time, cut apart by their offsets."""
-        alone = [k for k in keys if k[0] == "\0"]
-        kind = "H" if self.width == 2 else "I"
-        for key, enc in zip(alone, self.tokenizer.encode_batch_fast(list(map(self._string, alone)), add_special_tokens=False)):
-            ids = enc.ids
-            made[key] = struct.pack(f"<{len(ids)}{kind}", *ids)
-        words = [k for k in keys if k[0] != "\0"]
+            return start, end, text
+        begin = np.concatenate(([0], end[:-1])) if len(end) else start
+        start = np.maximum(begin, off[text])
+        last = off[:-1].copy()
+        last[text] = end  # the last word of a text is assigned last
+        blank = np.flatnonzero(last < off[1:])
+        if len(blank):
+            start, end, text = np.concatenate([start, last[blank]]), np.concatenate([end, off[1:][blank]]), np.concatenate([text, blank])
+            order = np.argsort(start, kind="stable")
+            start, end, text = start[order], end[order], text[order]
+        return start, end, text
+
+    def _make(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces in order, how many each has): pieces that start with white space and hold a
+        word are encoded many at a time and cut apart by their offsets, others one by one."""
+        joined = [i for i, p in enumerate(pieces) if self.drops_space or p[0].isspace() and not p.isspace()]
+        made: list[np.ndarray] = [np.empty(0, self.dtype)] * len(pieces)
         gap = " " if self.drops_space else ""
-        for at in range(0, len(words), TOGETHER * 16):
-            groups = [words[i : i + TOGETHER] for i in range(at, min(at + TOGETHER * 16, len(words)), TOGETHER)]
-            strings = [list(map(self._string, g)) for g in groups]
-            for group, parts, enc in zip(groups, strings, self.tokenizer.encode_batch([gap.join(p) for p in strings], add_special_tokens=False)):
-                first = np.cumsum([0, *[len(p) + len(gap) for p in parts]])
-                where = [o[0] for o in enc.offsets]
-                cuts = np.searchsorted(where, first).tolist()
+        groups = [joined[i : i + TOGETHER] for i in range(0, len(joined), TOGETHER)]
+        for at in range(0, len(groups), 16):
+            some = groups[at : at + 16]
+            texts = [gap.join([pieces[i] for i in g]) for g in some]
+            for group, enc in zip(some, self.tokenizer.encode_batch(texts, add_special_tokens=False)):
+                first = np.cumsum([0, *[len(pieces[i]) + len(gap) for i in group]])
+                cuts = np.searchsorted(np.array([o[0] for o in enc.offsets]), first).tolist()
                 flat = np.array(enc.ids, dtype=self.dtype)
-                for key, a, b in zip(group, cuts[:-1], cuts[1:]):
-                    made[key] = flat[a:b].tobytes()
-
-    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        cut = [self.keys(t) if t else [] for t in texts]
-        cache = self.cache
-        found = [list(map(cache.get, keys)) for keys in cut]
-        lacking = [i for i, ids in enumerate(found) if None in ids]
-        if lacking:
-            new = list({key for i in lacking for key, ids in zip(cut[i], found[i]) if ids is None})
-            made: dict[str, bytes] = {}
-            for at in range(0, len(new), 4096):
-                self._make(new[at : at + 4096], made)
-            for i in lacking:
-                found[i] = [made[key] if ids is None else ids for key, ids in zip(cut[i], found[i])]
-            room = CACHE_PIECES - len(cache)
-            if room > 0:
-                cache.update((key, ids) for key, ids in islice(made.items(), room) if len(key) <= 64)
-        return list(map(b"".join, found))
+                for i, a, b in zip(group, cuts[:-1], cuts[1:]):
+                    made[i] = flat[a:b]
+        known = set(joined)
+        alone = [i for i in range(len(pieces)) if i not in known]
+        for i, enc in zip(alone, self.tokenizer.encode_batch_fast([pieces[i] for i in alone], add_special_tokens=False)):
+            made[i] = np.array(enc.ids, dtype=self.dtype)
+        return np.concatenate(made) if made else np.empty(0, self.dtype), np.array([len(x) for x in made], dtype=np.int64)
+
+    def encode(self, column: pa.Array) -> list[bytes]:
+        """The ids of every text of a string array; null is empty."""
+        flat, off = shingles.buffers(column)
+        if self.drops_space:
+            flat = shingles.fold(flat)  # the tokenizer folds case itself; folding ASCII early makes words repeat
+        whole = pc.match_substring_regex(column, _WHOLE).fill_null(False).to_numpy(zero_copy_only=False)
+        start, end, text = self._pieces(flat, off)
+        if whole.any():
+            keep = ~whole[text]
+            start, end, text = start[keep], end[keep], text[keep]
+        table, size = self.table, end - start
+        h = shingles.hashes(flat, start, end)
+        h[h == 0] = 1
+        slot = table.find(h)
+        slot[size > LONGEST] = -1
+        at, length = table.at[slot], table.length[slot].astype(np.int64)
+        lacking = np.flatnonzero(slot < 0)
+        held = table.n_ids
+        if len(lacking):
+            raw = flat.tobytes()
+            short = lacking[size[lacking] <= LONGEST]
+            new, first, inverse = np.unique(h[short], return_index=True, return_inverse=True)
+            own = short[first]
+            ids, n = self._make([raw[a:b].decode() for a, b in zip(start[own].tolist(), end[own].tolist())])
+            where = table.store(ids) + np.cumsum(n) - n
+            at[short], length[short] = where[inverse], n[inverse]
+            k = min(len(new), table.room - table.used)
+            if k:
+                table.insert(new[:k], where[:k], n[:k])
+                held = int(where[k - 1] + n[k - 1])
+            long = lacking[size[lacking] > LONGEST]
+            if len(long):
+                ids, n = self._make([raw[a:b].decode() for a, b in zip(start[long].tolist(), end[long].tolist())])
+                at[long], length[long] = table.store(ids) + np.cumsum(n) - n, n
+        run = np.concatenate(([0], np.cumsum(length)))
+        out = table.ids[np.repeat(at - run[:-1], length) + np.arange(run[-1])]
+        table.n_ids = held  # ids that the table did not take are given up
+        cuts = run[np.searchsorted(text, np.arange(len(off)))].tolist()
+        found = [out[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+        odd = np.flatnonzero(whole).tolist()
+        if odd:
+            for i, enc in zip(odd, self.tokenizer.encode_batch_fast(column.take(pa.array(odd)).to_pylist(), add_special_tokens=False)):
+                found[i] = np.array(enc.ids, dtype=self.dtype).tobytes()
+        return found
 
 
 def encoder(path: str, drops_space: bool = False) -> Encoder:

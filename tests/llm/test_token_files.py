@@ -2,6 +2,7 @@ import os
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from codeweave.llm import packing, queries, token_files, tokens
@@ -25,7 +26,7 @@ def test_cached_encoding_is_the_tokenizers_own(path, drops, sf01):
     texts = pq.read_table(f"{sf01}/documents.parquet", columns=["text"])["text"].to_pylist() + [t for _, t in messy_rows()]
     odd = ["a  b", " a", "a ", "a\n", "\n\na", "a\tb", "don't I'll", "a　b", "A<|endoftext|>b", "1234 5,6", "\x1ca", "é É", "a \n b", "\r\n", "x\x0by"]
     enc = tokens.Encoder(path, drops)
-    got = enc.encode(texts + odd)
+    got = enc.encode(pa.array(texts + odd, pa.string()))
     for text, ids, want in zip(texts + odd, got, encode(path, texts + odd)):
         assert np.array_equal(np.frombuffer(ids, enc.dtype), want[:-1]), repr((text or "")[:80])
 
