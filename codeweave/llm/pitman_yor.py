@@ -18,7 +18,8 @@ Distribution.  Everything of a word is in one of a number of buckets that grows
 only the restaurants' totals are shared, and these have a fixed size.  Map tasks send each bucket the
 occurrences of its words as sorted blocks.  A word that makes up a 128th of all tokens or more (there
 are at most 512 such) is divided over buckets by context class; its root totals are shared as well.
-The text is read twice, the blocks are shuffled once, and per document only sums come back.
+The text is read twice, the blocks are shuffled once, and per document only sums come back; a task
+holds the sums of at most ``HELD_DOCS`` documents and one chunk more.
 
 Defined cases: a null, empty or blank text is its end token; rows that share an id are scored each;
 a null id is in the training fold; without training rows every word is unknown, N and V are 0;
@@ -46,8 +47,10 @@ HEAVY, SECTIONS = 512, 64
 SAMPLES = 2
 EXACT, STIRLING = 12, 512
 STRENGTH = 1.0
-BUCKET_TOKENS = 600_000
-CHUNK_BYTES, CHUNK_DOCS = 8 << 20, 32_000
+BUCKET_TOKENS = 400_000
+CHUNK_BYTES, CHUNK_DOCS = 5 << 20, 32_000
+#: Documents whose sums a task holds before it hands them on.
+HELD_DOCS = 1_000_000
 _END = np.uint64(0x1F83D9ABFB41BD6B)
 _START = np.uint64(0x5BE0CD19137E2179)
 #: Layout of a totals vector.
@@ -107,7 +110,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]):
             np.concatenate([x[2][3] for x in held]),
         )
 
-    for batch in tokens.slices(batches, "t", 2 << 20):
+    for batch in tokens.slices(batches, "t", 1 << 20):
         if held and (size > CHUNK_BYTES or docs + batch.num_rows > CHUNK_DOCS):
             yield join()
             held, size, docs = [], 0, 0
@@ -468,6 +471,9 @@ def score_table(df: DataFrame, key: str, text: str, samples: int = SAMPLES) -> D
         given.append(Shared(after, discounts, v))
     shipped = spark.sparkContext.broadcast((given, heavy_counts))
 
+    def packed(sums: dict[int, np.ndarray]) -> pd.DataFrame:
+        return pd.DataFrame({"chunk": list(sums), "sums": [_pack(x[0], x[1], x[2].astype(np.uint32)) for x in sums.values()]})
+
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         given, heavy_counts = shipped.value
         sums: dict[int, np.ndarray] = {}
@@ -496,8 +502,11 @@ def score_table(df: DataFrame, key: str, text: str, samples: int = SAMPLES) -> D
                             old[:, : got.shape[1]] += got
                             got = old
                         sums[int(ids[i])] = got
+                if sum(x.shape[1] for x in sums.values()) > HELD_DOCS:
+                    yield packed(sums)
+                    sums = {}
         if sums:
-            yield pd.DataFrame({"chunk": list(sums), "sums": [_pack(x[0], x[1], x[2].astype(np.uint32)) for x in sums.values()]})
+            yield packed(sums)
 
     partial = parts.select("bucket", "types", "found").mapInPandas(score, "chunk long, sums binary")
     index = merged.where("bucket < 0").select((-1 - F.col("bucket")).alias("chunk"), F.col("types").alias("sums"), F.lit(True).alias("index"))
