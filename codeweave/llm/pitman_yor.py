@@ -16,9 +16,11 @@ before, and the score averages their predictive probabilities.
 
 Distribution.  Everything of a word is in one of a number of buckets that grows with the tokens;
 only the restaurants' totals are shared, and these have a fixed size.  Map tasks send each bucket the
-occurrences of its words as sorted blocks.  A word that makes up a 128th of all tokens or more (there
+occurrences of its words as sorted blocks.  With many buckets blocks would become small, so they go to
+groups of buckets, about as many groups as a group has buckets, and tasks that gather the blocks of a
+group divide them into its buckets.  A word that makes up a 128th of all tokens or more (there
 are at most 512 such) is divided over buckets by context class; its root totals are shared as well.
-The text is read twice, the blocks are shuffled once, and per document only sums come back; a task
+The text is read twice, the blocks are shuffled once (twice by way of groups), and per document only sums come back; a task
 holds the sums of at most ``HELD_DOCS`` documents and one chunk more.
 
 Defined cases: a null, empty or blank text is its end token; rows that share an id are scored each;
@@ -49,6 +51,10 @@ EXACT, STIRLING = 12, 512
 STRENGTH = 1.0
 BUCKET_TOKENS = 400_000
 CHUNK_BYTES, CHUNK_DOCS = 5 << 20, 32_000
+#: Word buckets up to which map tasks send a block to each; beyond, blocks go to groups of buckets first.
+DIRECT = 512
+#: Tokens that a group gathers before it is divided into its buckets, and that one dividing task takes.
+GATHERED, DIVIDED = 2_000_000, 40_000_000
 #: Documents whose sums a task holds before it hands them on.
 HELD_DOCS = 1_000_000
 _END = np.uint64(0x1F83D9ABFB41BD6B)
@@ -150,24 +156,30 @@ def _first_pass(rows: DataFrame) -> tuple[np.ndarray, int, int]:
     return np.sort(np.array([r["w"] for r in words.collect()], dtype=np.int64).view(np.uint64)), total, learnt
 
 
-def _blocks(rows: DataFrame, heavy: np.ndarray, buckets: int) -> DataFrame:
-    """(bucket, chunk, blob): occurrences by bucket; bucket -1 has the chunk's documents."""
+def _sorted_blocks(b: np.ndarray, w: np.ndarray, *more: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(bucket, packed distinct words, their times and ``more`` by occurrence) of every bucket in ``b``."""
+    order = np.lexsort((w, b))
+    b, w, more = b[order], w[order], [x[order] for x in more]
+    cuts = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1], [True])))
+    for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        word, times = np.unique(w[x:y], return_counts=True)
+        yield int(b[x]), _pack(word, times.astype(np.uint32), *[m[x:y] for m in more])
+
+
+def _blocks(rows: DataFrame, heavy: np.ndarray, buckets: int, per_group: int = 1) -> DataFrame:
+    """(bucket, chunk, blob): occurrences by group of ``per_group`` buckets; bucket -1 has the chunk's documents."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         chunk = TaskContext.get().partitionId() << 20
         for k, train, w, c2, doc, count in _chunks(batches):
-            b = _bucket(w, c2, heavy, buckets)
-            order = np.lexsort((w, b))
-            b, w, c2, doc = b[order], w[order], c2[order], doc[order]
+            b = _bucket(w, c2, heavy, buckets) // per_group
             ref = (doc * 2 + train[doc]).astype(np.uint16)
-            cuts = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1], [True])))
             which, blobs = [-1], [_pack(np.array([x if x is not None else 0 for x in k], np.int64), np.array([x is None for x in k]), train, count.astype(np.int64))]
-            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                word, at, times = np.unique(w[x:y], return_index=True, return_counts=True)
-                which.append(int(b[x]))
-                blobs.append(_pack(word, times.astype(np.uint32), c2[x:y], ref[x:y]))
+            for own, blob in _sorted_blocks(b, w, c2, ref):
+                which.append(own)
+                blobs.append(blob)
             for at in range(0, len(which), 64):
                 n = len(which[at : at + 64])
                 yield pa.RecordBatch.from_arrays(
@@ -179,6 +191,51 @@ def _blocks(rows: DataFrame, heavy: np.ndarray, buckets: int) -> DataFrame:
     return rows.mapInArrow(emit, "bucket long, chunk long, blob binary")
 
 
+def _divide(blocks: DataFrame, heavy: np.ndarray, buckets: int, groups: int, total: int) -> DataFrame:
+    """Blocks of groups as blocks of buckets; each of these has a chunk for every occurrence.
+
+    A group is gathered by as many tasks as its tokens need, so none grows with the corpus.
+    """
+    salts = max(1, -(-total // (groups * DIVIDED)))
+
+    def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size, group = 0, None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            w, c2, ref = (np.concatenate([x[i] for x in held]) for i in range(3))
+            ids, at = np.unique(np.concatenate([x[3] for x in held]), return_inverse=True)
+            at = at.astype(np.int32)
+            made = list(_sorted_blocks(_bucket(w, c2, heavy, buckets), w, c2, ref, at))
+            ids = pa.array([_pack(ids)], pa.binary())
+            for i in range(0, len(made), 64):
+                some = made[i : i + 64]
+                n = len(some)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x[0] for x in some], pa.int64()), pa.array([int(held[0][3][0])] * n, pa.int64()), pa.array([x[1] for x in some], pa.binary()), ids.take(pa.array([0] * n))],
+                    names=["bucket", "chunk", "blob", "ids"],
+                )
+
+        for batch in batches:
+            for own, chunk, blob in zip(*(batch.column(c).to_pylist() for c in ("bucket", "chunk", "blob"))):
+                if own < 0:
+                    yield pa.RecordBatch.from_arrays([pa.array([own], pa.int64()), pa.array([chunk], pa.int64()), pa.array([blob], pa.binary()), pa.nulls(1, pa.binary())], names=["bucket", "chunk", "blob", "ids"])
+                    continue
+                if held and (own != group or size > GATHERED):
+                    yield from flush()
+                    held, size = [], 0
+                word, times, c2, ref = _unpack(blob)
+                held.append((np.repeat(word, times), c2, ref, np.full(len(ref), chunk, np.int64)))
+                size, group = size + len(ref), own
+        if held:
+            yield from flush()
+
+    # The chunks' documents (bucket -1) only pass through and are spread by chunk.
+    salt = F.when(F.col("bucket") < 0, F.xxhash64("chunk")).otherwise(F.pmod(F.xxhash64("chunk"), F.lit(salts)))
+    dealt = blocks.withColumn("salt", salt).repartition(groups * salts, "bucket", "salt")
+    return dealt.sortWithinPartitions("bucket", "chunk").select("bucket", "chunk", "blob").mapInArrow(divide, "bucket long, chunk long, blob binary, ids binary")
+
+
 @dataclass
 class Types:
     """A bucket: its words, and its (word, class) types in order with their training counts."""
@@ -203,18 +260,18 @@ class Types:
 
 def _merge(frame: pd.DataFrame, heavy: np.ndarray) -> pd.DataFrame:
     """One row of a bucket: its types, its occurrences in their order, and its first totals."""
-    frame = frame.sort_values("chunk")
     words, classes, refs, chunk = [], [], [], []
-    for i, blob in enumerate(frame["blob"]):
-        word, times, c2, ref = _unpack(blob)
+    for own, blob, ids in zip(frame["chunk"], frame["blob"], frame["ids"]):
+        word, times, c2, ref, *at = _unpack(blob)
         words.append(np.repeat(word, times))
         classes.append(c2)
         refs.append(ref)
-        chunk.append(np.full(len(ref), i, dtype=np.int32))
+        chunk.append(np.full(len(ref), own, dtype=np.int64) if ids is None else _unpack(ids)[0][at[0]])
     w_all = np.concatenate(words)
     word, w = np.unique(w_all, return_inverse=True)
     del words, w_all
-    c2, ref, chunk = np.concatenate(classes), np.concatenate(refs), np.concatenate(chunk)
+    c2, ref = np.concatenate(classes), np.concatenate(refs)
+    ids, chunk = np.unique(np.concatenate(chunk), return_inverse=True)
     key = w.astype(np.int64) * WIDE + c2
     order = np.argsort(key, kind="stable")
     key, ref, chunk = key[order], ref[order], chunk[order]
@@ -237,7 +294,7 @@ def _merge(frame: pd.DataFrame, heavy: np.ndarray) -> pd.DataFrame:
         {
             "bucket": [frame["bucket"].iloc[0]],
             "types": [_pack(word, learnt, hot, tw, tc, c.astype(np.uint32))],
-            "found": [_pack(n.astype(np.uint32), chunk.astype(np.uint16 if len(frame) < 1 << 16 else np.int32), (ref >> 1).astype(np.uint16), frame["chunk"].to_numpy())],
+            "found": [_pack(n.astype(np.uint32), chunk.astype(np.uint16 if len(ids) < 1 << 16 else np.int32), (ref >> 1).astype(np.uint16), ids)],
             "totals": [_pack(totals)],
         }
     )
@@ -434,7 +491,12 @@ def score_table(df: DataFrame, key: str, text: str, samples: int = SAMPLES) -> D
     rows = df.select(df[key].cast("long").alias("k"), (~held_out(df[key])).alias("train"), df[text].alias("t"))
     heavy, total, learnt = _first_pass(rows)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_TOKENS))
-    blocks = _blocks(rows, heavy, buckets)
+    if buckets <= DIRECT:
+        blocks = _blocks(rows, heavy, buckets).withColumn("ids", F.lit(None).cast("binary"))
+    else:
+        per_group = int(np.ceil(np.sqrt(buckets)))
+        groups = -(-buckets // per_group)
+        blocks = _divide(_blocks(rows, heavy, buckets, per_group), heavy, buckets, groups, total)
     kind = "bucket long, types binary, found binary, totals binary"
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:

@@ -134,3 +134,20 @@ def test_scores_do_not_depend_on_the_partitioning(spark, sf01):
     a = {r["doc_id"]: r["n_known"] for r in py.score_table(docs.repartition(5), "doc_id", "text").collect()}
     b = {r["doc_id"]: r["n_known"] for r in py.score_table(docs.coalesce(1), "doc_id", "text").collect()}
     assert a == b
+
+
+def test_groups_of_buckets_change_nothing(spark, sf01, monkeypatch):
+    """The exchange in two levels, which only large inputs need, gives the scores of the direct one."""
+    docs = spark.read.parquet(f"{sf01}/documents.parquet").repartition(4, "doc_id").sortWithinPartitions("doc_id").cache()
+    monkeypatch.setattr(py, "BUCKET_TOKENS", 12_000)
+    monkeypatch.setattr(py, "CHUNK_BYTES", 1 << 18)
+    monkeypatch.setattr(py, "HELD_DOCS", 100)
+    direct = sorted(tuple(r) for r in py.score_table(docs, "doc_id", "text").collect())
+    monkeypatch.setattr(py, "DIRECT", 4)
+    monkeypatch.setattr(py, "GATHERED", 20_000)
+    monkeypatch.setattr(py, "DIVIDED", 30_000)
+    grouped = sorted(tuple(r) for r in py.score_table(docs, "doc_id", "text").collect())
+    assert [r[:5] for r in grouped] == [r[:5] for r in direct]
+    assert np.allclose([r[5:] for r in grouped], [r[5:] for r in direct], rtol=1e-9)
+    compare_rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    assert sorted(counted(compare_rows))[0][2:5] == direct[0][2:5]
