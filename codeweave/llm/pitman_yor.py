@@ -1,9 +1,10 @@
 """A hierarchical Pitman-Yor language model over three levels of restaurants.
 
 * the root restaurant serves words, over a uniform base of 1 / (V + 1);
-* ``CLASSES`` restaurants, one for each hashed class of the previous word, share the root as parent;
-* ``CLASSES * SPLIT`` restaurants, one for each hashed class of the two previous words, share that of
-  the previous word.
+* a restaurant for each previous word shares the root as parent;
+* a restaurant for each pair of previous words shares that of the previous word.
+
+Words are known by 64-bit hashes, and contexts by those of their words.
 
 A training token is a customer of a third-level restaurant; a table there sends one customer to the
 parent.  Customers of a word in a restaurant are seated by the Chinese restaurant process and then
@@ -11,17 +12,20 @@ reseated one at a time by Gibbs sampling.  Words of more than ``EXACT`` customer
 reseated together, a blocked Gibbs step: given all else their tables t have the probability
 base^t S(c, t), S the generalised Stirling numbers of the discount, from which t is drawn exactly up
 to ``STIRLING`` customers, and beyond it from the limit for many customers, 1 + Poisson(base / d).
-``SAMPLES`` seatings are drawn one after the other, each given the restaurants' totals of the one
-before, and the score averages their predictive probabilities.
-
-Distribution.  Everything of a word is in one of a number of buckets that grows with the tokens;
-only the restaurants' totals are shared, and these have a fixed size.  Map tasks send each bucket the
-occurrences of its words as sorted blocks.  With many buckets blocks would become small, so they go to
-groups of buckets, about as many groups as a group has buckets, and tasks that gather the blocks of a
-group divide them into its buckets.  A word that makes up a 128th of all tokens or more (there
-are at most 512 such) is divided over buckets by context class; its root totals are shared as well.
-The text is read twice, the blocks are shuffled once (twice by way of groups), and per document only sums come back; a task
-holds the sums of at most ``HELD_DOCS`` documents and one chunk more.
+``SAMPLES`` seatings are drawn one after the other, and the score averages their predictive
+probabilities.
+
+Distribution.  Everything of a previous word is in one of a number of buckets that grows with the
+tokens, so the restaurants of the second and third level are whole there.  The root is in groups of
+words: a seating sends each group the customers of its words, and gets back the root's customers and
+tables of these words.  Map tasks send each bucket the occurrences after its words as blocks.  With
+many buckets blocks would become small, so they go to groups of buckets, about as many groups as a
+group has buckets, and tasks that gather the blocks of a group divide them into its buckets.  A previous
+word of a 128th of all tokens or more (there are at most 512 such) is divided over buckets by the word
+before it, and its restaurant is seated with the root, by word; a pair of such a share is divided by
+word.  Only the totals of these restaurants and of the root are shared by all, and have a fixed size.
+The text is read twice, the blocks are shuffled once (twice by way of groups), and per document only
+sums come back; a task holds the sums of at most ``HELD_DOCS`` documents and one chunk more.
 
 Defined cases: a null, empty or blank text is its end token; rows that share an id are scored each;
 a null id is in the training fold; without training rows every word is unknown, N and V are 0;
@@ -43,13 +47,15 @@ from pyspark.sql import functions as F
 from codeweave import runtime
 from codeweave.llm import shingles, tokens
 
-CLASSES, SPLIT = 1 << 11, 1 << 3
-WIDE = CLASSES * SPLIT
+#: Contexts of two words to one of one word, where types come without the latter.
+SPLIT = 1 << 3
 HEAVY, SECTIONS = 512, 64
 SAMPLES = 2
 EXACT, STIRLING = 12, 512
 STRENGTH = 1.0
 BUCKET_TOKENS = 400_000
+#: Tokens of all documents to a group of words.
+WORD_TOKENS = 2_000_000
 CHUNK_BYTES, CHUNK_DOCS = 5 << 20, 32_000
 #: Word buckets up to which map tasks send a block to each; beyond, blocks go to groups of buckets first.
 DIRECT = 512
@@ -59,9 +65,9 @@ GATHERED, DIVIDED = 2_000_000, 40_000_000
 HELD_DOCS = 1_000_000
 _END = np.uint64(0x1F83D9ABFB41BD6B)
 _START = np.uint64(0x5BE0CD19137E2179)
-#: Layout of a totals vector.
-_T2, _C2, _T1, _HC, _HK, _HT = 0, WIDE, 2 * WIDE, 2 * WIDE + CLASSES, 2 * WIDE + CLASSES + HEAVY, 2 * WIDE + CLASSES + 2 * HEAVY
-_V = _HT + HEAVY
+#: Layout of a vector of shared totals: customers and tables of heavy words and pairs, and of the root.
+_C1, _T1, _C2, _T2 = 0, HEAVY, 2 * HEAVY, 3 * HEAVY
+_V = 4 * HEAVY
 _ROOT = _V + 1
 _ONES = _ROOT + 2
 SIZE = _ONES + 6
@@ -80,8 +86,8 @@ def _unpack(blob: bytes) -> tuple:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
 
 
-def token_stream(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word, class of the two words before it, text, tokens of each text); texts end with an end token."""
+def token_stream(column: pa.Array) -> tuple[np.ndarray, ...]:
+    """(word, the word before it, the one before that, text, tokens of each text); texts end with an end token."""
     h, off, _, _ = shingles.words(column)
     n = len(off) - 1
     count = np.diff(off) + 1
@@ -98,9 +104,7 @@ def token_stream(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     earlier = np.empty(total, dtype=np.uint64)
     earlier[1:] = before[:-1]
     earlier[first] = _START
-    near = (before >> np.uint64(20)) % np.uint64(CLASSES)
-    far = (earlier >> np.uint64(40)) % np.uint64(SPLIT)
-    return w, (near * np.uint64(SPLIT) + far).astype(np.uint16), np.repeat(np.arange(n, dtype=np.int32), count), count
+    return w, before, earlier, np.repeat(np.arange(n, dtype=np.int32), count), count
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]):
@@ -111,9 +115,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]):
     def join():
         base = np.cumsum([0, *[len(x[0]) for x in held]], dtype=np.int32)
         return (
-            [k for x in held for k in x[0]], np.concatenate([x[1] for x in held]), np.concatenate([x[2][0] for x in held]),
-            np.concatenate([x[2][1] for x in held]), np.concatenate([x[2][2] + b for x, b in zip(held, base)]),
-            np.concatenate([x[2][3] for x in held]),
+            [k for x in held for k in x[0]], np.concatenate([x[1] for x in held]), *(np.concatenate([x[2][i] for x in held]) for i in range(3)),
+            np.concatenate([x[2][3] + b for x, b in zip(held, base)]), np.concatenate([x[2][4] for x in held]),
         )
 
     for batch in tokens.slices(batches, "t", 1 << 20):
@@ -127,57 +130,81 @@ def _chunks(batches: Iterator[pa.RecordBatch]):
         yield join()
 
 
-def _bucket(w: np.ndarray, c2: np.ndarray, heavy: np.ndarray, buckets: int) -> np.ndarray:
-    hot = heavy[np.minimum(np.searchsorted(heavy, w), len(heavy) - 1)] == w if len(heavy) else np.zeros(len(w), bool)
-    own = w.copy()
-    own[hot] = shingles.mix(w[hot] + (c2[hot] // SPLIT % SECTIONS).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+def _found(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Index of each key in a sorted array, or -1."""
+    if not len(among):
+        return np.full(len(keys), -1, dtype=np.int64)
+    near = np.minimum(np.searchsorted(among, keys), len(among) - 1)
+    return np.where(among[near] == keys, near, -1)
+
+
+def _pair(v: np.ndarray, u: np.ndarray) -> np.ndarray:
+    return shingles.mix(v * np.uint64(0x9E3779B97F4A7C15) + shingles.mix(u))
+
+
+Heavy = tuple[np.ndarray, np.ndarray]
+
+
+def _bucket(v: np.ndarray, u: np.ndarray, w: np.ndarray, heavy: Heavy, buckets: int) -> np.ndarray:
+    hot = np.flatnonzero(_found(v, heavy[0]) >= 0)
+    own = v.copy()
+    if len(hot):
+        by = np.where(_found(_pair(v[hot], u[hot]), heavy[1]) >= 0, w[hot], u[hot])
+        own[hot] = shingles.mix(v[hot] + (by >> np.uint64(20)) % np.uint64(SECTIONS) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
     return ((own >> np.uint64(34)).astype(np.int64) * buckets) >> 30
 
 
-def _first_pass(rows: DataFrame) -> tuple[np.ndarray, int, int]:
-    """The heavy words, the tokens of all rows and those of training rows."""
+def _first_pass(rows: DataFrame) -> tuple[Heavy, int, int]:
+    """The heavy previous words and pairs of them, the tokens of all rows and those of training rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = learnt = 0
-        for _, train, w, _, doc, _ in _chunks(batches):
-            own = w[train[doc]]
-            total, learnt = total + len(w), learnt + len(own)
-            word, times = np.unique(own, return_counts=True)
-            some = np.flatnonzero(times * 256 >= len(own))
-            if len(own) and len(some):
-                yield pa.RecordBatch.from_arrays([pa.array(word[some].view(np.int64)), pa.array(times[some])], names=["w", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array([None, None], pa.int64()), pa.array([total, -learnt])], names=["w", "n"])
-
-    found = runtime.stage(rows.mapInArrow(count, "w long, n long"), "heavy")
-    sums = found.where("w is null").agg(F.sum(F.greatest("n", F.lit(0))).alias("a"), F.sum(F.least("n", F.lit(0))).alias("b")).first()
-    total, learnt = sums["a"] or 0, -(sums["b"] or 0)
+        for _, train, w, v, u, doc, _ in _chunks(batches):
+            keep = train[doc]
+            v, u = v[keep], u[keep]
+            total, learnt = total + len(w), learnt + len(v)
+            word, times = np.unique(v, return_counts=True)
+            some = np.flatnonzero(times * 256 >= len(v))
+            if not len(v) or not len(some):
+                continue
+            hot = _found(v, word[some]) >= 0
+            pair, both = np.unique(_pair(v[hot], u[hot]), return_counts=True)
+            many = np.flatnonzero(both * 256 >= len(v))
+            for kind, key, n in ((0, word[some], times[some]), (1, pair[many], both[many])):
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(n), pa.int32()), pa.array(key.view(np.int64)), pa.array(n)], names=["kind", "w", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([2, 3], pa.int32()), pa.array([0, 0], pa.int64()), pa.array([total, learnt])], names=["kind", "w", "n"])
+
+    found = runtime.stage(rows.mapInArrow(count, "kind int, w long, n long"), "heavy")
+    sums = {r["kind"]: r["n"] for r in found.where("kind > 1").groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    total, learnt = sums.get(2, 0), sums.get(3, 0)
     # A word with a 128th of the tokens keeps a 256th after the chunks where it is rarer are left out.
-    words = found.where("w is not null").groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") * HEAVY >= learnt).select("w")
-    return np.sort(np.array([r["w"] for r in words.collect()], dtype=np.int64).view(np.uint64)), total, learnt
+    got = found.where("kind < 2").groupBy("kind", "w").agg(F.sum("n").alias("n")).where(F.col("n") * HEAVY >= learnt).select("kind", "w").collect()
+    return tuple(np.sort(np.array([r["w"] for r in got if r["kind"] == k], dtype=np.int64).view(np.uint64)) for k in (0, 1)), total, learnt
 
 
-def _sorted_blocks(b: np.ndarray, w: np.ndarray, *more: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """(bucket, packed distinct words, their times and ``more`` by occurrence) of every bucket in ``b``."""
-    order = np.lexsort((w, b))
-    b, w, more = b[order], w[order], [x[order] for x in more]
+def _sorted_blocks(b: np.ndarray, v: np.ndarray, u: np.ndarray, w: np.ndarray, *more: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(bucket, packed words, v, u and w as indexes of these, and ``more``) of every bucket in ``b``."""
+    order = np.lexsort((v, b))
+    b, v, u, w, more = b[order], v[order], u[order], w[order], [x[order] for x in more]
     cuts = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1], [True])))
     for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-        word, times = np.unique(w[x:y], return_counts=True)
-        yield int(b[x]), _pack(word, times.astype(np.uint32), *[m[x:y] for m in more])
+        word, at = np.unique(np.concatenate((v[x:y], u[x:y], w[x:y])), return_inverse=True)
+        at = at.astype(np.uint16 if len(word) <= 1 << 16 else np.uint32).reshape(3, -1)
+        yield int(b[x]), _pack(word, *at, *[m[x:y] for m in more])
 
 
-def _blocks(rows: DataFrame, heavy: np.ndarray, buckets: int, per_group: int = 1) -> DataFrame:
+def _blocks(rows: DataFrame, heavy: Heavy, buckets: int, per_group: int = 1) -> DataFrame:
     """(bucket, chunk, blob): occurrences by group of ``per_group`` buckets; bucket -1 has the chunk's documents."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         chunk = TaskContext.get().partitionId() << 20
-        for k, train, w, c2, doc, count in _chunks(batches):
-            b = _bucket(w, c2, heavy, buckets) // per_group
+        for k, train, w, v, u, doc, count in _chunks(batches):
+            b = _bucket(v, u, w, heavy, buckets) // per_group
             ref = (doc * 2 + train[doc]).astype(np.uint16)
             which, blobs = [-1], [_pack(np.array([x if x is not None else 0 for x in k], np.int64), np.array([x is None for x in k]), train, count.astype(np.int64))]
-            for own, blob in _sorted_blocks(b, w, c2, ref):
+            for own, blob in _sorted_blocks(b, v, u, w, ref):
                 which.append(own)
                 blobs.append(blob)
             for at in range(0, len(which), 64):
@@ -191,7 +218,7 @@ def _blocks(rows: DataFrame, heavy: np.ndarray, buckets: int, per_group: int = 1
     return rows.mapInArrow(emit, "bucket long, chunk long, blob binary")
 
 
-def _divide(blocks: DataFrame, heavy: np.ndarray, buckets: int, groups: int, total: int) -> DataFrame:
+def _divide(blocks: DataFrame, heavy: Heavy, buckets: int, groups: int, total: int) -> DataFrame:
     """Blocks of groups as blocks of buckets; each of these has a chunk for every occurrence.
 
     A group is gathered by as many tasks as its tokens need, so none grows with the corpus.
@@ -203,16 +230,16 @@ def _divide(blocks: DataFrame, heavy: np.ndarray, buckets: int, groups: int, tot
         size, group = 0, None
 
         def flush() -> Iterator[pa.RecordBatch]:
-            w, c2, ref = (np.concatenate([x[i] for x in held]) for i in range(3))
-            ids, at = np.unique(np.concatenate([x[3] for x in held]), return_inverse=True)
+            v, u, w, ref = (np.concatenate([x[i] for x in held]) for i in range(4))
+            ids, at = np.unique(np.concatenate([x[4] for x in held]), return_inverse=True)
             at = at.astype(np.int32)
-            made = list(_sorted_blocks(_bucket(w, c2, heavy, buckets), w, c2, ref, at))
+            made = list(_sorted_blocks(_bucket(v, u, w, heavy, buckets), v, u, w, ref, at))
             ids = pa.array([_pack(ids)], pa.binary())
             for i in range(0, len(made), 64):
                 some = made[i : i + 64]
                 n = len(some)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[0] for x in some], pa.int64()), pa.array([int(held[0][3][0])] * n, pa.int64()), pa.array([x[1] for x in some], pa.binary()), ids.take(pa.array([0] * n))],
+                    [pa.array([x[0] for x in some], pa.int64()), pa.array([int(held[0][4][0])] * n, pa.int64()), pa.array([x[1] for x in some], pa.binary()), ids.take(pa.array([0] * n))],
                     names=["bucket", "chunk", "blob", "ids"],
                 )
 
@@ -224,8 +251,8 @@ def _divide(blocks: DataFrame, heavy: np.ndarray, buckets: int, groups: int, tot
                 if held and (own != group or size > GATHERED):
                     yield from flush()
                     held, size = [], 0
-                word, times, c2, ref = _unpack(blob)
-                held.append((np.repeat(word, times), c2, ref, np.full(len(ref), chunk, np.int64)))
+                word, v, u, w, ref = _unpack(blob)
+                held.append((word[v], word[u], word[w], ref, np.full(len(ref), chunk, np.int64)))
                 size, group = size + len(ref), own
         if held:
             yield from flush()
@@ -238,81 +265,81 @@ def _divide(blocks: DataFrame, heavy: np.ndarray, buckets: int, groups: int, tot
 
 @dataclass
 class Types:
-    """A bucket: its words, and its (word, class) types in order with their training counts."""
+    """A bucket: its words, and its types (word, two words before) with their training counts, those
+    of a word and its previous word together; contexts are numbered within the bucket."""
 
     word: np.ndarray
     learnt: np.ndarray
-    heavy: np.ndarray  # index among the heavy words, or -1
+    heavy: np.ndarray  # of each previous word its index among the heavy ones, or -1
     w: np.ndarray
     c2: np.ndarray
     c: np.ndarray
-    g: np.ndarray = field(init=False)  # (word, previous-word class) group of each type
+    c1: np.ndarray | None = None
+    pairs: np.ndarray | None = None  # as ``heavy``, of each two previous words
+    g: np.ndarray = field(init=False)  # (word, previous word) group of each type
     gw: np.ndarray = field(init=False)
     gc: np.ndarray = field(init=False)
+    hot: np.ndarray = field(init=False)  # groups of heavy previous words
 
     def __post_init__(self) -> None:
-        c1 = (self.c2 // SPLIT).astype(np.int64)
-        key = self.w.astype(np.int64) * CLASSES + c1
-        new = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
+        c1 = (self.c2 // SPLIT if self.c1 is None else self.c1).astype(np.int64)
+        new = np.concatenate(([True], (self.w[1:] != self.w[:-1]) | (c1[1:] != c1[:-1]))) if len(c1) else np.zeros(0, bool)
         self.g = np.cumsum(new) - 1
         self.gw, self.gc = self.w[new].astype(np.int64), c1[new]
+        self.hot = np.flatnonzero(self.heavy[self.gc] >= 0)
 
 
-def _merge(frame: pd.DataFrame, heavy: np.ndarray) -> pd.DataFrame:
-    """One row of a bucket: its types, its occurrences in their order, and its first totals."""
-    words, classes, refs, chunk = [], [], [], []
+def _merge(frame: pd.DataFrame, heavy: Heavy) -> tuple[bytes, bytes]:
+    """A bucket's types, and its occurrences in their order."""
+    lists, codes, refs, chunk = [], [], [], []
+    base = 0
     for own, blob, ids in zip(frame["chunk"], frame["blob"], frame["ids"]):
-        word, times, c2, ref, *at = _unpack(blob)
-        words.append(np.repeat(word, times))
-        classes.append(c2)
+        word, v, u, w, ref, *at = _unpack(blob)
+        lists.append(word)
+        codes.append(np.stack([v, u, w]).astype(np.int32) + base)
+        base += len(word)
         refs.append(ref)
         chunk.append(np.full(len(ref), own, dtype=np.int64) if ids is None else _unpack(ids)[0][at[0]])
-    w_all = np.concatenate(words)
-    word, w = np.unique(w_all, return_inverse=True)
-    del words, w_all
-    c2, ref = np.concatenate(classes), np.concatenate(refs)
+    word, at = np.unique(np.concatenate(lists), return_inverse=True)
+    v, u, w = at.astype(np.int64)[np.concatenate(codes, axis=1)]
+    del lists, codes, at
+    ref = np.concatenate(refs)
     ids, chunk = np.unique(np.concatenate(chunk), return_inverse=True)
-    key = w.astype(np.int64) * WIDE + c2
-    order = np.argsort(key, kind="stable")
-    key, ref, chunk = key[order], ref[order], chunk[order]
-    at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    n = np.diff(np.concatenate((at, [len(key)])))
-    c = np.add.reduceat((ref & 1).astype(np.int64), at)
-    tw, tc = (key[at] // WIDE).astype(np.uint32), (key[at] % WIDE).astype(np.uint16)
-    learnt = np.bincount(tw, weights=c, minlength=len(word)).astype(np.int64)
-    hot = np.full(len(word), -1, dtype=np.int32)
-    if len(heavy):
-        near = np.minimum(np.searchsorted(heavy, word), len(heavy) - 1)
-        hot[heavy[near] == word] = near[heavy[near] == word]
-    types = Types(word, learnt, hot, tw, tc, c)
-    t2 = (c > 0).astype(np.int64)
-    k1 = np.bincount(types.g, weights=t2, minlength=len(types.gw)).astype(np.int64)
-    totals = _totals(types, t2, k1, (k1 > 0).astype(np.int64), None)
-    k0 = np.bincount(types.gw, weights=k1 > 0, minlength=len(word)).astype(np.int64)
-    totals[_ONES:] = [(x == m).sum() for x in (c, k1, k0[hot < 0]) for m in (1, 2)]
-    return pd.DataFrame(
-        {
-            "bucket": [frame["bucket"].iloc[0]],
-            "types": [_pack(word, learnt, hot, tw, tc, c.astype(np.uint32))],
-            "found": [_pack(n.astype(np.uint32), chunk.astype(np.uint16 if len(ids) < 1 << 16 else np.int32), (ref >> 1).astype(np.uint16), ids)],
-            "totals": [_pack(totals)],
-        }
-    )
-
-
-def _totals(types: Types, t2: np.ndarray, k1: np.ndarray, t1: np.ndarray, t0: np.ndarray | None) -> np.ndarray:
-    out = np.zeros(SIZE, dtype=np.int64)
-    out[_T2 : _T2 + WIDE] = np.bincount(types.c2, weights=t2, minlength=WIDE)
-    out[_C2 : _C2 + WIDE] = np.bincount(types.c2, weights=types.c, minlength=WIDE)
-    out[_T1 : _T1 + CLASSES] = np.bincount(types.gc, weights=t1, minlength=CLASSES)
-    k0 = np.bincount(types.gw, weights=t1, minlength=len(types.word)).astype(np.int64)
-    hot = types.heavy >= 0
-    np.add.at(out, _HC + types.heavy[hot], types.learnt[hot])
-    np.add.at(out, _HK + types.heavy[hot], k0[hot])
-    out[_V] = ((types.learnt > 0) & ~hot).sum()
-    out[_ROOT] = k0.sum()
-    out[_ROOT + 1] = (t0 if t0 is not None else k0 > 0)[~hot].sum()
-    return out
+    many = len(word)
+    order = np.argsort((v * many + w) * many + u, kind="stable") if many < 2_000_000 else np.lexsort((u, w, v))
+    v, u, w, ref, chunk = v[order], u[order], w[order], ref[order], chunk[order]
+    at = np.flatnonzero(np.concatenate(([True], (v[1:] != v[:-1]) | (w[1:] != w[:-1]) | (u[1:] != u[:-1]))))
+    n = np.diff(np.concatenate((at, [len(v)])))
+    c = np.add.reduceat((ref & 1).astype(np.uint32), at)
+    v, u, w = v[at], u[at], w[at]
+    before, c1 = np.unique(v, return_inverse=True)
+    both, c2 = np.unique(v * many + u, return_inverse=True)
+    own, w = np.unique(w, return_inverse=True)
+    hot = _found(word[before], heavy[0]).astype(np.int16)
+    pairs = np.full(len(both), -1, dtype=np.int16)
+    some = np.flatnonzero(_found(word[both // many], heavy[0]) >= 0)
+    pairs[some] = _found(_pair(word[both[some] // many], word[both[some] % many]), heavy[1])
+    types = _pack(word[own], hot, w.astype(np.uint32), c2.astype(np.uint32), c, c1.astype(np.uint32), pairs)
+    return types, _pack(n.astype(np.uint32), chunk.astype(np.uint16 if len(ids) < 1 << 16 else np.int32), (ref >> 1).astype(np.uint16), ids)
+
+
+@dataclass
+class Totals:
+    """Tables and customers of the restaurants: of two previous words, of one, and of the root."""
+
+    t2: np.ndarray
+    c2: np.ndarray
+    t1: np.ndarray
+    c1: np.ndarray
+    t0: int
+    c0: int
+
+
+def _totals(types: Types, t2: np.ndarray, k1: np.ndarray, t1: np.ndarray, t0: np.ndarray | None) -> Totals:
+    """Totals of a bucket; where all of the words are in it, of the root as well."""
+    add = lambda at, x: np.bincount(at, weights=x).astype(np.int64)
+    root = t0 if t0 is not None else add(types.gw, t1) > 0
+    return Totals(add(types.c2, t2), add(types.c2, types.c), add(types.gc, t1), add(types.gc, k1), root.sum(), t1.sum())
 
 
 def seat(c: np.ndarray, base: np.ndarray, discount: float, rng: np.random.Generator, sweeps: int = 1) -> np.ndarray:
@@ -382,17 +409,15 @@ def _seat_exact(n: int, base: np.ndarray, discount: float, rng: np.random.Genera
 
 @dataclass
 class Shared:
-    """What all tasks know of the last seating: fixed-size totals, discounts, the base."""
+    """What a seating is given: totals, discounts, the base."""
 
-    totals: np.ndarray
+    totals: Totals
     discounts: tuple[float, float, float]
     v: int
 
     def __post_init__(self) -> None:
-        self.t2, self.c2 = self.totals[_T2 : _T2 + WIDE], self.totals[_C2 : _C2 + WIDE]
-        self.t1 = self.totals[_T1 : _T1 + CLASSES]
-        self.c1 = self.t2.reshape(CLASSES, SPLIT).sum(axis=1)
-        self.c0, self.t0 = self.totals[_ROOT], self.totals[_ROOT + 1] + self.totals[_HT : _HT + HEAVY].sum()
+        self.t2, self.c2, self.t1, self.c1 = self.totals.t2, self.totals.c2, self.totals.t1, self.totals.c1
+        self.t0, self.c0 = self.totals.t0, self.totals.c0
 
     def root(self, k0: np.ndarray, t0: np.ndarray) -> np.ndarray:
         d = self.discounts[0]
@@ -409,29 +434,62 @@ class Shared:
         return (np.maximum(types.c - d * t2, 0) + back) / (STRENGTH + self.c2[types.c2])
 
 
+@dataclass
+class Upper:
+    """Of a bucket's words the root's customers and tables; of its groups of heavy previous words those
+    of the whole restaurants."""
+
+    k0: np.ndarray
+    t0: np.ndarray
+    k1: np.ndarray
+    t1: np.ndarray
+
+
 Seats = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
+def _given(types: Types, t2: np.ndarray, k1: np.ndarray, t1: np.ndarray, sums: np.ndarray, discounts: tuple) -> Shared:
+    """The bucket's own totals, and the shared ones of heavy words, heavy pairs and the root."""
+    own = _totals(types, t2, k1, t1, None)
+    hot, pairs = types.heavy >= 0, types.pairs >= 0
+    own.c1[hot], own.t1[hot] = sums[_C1 + types.heavy[hot]], sums[_T1 + types.heavy[hot]]
+    own.c2[pairs], own.t2[pairs] = sums[_C2 + types.pairs[pairs]], sums[_T2 + types.pairs[pairs]]
+    own.c0, own.t0 = sums[_ROOT], sums[_ROOT + 1]
+    return Shared(own, discounts, int(sums[_V]))
+
+
+def lower(types: Types, given, upper: Upper, t2: np.ndarray, t1: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(t2, k1, t1) drawn after ``t2`` and ``t1``, given the root; ``given`` makes the totals of a
+    seating.  Groups of heavy previous words have no t1 of their own."""
+    k1 = np.bincount(types.g, weights=t2, minlength=len(types.gw)).astype(np.int64)
+    for _ in range(2):
+        last = given(t2, k1, t1)
+        _, d1, d2 = last.discounts
+        p0 = last.root(upper.k0, upper.t0)
+        t2 = seat(types.c, (STRENGTH + d2 * last.t2[types.c2]) * _near(types, last, k1, t1, upper, p0)[types.g], d2, rng)
+        k1 = np.bincount(types.g, weights=t2, minlength=len(types.gw)).astype(np.int64)
+        alone = k1.copy()
+        alone[types.hot] = 0
+        t1 = seat(alone, (STRENGTH + d1 * last.t1[types.gc]) * p0[types.gw], d1, rng)
+    return t2, k1, t1
+
+
+def _near(types: Types, shared: Shared, k1: np.ndarray, t1: np.ndarray, upper: Upper, p0: np.ndarray) -> np.ndarray:
+    k1, t1 = k1.copy(), t1.copy()
+    k1[types.hot], t1[types.hot] = upper.k1, upper.t1
+    return shared.near(types, k1, t1, p0)
+
+
 def seating(types: Types, last: Shared, seed: tuple[int, ...]) -> Seats:
-    """(t2, k1, t1, k0, t0): customers k and tables t of the levels, given the last totals."""
+    """(t2, k1, t1, k0, t0): customers k and tables t of all levels of a bucket that has all of its words."""
     rng = np.random.default_rng(seed)
-    d0, d1, d2 = last.discounts
-    hot = types.heavy >= 0
-    base = (STRENGTH + d0 * last.t0) / (last.v + 1)
+    base = (STRENGTH + last.discounts[0] * last.t0) / (last.v + 1)
     t2 = (types.c > 0).astype(np.int64)
-    k1 = np.bincount(types.g, weights=t2, minlength=len(types.gw)).astype(np.int64)
-    t1 = (k1 > 0).astype(np.int64)
+    t1 = (np.bincount(types.g, weights=t2, minlength=len(types.gw)) > 0).astype(np.int64)
+    none = np.zeros(0, np.int64)
     k0, t0 = _root(types, t1, last, base, rng)
-    for _ in range(2):
-        # A heavy word's customers at the root come from all its sections.
-        k0[hot], t0[hot] = last.totals[_HK + types.heavy[hot]], last.totals[_HT + types.heavy[hot]]
-        p0 = last.root(k0, t0)
-        p1 = last.near(types, k1, t1, p0)
-        t2 = seat(types.c, (STRENGTH + d2 * last.t2[types.c2]) * p1[types.g], d2, rng)
-        k1 = np.bincount(types.g, weights=t2, minlength=len(types.gw)).astype(np.int64)
-        t1 = seat(k1, (STRENGTH + d1 * last.t1[types.gc]) * p0[types.gw], d1, rng)
-        k0, t0 = _root(types, t1, last, base, rng)
-    return t2, k1, t1, k0, t0
+    t2, k1, t1 = lower(types, lambda *_: last, Upper(k0, t0, none, none), t2, t1, rng)
+    return t2, k1, t1, *_root(types, t1, last, base, rng)
 
 
 def _root(types: Types, t1: np.ndarray, last: Shared, base: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -439,14 +497,82 @@ def _root(types: Types, t1: np.ndarray, last: Shared, base: float, rng: np.rando
     return k0, seat(k0, np.full(len(k0), base), last.discounts[0], rng)
 
 
-def predict(types: Types, seats: Seats, own: Shared) -> np.ndarray:
-    """Probability of every type given its class; ``own`` has the totals of this same seating, so the
+def predict(types: Types, seats: Seats, own: Shared, upper: Upper | None = None) -> np.ndarray:
+    """Probability of every type given its context; ``own`` has the totals of this same seating, so the
     probabilities of all words and of an unknown one add up to 1."""
     t2, k1, t1, k0, t0 = seats
-    hot = types.heavy >= 0
-    k0, t0 = k0.copy(), t0.copy()
-    k0[hot], t0[hot] = own.totals[_HK + types.heavy[hot]], own.totals[_HT + types.heavy[hot]]
-    return own.wide(types, t2, own.near(types, k1, t1, own.root(k0, t0)))
+    upper = upper or Upper(k0, t0, k1[types.hot], t1[types.hot])
+    return own.wide(types, t2, _near(types, own, k1, t1, upper, own.root(k0, t0)))
+
+
+def _small(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint8 if not len(x) or x.max() < 256 else np.uint32)
+
+
+def _ask(types: Types, k1: np.ndarray, t1: np.ndarray, groups: int, c: np.ndarray | None, p0: np.ndarray | None) -> Iterator[tuple[int, bytes]]:
+    """(group, its words with their customers at the root, and those of heavy previous words); words
+    are in the order of their hashes, and so are the groups."""
+    k0 = np.bincount(types.gw, weights=t1, minlength=len(types.word)).astype(np.int64)
+    hot = types.hot[np.argsort(types.gw[types.hot], kind="stable")]
+    at, hw = _groups(types.word, groups), types.gw[hot]
+    cuts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1], [True])))
+    for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        a, b = np.searchsorted(hw, (x, y))
+        own = hot[a:b]
+        yield int(at[x]), _pack(
+            types.word[x:y], _small(k0[x:y]), None if c is None else _small(c[x:y]),
+            (hw[a:b] - x).astype(np.uint32), types.heavy[types.gc[own]].astype(np.int16), _small(k1[own]), None if p0 is None else p0[hw[a:b]],
+        )
+
+
+def _groups(word: np.ndarray, groups: int) -> np.ndarray:
+    return ((word >> np.uint64(34)).astype(np.int64) * groups) >> 30
+
+
+def _answered(types: Types, blobs: list[bytes]) -> tuple[Upper, np.ndarray]:
+    """What the groups, in order, answered to ``_ask``; the words' training counts with the first answer."""
+    got = [_unpack(x) for x in blobs]
+    k0, t0, c, k1, t1 = (np.concatenate([x[i].astype(np.int64) for x in got]) for i in range(5))
+    back = np.argsort(np.argsort(types.gw[types.hot], kind="stable"), kind="stable")
+    return Upper(k0, t0, k1[back], t1[back]), c
+
+
+def _serve(asked: list[bytes], sums: np.ndarray | None, discounts: tuple | None, rng: np.random.Generator) -> tuple[list[bytes], np.ndarray]:
+    """Seats the root, and the restaurants of heavy previous words, for a group of words: the answers, and
+    shared totals.  The first time (no ``sums``) every word has one table."""
+    got = [_unpack(x) for x in asked]
+    word, at = np.unique(np.concatenate([x[0] for x in got]), return_inverse=True)
+    cuts = np.cumsum([0, *[len(x[0]) for x in got]])
+    k0 = np.bincount(at, weights=np.concatenate([x[1] for x in got]), minlength=len(word)).astype(np.int64)
+    hw = np.concatenate([at[a + x[3].astype(np.int64)] for a, x in zip(cuts, got)]).astype(np.int64)
+    key, which = np.unique(hw * HEAVY + np.concatenate([x[4] for x in got]), return_inverse=True)
+    k1 = np.bincount(which, weights=np.concatenate([x[5] for x in got]), minlength=len(key)).astype(np.int64)
+    hv = key % HEAVY
+    out = np.zeros(SIZE, dtype=np.int64)
+    c = np.zeros(len(word), dtype=np.int64)
+    if sums is None:
+        c = np.bincount(at, weights=np.concatenate([x[2] for x in got]), minlength=len(word)).astype(np.int64)
+        out[_V] = (c > 0).sum()
+        t1 = (k1 > 0).astype(np.int64)
+    else:
+        p0 = np.zeros(len(key))
+        p0[which] = np.concatenate([x[6] for x in got])
+        t1 = seat(k1, (STRENGTH + discounts[1] * sums[_T1 + hv]) * p0, discounts[1], rng)
+    k0 += np.bincount(key // HEAVY, weights=t1, minlength=len(word)).astype(np.int64)
+    if sums is None:
+        t0 = (k0 > 0).astype(np.int64)
+    else:
+        t0 = seat(k0, np.full(len(k0), (STRENGTH + discounts[0] * sums[_ROOT + 1]) / (sums[_V] + 1)), discounts[0], rng)
+    np.add.at(out, _C1 + hv, k1)
+    np.add.at(out, _T1 + hv, t1)
+    out[_ROOT], out[_ROOT + 1] = k0.sum(), t0.sum()
+    out[_ONES + 2 :] = [(x == m).sum() for x in (k1, k0) for m in (1, 2)]
+    hots = np.cumsum([0, *[len(x[3]) for x in got]])
+    answers = []
+    for x, y, a, b in zip(cuts[:-1], cuts[1:], hots[:-1], hots[1:]):
+        i, j = at[x:y], which[a:b]
+        answers.append(_pack(_small(k0[i]), _small(t0[i]), _small(c[i]) if sums is None else c[:0], _small(k1[j]), _small(t1[j])))
+    return answers, out
 
 
 def _sum_totals(parts: DataFrame) -> np.ndarray:
@@ -484,94 +610,169 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
+#: Rows of the tables between the passes: at a bucket or group of words, from the other.
+_ROWS = "at long, kind int, source long, blob binary"
+_TYPES, _FOUND, _ASK, _ANSWER, _SEATS, _SUMS, _DOCS = range(7)
+
+
+def _rows(*rows: tuple[int, int, int, bytes]) -> pd.DataFrame:
+    return pd.DataFrame(list(rows), columns=["at", "kind", "source", "blob"])
+
+
+def _each(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list[tuple[int, int, bytes]]]]:
+    """(at, its rows) of frames that come in the order of ``at``."""
+    own, held = None, []
+    for frame in frames:
+        for at, kind, source, blob in zip(frame["at"], frame["kind"], frame["source"], frame["blob"]):
+            if at != own and held:
+                yield own, held
+                held = []
+            own = at
+            held.append((kind, source, blob))
+    if held:
+        yield own, held
+
+
+def _meet(*tables: DataFrame) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out.repartition("at").sortWithinPartitions("at", "kind", "source")
+
+
 def score_table(df: DataFrame, key: str, text: str, samples: int = SAMPLES) -> DataFrame:
     """Per row: key, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     spark = df.sparkSession
     tokens.bound_batches(spark)
     rows = df.select(df[key].cast("long").alias("k"), (~held_out(df[key])).alias("train"), df[text].alias("t"))
     heavy, total, learnt = _first_pass(rows)
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_TOKENS))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(parts, -(-total // BUCKET_TOKENS))
+    word_groups = max(parts, -(-total // WORD_TOKENS))
     if buckets <= DIRECT:
         blocks = _blocks(rows, heavy, buckets).withColumn("ids", F.lit(None).cast("binary"))
     else:
         per_group = int(np.ceil(np.sqrt(buckets)))
         groups = -(-buckets // per_group)
         blocks = _divide(_blocks(rows, heavy, buckets, per_group), heavy, buckets, groups, total)
-    kind = "bucket long, types binary, found binary, totals binary"
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        if frame["bucket"].iloc[0] < 0:  # the chunks' documents pass through
-            return pd.DataFrame({"bucket": -1 - frame["chunk"], "types": frame["blob"], "found": None, "totals": None})
-        return _merge(frame, heavy)
+        bucket = int(frame["bucket"].iloc[0])
+        if bucket < 0:  # the chunks' documents pass through
+            return _rows(*[(int(c), _DOCS, 0, b) for c, b in zip(frame["chunk"], frame["blob"])])
+        made, found = _merge(frame, heavy)
+        types = _types(made)
+        t2 = (types.c > 0).astype(np.int64)
+        k1 = np.bincount(types.g, weights=t2, minlength=len(types.gw)).astype(np.int64)
+        t1 = (k1 > 0).astype(np.int64)
+        t1[types.hot] = 0
+        sums = _pair_sums(types, t2)
+        alone = np.delete(k1, types.hot)
+        sums[_ONES : _ONES + 4] = [(x == m).sum() for x in (types.c, alone) for m in (1, 2)]
+        counts = np.bincount(types.w, weights=types.c, minlength=len(types.word)).astype(np.int64)
+        asks = [(g, _ASK, bucket, b) for g, b in _ask(types, k1, t1, word_groups, counts, None)]
+        return _rows((bucket, _TYPES, 0, made), (bucket, _FOUND, 0, found), (bucket, _SUMS, 0, _pack(sums)), *asks)
 
     by = F.when(F.col("bucket") < 0, -1 - F.col("chunk")).otherwise(F.col("bucket"))
-    merged = runtime.stage(blocks.withColumn("by", by).groupBy("by").applyInPandas(merge, kind), "buckets")
-    parts = merged.where("bucket >= 0")
-    totals = _sum_totals(parts)
-    v = int(totals[_V]) + len(heavy)
-    discounts = _discounts(totals)
-    heavy_counts = totals[_HC : _HC + HEAVY]
-    totals[_HT : _HT + HEAVY][: len(heavy)] = 1
-    given = [Shared(totals, discounts, v)]
-
-    def sweep(shared: Shared, turn: int):
+    merged = runtime.stage(blocks.withColumn("by", by).groupBy("by").applyInPandas(merge, _ROWS), "buckets")
+    made = merged.where(F.col("kind") == _TYPES)
+
+    def serve(turn: int, sums: np.ndarray | None, discounts: tuple | None):
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for group, got in _each(frames):
+                answers, own = _serve([b for _, _, b in got], sums, discounts, np.random.default_rng((turn, 1 << 40, group)))
+                yield _rows((group, _SUMS, 0, _pack(own)), *[(bucket, _ANSWER, group, b) for (_, bucket, _), b in zip(got, answers)])
+
+        return run
+
+    def sums_of(*tables: DataFrame) -> np.ndarray:
+        own = [t.where(F.col("kind") == _SUMS).select(F.col("blob").alias("totals")) for t in tables]
+        return _sum_totals(own[0].unionByName(own[1]))
+
+    def answers_of(table: DataFrame) -> DataFrame:
+        return table.where(F.col("kind") == _ANSWER)
+
+    def served(table: DataFrame, turn: int, *given) -> DataFrame:
+        asked = _meet(table.where(F.col("kind") == _ASK))
+        return runtime.stage(asked.mapInPandas(serve(turn, *(given or (None, None))), _ROWS), f"words{turn}")
+
+    words = [served(merged, 0)]
+    sums = sums_of(merged, words[0])
+    discounts, v = _discounts(sums), int(sums[_V])
+    given, seats = [sums], []
+
+    def sweep(turn: int, sums: np.ndarray):
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros(SIZE, dtype=np.int64)
-            for frame in frames:
-                for bucket, blob in zip(frame["bucket"], frame["types"]):
-                    types = _types(blob)
-                    t2, k1, t1, _, t0 = seating(types, shared, (turn, int(bucket)))
-                    total += _totals(types, t2, k1, t1, t0)
-            yield pd.DataFrame({"totals": [_pack(total)]})
+            for bucket, got in _each(frames):
+                types = _types(got[0][2])
+                upper, _ = _answered(types, [b for kind, _, b in got if kind == _ANSWER])
+                drawn = [b for kind, _, b in got if kind == _SEATS]
+                if drawn:
+                    t2, t1 = (x.astype(np.int64) for x in _unpack(drawn[0]))
+                else:
+                    t2 = (types.c > 0).astype(np.int64)
+                    t1 = (np.bincount(types.g, weights=t2, minlength=len(types.gw)) > 0).astype(np.int64)
+                    t1[types.hot] = 0
+                totals = lambda t2, k1, t1: _given(types, t2, k1, t1, sums, discounts)
+                t2, k1, t1 = lower(types, totals, upper, t2, t1, np.random.default_rng((turn, bucket)))
+                p0 = totals(t2, k1, t1).root(upper.k0, upper.t0)
+                asks = [(g, _ASK, bucket, b) for g, b in _ask(types, k1, t1, word_groups, None, p0)]
+                yield _rows((bucket, _SEATS, turn, _pack(_small(t2), _small(t1))), (bucket, _SUMS, 0, _pack(_pair_sums(types, t2))), *asks)
 
         return run
 
-    for turn in range(samples):
-        drawn = parts.select("bucket", "types").mapInPandas(sweep(given[-1], turn), "totals binary")
-        after = _sum_totals(drawn)
-        after[_HT : _HT + HEAVY] = _root_tables(after[_HK : _HK + HEAVY], given[-1], turn)
-        given.append(Shared(after, discounts, v))
-    shipped = spark.sparkContext.broadcast((given, heavy_counts))
+    for turn in range(1, samples + 1):
+        drawn = _meet(made, answers_of(words[-1]), *[s.where(F.col("kind") == _SEATS) for s in seats[-1:]])
+        seats.append(runtime.stage(drawn.mapInPandas(sweep(turn, given[-1]), _ROWS), f"seats{turn}"))
+        words.append(served(seats[-1], turn, given[-1], discounts))
+        after = sums_of(seats[-1], words[-1])
+        after[_V] = v
+        given.append(after)
 
     def packed(sums: dict[int, np.ndarray]) -> pd.DataFrame:
         return pd.DataFrame({"chunk": list(sums), "sums": [_pack(x[0], x[1], x[2].astype(np.uint32)) for x in sums.values()]})
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        given, heavy_counts = shipped.value
         sums: dict[int, np.ndarray] = {}
-        for frame in frames:
-            for bucket, blob, found in zip(frame["bucket"], frame["types"], frame["found"]):
-                types = _types(blob)
-                drawn = enumerate(zip(given[:-1], given[1:]))  # the seatings are drawn again from their seeds
-                p = sum(predict(types, seating(types, last, (turn, int(bucket))), own) for turn, (last, own) in drawn) / (len(given) - 1)
-                c = types.learnt.copy()
-                hot = types.heavy >= 0
-                c[hot] = heavy_counts[types.heavy[hot]]
-                n, chunk, doc, ids = _unpack(found)
-                per = np.stack([np.log10(p), np.log10(c[types.w] + 1.0), (c[types.w] > 0).astype(float)])
-                per = np.repeat(per, n, axis=1)
-                order = np.argsort(chunk, kind="stable")
-                cuts = np.searchsorted(chunk[order], np.arange(len(ids) + 1))
-                for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
-                    if b > a:
-                        at = order[a:b]
-                        size = int(doc[at].max()) + 1
-                        got = np.stack([np.bincount(doc[at], weights=x[at], minlength=size) for x in per])
-                        old = sums.get(int(ids[i]))
-                        if old is not None:
-                            if old.shape[1] < size:
-                                old, got = got, old
-                            old[:, : got.shape[1]] += got
-                            got = old
-                        sums[int(ids[i])] = got
-                if sum(x.shape[1] for x in sums.values()) > HELD_DOCS:
-                    yield packed(sums)
-                    sums = {}
+        for _, got in _each(frames):
+            types = _types(got[0][2])
+            found = next(b for kind, _, b in got if kind == _FOUND)
+            answers = [[b for kind, source, b in got if kind == _ANSWER + 10 * turn] for turn in range(samples + 1)]
+            c = _answered(types, answers[0])[1]
+            p = np.zeros(len(types.w))
+            for turn in range(1, samples + 1):
+                t2, t1 = (x.astype(np.int64) for x in _unpack(next(b for kind, source, b in got if kind == _SEATS and source == turn)))
+                k1 = np.bincount(types.g, weights=t2, minlength=len(types.gw)).astype(np.int64)
+                upper, _ = _answered(types, answers[turn])
+                own = _given(types, t2, k1, t1, given[turn], discounts)
+                p += predict(types, (t2, k1, t1, upper.k0, upper.t0), own, upper) / samples
+            n, chunk, doc, ids = _unpack(found)
+            per = np.stack([np.log10(p), np.log10(c[types.w] + 1.0), (c[types.w] > 0).astype(float)])
+            per = np.repeat(per, n, axis=1)
+            order = np.argsort(chunk, kind="stable")
+            cuts = np.searchsorted(chunk[order], np.arange(len(ids) + 1))
+            for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+                if b > a:
+                    at = order[a:b]
+                    size = int(doc[at].max()) + 1
+                    part = np.stack([np.bincount(doc[at], weights=x[at], minlength=size) for x in per])
+                    old = sums.get(int(ids[i]))
+                    if old is not None:
+                        if old.shape[1] < size:
+                            old, part = part, old
+                        old[:, : part.shape[1]] += part
+                        part = old
+                    sums[int(ids[i])] = part
+            if sum(x.shape[1] for x in sums.values()) > HELD_DOCS:
+                yield packed(sums)
+                sums = {}
         if sums:
             yield packed(sums)
 
-    partial = parts.select("bucket", "types", "found").mapInPandas(score, "chunk long, sums binary")
-    index = merged.where("bucket < 0").select((-1 - F.col("bucket")).alias("chunk"), F.col("types").alias("sums"), F.lit(True).alias("index"))
+    told = [answers_of(t).withColumn("kind", F.col("kind") + F.lit(10 * turn)) for turn, t in enumerate(words)]
+    whole = _meet(merged.where(F.col("kind").isin(_TYPES, _FOUND)), *[s.where(F.col("kind") == _SEATS) for s in seats], *told)
+    partial = whole.mapInPandas(score, "chunk long, sums binary")
+    index = merged.where(F.col("kind") == _DOCS).select(F.col("at").alias("chunk"), F.col("blob").alias("sums"), F.lit(True).alias("index"))
     both = index.unionByName(partial.withColumn("index", F.lit(False)))
     unseen = float(np.log10(learnt + v + 1.0))
 
@@ -593,11 +794,15 @@ def score_table(df: DataFrame, key: str, text: str, samples: int = SAMPLES) -> D
     return both.groupBy("chunk").applyInPandas(finish, out).withColumnRenamed("k", key)
 
 
-def _types(blob: bytes) -> Types:
-    word, learnt, hot, tw, tc, c = _unpack(blob)
-    return Types(word, learnt, hot, tw, tc, c.astype(np.int64))
+def _pair_sums(types: Types, t2: np.ndarray) -> np.ndarray:
+    out = np.zeros(SIZE, dtype=np.int64)
+    some = np.flatnonzero(types.pairs[types.c2] >= 0)
+    at = types.pairs[types.c2[some]].astype(np.int64)
+    np.add.at(out, _C2 + at, types.c[some])
+    np.add.at(out, _T2 + at, t2[some])
+    return out
 
 
-def _root_tables(k0: np.ndarray, shared: Shared, turn: int) -> np.ndarray:
-    base = np.full(len(k0), (STRENGTH + shared.discounts[0] * shared.t0) / (shared.v + 1))
-    return seat(k0, base, shared.discounts[0], np.random.default_rng((turn, 1 << 40)))
+def _types(blob: bytes) -> Types:
+    word, heavy, w, c2, c, c1, pairs = _unpack(blob)
+    return Types(word, None, heavy.astype(np.int64), w, c2, c.astype(np.int64), c1, pairs.astype(np.int64))

@@ -151,3 +151,32 @@ def test_groups_of_buckets_change_nothing(spark, sf01, monkeypatch):
     assert np.allclose([r[5:] for r in grouped], [r[5:] for r in direct], rtol=1e-9)
     compare_rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     assert sorted(counted(compare_rows))[0][2:5] == direct[0][2:5]
+
+
+def test_every_context_has_a_restaurant_of_its_own(spark):
+    """24000 words that each have one follower: contexts that shared a restaurant would blur it."""
+    n = 24_000
+    pairs = lambda i: f"p{i * 7919 % n} q{i * 7919 % n}"
+    learnt = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 7 != 2][:2400]
+    held = next(i for i in range(5000, 5100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    rows = [(k, " ".join(pairs(at * 40 + j) for j in range(40))) for at, k in enumerate(learnt)]
+    right = " ".join(f"p{i} q{i}" for i in range(0, 2000, 10))
+    wrong = " ".join(f"p{i} q{i + 10}" for i in range(0, 2000, 10))
+    rows += [(held, right), (held, wrong)]
+    got = sorted(r["score"] for r in py.score_table(frame(spark, rows), "doc_id", "text").collect() if r["doc_id"] == held)
+    # Every q costs several powers of ten less after its own p.
+    assert got[1] > got[0] + 200 * 2.5, got
+
+
+def test_heavy_contexts_are_divided_without_loss(spark, monkeypatch):
+    """A heavy word and a heavy pair, divided over buckets, score as they do in one bucket."""
+    rows = [(i, " ".join(f"hot pair w{(i * 31 + j) % 50} hot w{(i * 17 + j) % 90}" for j in range(30))) for i in range(300)]
+    docs = frame(spark, rows)
+    divided = {r["doc_id"]: r["score"] for r in py.score_table(docs, "doc_id", "text").collect()}
+    (words, two), total, learnt = first = py._first_pass(docs.select("doc_id", "text").selectExpr("doc_id as k", "true as train", "text as t"))
+    assert len(words) >= 2 and len(two) and total == learnt, first
+    whole = py._first_pass
+    monkeypatch.setattr(py, "_first_pass", lambda rows: ((words[:0], two[:0]), *whole(rows)[1:]))
+    undivided = {r["doc_id"]: r["score"] for r in py.score_table(docs, "doc_id", "text").collect()}
+    a, b = (sum(x.values()) for x in (divided, undivided))
+    assert a == pytest.approx(b, rel=0.02)
