@@ -6,11 +6,19 @@ word bigrams: dice = 2 * overlap / (n_unit + n_template).  For a threshold t onl
 n_template * t / (2 - t) <= n_unit <= n_template * (2 - t) / t can reach it, so longer and shorter
 units are pruned by their word count before any bigram is made.
 
+With ``passages`` on, notices that are neither a line nor a document are found too: wrapped over lines
+of a longer text, or inside a longer line.  A passage is a run of words.  A run that reaches t shares
+at least n_template * t / (2 - t) bigrams, so it has one of a few words that cover the rest of the template, and
+only texts with such a word are looked at (as lines and documents are).  There, the best run up to each shared bigram follows from
+running sums: 2 * overlap - t * n_unit is at least t * n_template.  It is looked for among runs of up to
+``REACH`` times the template, and the runs found are scored exactly.  Of runs that overlap the best is
+reported; none in a document that matches, in a line that matches, or over such a line of its licence.
+
 The templates are a fixed list in this module (a few hundred bigrams), so their table is broadcast;
 its size does not depend on the data.
 
 Defined cases: null, empty and one-word units match nothing; of templates with equal scores the
-first by name is reported; repeated rows are reported each; an empty table gives no rows.
+first by name is reported; a passage has the line of its first word; repeated rows are reported each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,6 +29,9 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Longest runs, by the template's size, among which a passage is looked for; and the largest size that can match.
+REACH = (1.0, 1.2)
+
 TEMPLATES = {
     "Apache-2.0-short": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": (
@@ -96,8 +107,8 @@ def _norm(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
 
-def scan(df: DataFrame, key: str, text: str, threshold: float = 0.8, templates: dict[str, str] | None = None) -> DataFrame:
-    """Matches: key, unit ('line' or 'document'), line (from 0; null for a document), license, dice."""
+def scan(df: DataFrame, key: str, text: str, threshold: float = 0.8, templates: dict[str, str] | None = None, passages: bool = False) -> DataFrame:
+    """Matches: key, unit ('line', 'document' or 'passage'), line (from 0; null for a document), license, dice."""
     spark = df.sparkSession
     bags = {name: _bigrams(t) for name, t in (templates or TEMPLATES).items()}
     sizes = {name: sum(bag.values()) for name, bag in bags.items()}
@@ -115,6 +126,8 @@ def scan(df: DataFrame, key: str, text: str, threshold: float = 0.8, templates:
     whole = docs.where(F.contains("t", F.lit("\n"))).select("rid", "k", F.lit(-1).alias("line"), F.col("t").alias("u"))
     units = lines.unionByName(whole).select("rid", "k", "line", F.split(_norm(F.col("u")), " ").alias("w"))
     units = units.withColumn("n_unit", F.size("w") - 1).where((F.col("n_unit") >= least) & (F.col("n_unit") <= most) & (F.col("n_unit") > 0))
+    anchors = F.array(*map(F.lit, sorted(set().union(*(_anchors(b, low) for b in bags.values())))))
+    units = units.where(F.arrays_overlap("w", anchors))
     pairs = F.zip_with(
         F.slice("w", F.lit(1), F.col("n_unit")), F.slice("w", F.lit(2), F.col("n_unit")), lambda a, b: F.concat_ws(" ", a, b)
     )
@@ -129,10 +142,83 @@ def scan(df: DataFrame, key: str, text: str, threshold: float = 0.8, templates:
     ).where(F.col("dice") >= threshold)
     rank = F.row_number().over(Window.partitionBy("rid", "line").orderBy(F.desc("dice"), "license"))
     best = dice.withColumn("_rank", rank).where("_rank = 1")
-    return best.select(
+    out = best.select(
         F.col("k").alias(key),
         F.when(F.col("line") < 0, F.lit("document")).otherwise(F.lit("line")).alias("unit"),
         F.when(F.col("line") >= 0, F.col("line")).alias("line"),
         "license",
         "dice",
     )
+    return out.unionByName(_passages(df, key, text, threshold, anchors, table)) if passages else out
+
+
+def _anchors(bag: Counter, low: float) -> set[str]:
+    """Words without which no text shares ``low`` of the bigrams; long words first."""
+    left, out = sum(bag.values()), set()
+    need = left * low
+    for word in sorted({w for g in bag for w in g.split()}, key=lambda w: (-len(w), w)):
+        if left < need - 1e-9:
+            break
+        out.add(word)
+        left = sum(n for g, n in bag.items() if not out & set(g.split()))
+    return out
+
+
+def _passages(df: DataFrame, key: str, text: str, threshold: float, anchors: Column, table: DataFrame) -> DataFrame:
+    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    docs = df.select(F.monotonically_increasing_id().alias("rid"), df[key].alias("k"), df[text].alias("t"))
+    docs = docs.where(F.arrays_overlap(F.split(_norm(F.col("t")), " "), anchors))
+    lines = F.transform(F.split("t", "\n"), lambda x: F.filter(F.split(_norm(x), " "), lambda w: w != ""))
+    docs = docs.select("rid", "k", lines.alias("lw")).select(
+        "rid", "k", F.flatten(F.transform("lw", lambda x, i: F.transform(x, lambda w: F.struct(w.alias("w"), i.alias("i"), F.size(x).alias("n"))))).alias("w")
+    )
+    n = F.size("w") - 1
+    docs = docs.withColumn("n_doc", n).where(n > 0)
+    pairs = F.zip_with(
+        F.slice("w", F.lit(1), n), F.slice("w", F.lit(2), n),
+        lambda a, b: F.struct(F.concat_ws(" ", a["w"], b["w"]).alias("gram"), a["i"].alias("first"), b["i"].alias("last"), (a["n"] - 1).alias("n_line")),
+    )
+    grams = docs.select("rid", "k", "n_doc", F.posexplode(pairs).alias("p", "x")).select("rid", "k", "n_doc", "p", "x.*")
+    by = Window.partitionBy("rid", "license")
+    met = grams.join(table, "gram").withColumn("m", F.count(F.lit(1)).over(by)).where(F.col("m") >= F.col("n_template") * low - 1e-9)
+    met = met.persist()  # a few hits of the texts that are left, used several times
+
+    def dice(hits: DataFrame, size: str, *unit: str) -> DataFrame:
+        keys = [*unit, "license", "n_template", size]
+        bag = hits.groupBy(*keys, "gram").agg(F.least(F.count(F.lit(1)), F.first("n_in_template")).alias("shared"))
+        score = 2.0 * F.sum("shared") / (F.col(size) + F.col("n_template"))
+        return bag.groupBy(*keys).agg(score.alias("dice")).where(F.col("dice") >= threshold)
+
+    order = by.orderBy("p")
+    at = met.withColumn("nth", F.row_number().over(order))
+    found = []
+    for reach in (*REACH, high):
+        # The order is scaled so that one frame has the same share of every template.
+        x = (F.col("p") * 1e9 / F.greatest(F.floor(F.col("n_template") * reach + 1e-9), F.lit(1))).cast("long")
+        frame = by.orderBy("x").rangeBetween(-(10**9) + 1, 0)
+        start = F.min(F.struct((2 * (F.col("nth") - 1) - threshold * F.col("p")).alias("a"), (-F.col("p")).alias("p"))).over(frame)
+        one = at.withColumn("x", x).withColumn("from", start)
+        gain = 2 * F.col("nth") - threshold * (F.col("p") + 1) - F.col("from.a")
+        one = one.select("rid", "license", "n_template", (-F.col("from.p")).alias("start"), F.col("p").alias("end"), gain.alias("gain"))
+        one = one.where(F.col("gain") >= threshold * F.col("n_template") - 1e-6)
+        found.append(one.groupBy("rid", "license", "n_template", "start").agg(F.max_by("end", F.struct("gain", -F.col("end"))).alias("end")))
+    runs = found[0].unionByName(found[1]).unionByName(found[2]).distinct().withColumn("n_unit", F.col("end") - F.col("start") + 1)
+    hits = met.drop("n_template").join(runs, ["rid", "license"]).where((F.col("p") >= F.col("start")) & (F.col("p") <= F.col("end")))
+    scored = dice(hits, "n_unit", "rid", "start", "end")
+    # Of overlapping runs the best; then the first by licence, then by place.
+    ranked = scored.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct((-F.col("dice")).alias("d"), "license", "start", "end"))).alias("all"))
+    apart = lambda a, b: (a["start"] > b["end"] + 1) | (a["end"] + 1 < b["start"])
+    none = F.slice("all", F.lit(1), F.lit(0))
+    kept = F.aggregate("all", none, lambda acc, x: F.when(F.forall(acc, lambda y: apart(x, y)), F.concat(acc, F.array(x))).otherwise(acc))
+    best = ranked.select("rid", F.explode(kept).alias("r")).select("rid", "r.license", "r.start", "r.end", (-F.col("r.d")).alias("dice"))
+    ends = met.select("rid", "k", "license", "p", "first", "last")
+    best = best.join(ends.select("rid", "k", "license", F.col("p").alias("start"), F.col("first").alias("line")), ["rid", "license", "start"])
+    best = best.join(ends.select("rid", "license", F.col("p").alias("end"), F.col("last").alias("to")), ["rid", "license", "end"])
+    whole = dice(met, "n_doc", "rid").select("rid").distinct()
+    lines = dice(met.where("first = last"), "n_line", "rid", "first").select("rid", F.col("first").alias("own"), F.col("license").alias("theirs"))
+    best = best.join(whole, "rid", "left_anti").alias("b").join(
+        lines.alias("l"),
+        F.expr("b.rid = l.rid and ((b.license = l.theirs and l.own between b.line and b.to) or (b.line = b.to and b.line = l.own))"),
+        "left_anti",
+    )
+    return best.select(F.col("k").alias(key), F.lit("passage").alias("unit"), "line", "license", "dice")

@@ -55,7 +55,7 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return license_scan.scan(table(spark, sf_dir, "documents"), "doc_id", "text", passages=True)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

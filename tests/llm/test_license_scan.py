@@ -58,3 +58,46 @@ def test_ties_go_to_the_first_name(spark):
     same = {"b": "one two three", "a": "One, two: three", "c": "four five six seven"}
     got = license_scan.scan(frame(spark, [(1, "one two three"), (1, "one two three")]), "doc_id", "text", templates=same)
     assert rows_of(got) == [(1, "line", 0, "a", 1.0)] * 2
+
+
+def best_run(text, license):
+    """The greatest dice of any run of words."""
+    w = re.sub("[^a-z0-9]+", " ", text.lower()).split()
+    grams, own = list(zip(w, w[1:])), bag(license_scan.TEMPLATES[license])
+    n = sum(own.values())
+    top = 0.0
+    for a in range(len(grams)):
+        left, shared = Counter(own), 0
+        for b in range(a, min(len(grams), a + 2 * n)):
+            if left[grams[b]] > 0:
+                left[grams[b]] -= 1
+                shared += 1
+            top = max(top, 2.0 * shared / (b - a + 1 + n))
+    return top
+
+
+def wrapped(text, width=9):
+    w = text.split()
+    return ["// " + " ".join(w[i : i + width]) for i in range(0, len(w), width)]
+
+
+def test_notices_within_longer_texts(spark):
+    """Wrapped over lines of a longer text, changed, inside a longer line, and twice in one text."""
+    t = license_scan.TEMPLATES
+    code = [f"int value{i} = call{i}(x{i}, y{i});" for i in range(300)]
+    prose = " ".join(f"some{i} plain{i} words{i}" for i in range(200))
+    changed = re.sub("Software", "Program", t["MIT"], count=4) + " without any more words of it"
+    rows, want = [], []
+    for i, name in enumerate(("Apache-2.0-header", "MIT", "ISC", "GPL-header", "MPL-2.0")):
+        rows += [(i, "\n".join([*code[:20], *wrapped(t[name]), *code])), (20 + i, f"{prose} {t[name]} {prose}")]
+        want += [(i, "passage", 20, name), (20 + i, "passage", 0, name)]
+    rows += [(40, "\n".join([*code[:7], *wrapped(changed), *code])), (41, "\n".join([*wrapped(t["MIT"]), *code[:3], *wrapped(t["MIT"]), *code])), (42, t["ISC"] + " " + t["MIT"])]
+    second = len(wrapped(t["MIT"])) + 3
+    want += [(40, "passage", 7, "MIT"), (41, "passage", 0, "MIT"), (41, "passage", second, "MIT"), (42, "passage", 0, "ISC"), (42, "passage", 0, "MIT")]
+    rows += [(50, "\n".join([*code, t["MIT"], *code])), (51, "\n".join(wrapped(t["MIT"]))), (52, prose), (53, "\n".join([*code, *wrapped(t["MIT"])[:9], *code])), (54, None)]
+    got = license_scan.scan(frame(spark, rows), "doc_id", "text", passages=True)
+    got = [r for r in rows_of(got) if r[1] == "passage" and not r[3].endswith("-short")]
+    assert [r[:4] for r in got] == sorted(want, key=repr)
+    texts = dict(rows)
+    for k, _, _, name, dice in got:
+        assert abs(dice - best_run(texts[k], name)) < 1e-6, (k, name)
