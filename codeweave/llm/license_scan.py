@@ -14,8 +14,8 @@ running sums: 2 * overlap - t * n_unit is at least t * n_template.  It is looked
 ``REACH`` times the template, and the runs found are scored exactly.  Of runs that overlap the best is
 reported; none in a document that matches, in a line that matches, or over such a line of its licence.
 
-The templates are a fixed list in this module (a few hundred bigrams), so their table is broadcast;
-its size does not depend on the data.
+The templates are a fixed list, short notices in this module and whole texts in ``licenses`` (some twenty
+thousand bigrams), so their table is broadcast; its size does not depend on the data.
 
 Defined cases: null, empty and one-word units match nothing; of templates with equal scores the
 first by name is reported; a passage has the line of its first word; repeated rows are reported each; an empty table gives no rows.
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,20 +83,37 @@ TEMPLATES = {
         "not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
     ),
     "BSD-short": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
-    "BSD-2-Clause": (
+    "BSD-2-Clause-short": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
         "the following conditions are met: Redistributions of source code must retain the above copyright notice, this "
         "list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above "
         "copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
         "materials provided with the distribution."
     ),
-    "Unlicense": (
+    "Unlicense-short": (
         "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, "
         "use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
         "purpose, commercial or non-commercial, and by any means."
     ),
+    "LGPL-header": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+        "General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at "
+        "your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY "
+        "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU "
+        "Lesser General Public License for more details."
+    ),
+    "AGPL-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+        "option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY "
+        "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU "
+        "Affero General Public License for more details."
+    ),
     "All-rights-reserved": "Copyright. All rights reserved.",
 }
+TEMPLATES["MPL-2.0-header"] = TEMPLATES.pop("MPL-2.0")
+#: Whole licence texts, by the names of their files.
+TEMPLATES |= {p.stem: p.read_text() for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
 
 
 def _bigrams(text: str) -> Counter:
@@ -126,8 +144,8 @@ def scan(df: DataFrame, key: str, text: str, threshold: float = 0.8, templates:
     whole = docs.where(F.contains("t", F.lit("\n"))).select("rid", "k", F.lit(-1).alias("line"), F.col("t").alias("u"))
     units = lines.unionByName(whole).select("rid", "k", "line", F.split(_norm(F.col("u")), " ").alias("w"))
     units = units.withColumn("n_unit", F.size("w") - 1).where((F.col("n_unit") >= least) & (F.col("n_unit") <= most) & (F.col("n_unit") > 0))
-    anchors = F.array(*map(F.lit, sorted(set().union(*(_anchors(b, low) for b in bags.values())))))
-    units = units.where(F.arrays_overlap("w", anchors))
+    anchors = sorted(set().union(*(_anchors(b, low) for b in bags.values())))
+    units = units.where(F.exists("w", lambda x: x.isin(anchors)))
     pairs = F.zip_with(
         F.slice("w", F.lit(1), F.col("n_unit")), F.slice("w", F.lit(2), F.col("n_unit")), lambda a, b: F.concat_ws(" ", a, b)
     )
@@ -154,20 +172,25 @@ def scan(df: DataFrame, key: str, text: str, threshold: float = 0.8, templates:
 
 def _anchors(bag: Counter, low: float) -> set[str]:
     """Words without which no text shares ``low`` of the bigrams; long words first."""
-    left, out = sum(bag.values()), set()
+    rest, out = dict(bag), set()
+    left = sum(bag.values())
     need = left * low
-    for word in sorted({w for g in bag for w in g.split()}, key=lambda w: (-len(w), w)):
+    grams = {}
+    for g in bag:
+        for w in g.split():
+            grams.setdefault(w, set()).add(g)
+    for word in sorted(grams, key=lambda w: (-len(w), w)):
         if left < need - 1e-9:
             break
         out.add(word)
-        left = sum(n for g, n in bag.items() if not out & set(g.split()))
+        left -= sum(rest.pop(g, 0) for g in grams[word])
     return out
 
 
-def _passages(df: DataFrame, key: str, text: str, threshold: float, anchors: Column, table: DataFrame) -> DataFrame:
+def _passages(df: DataFrame, key: str, text: str, threshold: float, anchors: list[str], table: DataFrame) -> DataFrame:
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     docs = df.select(F.monotonically_increasing_id().alias("rid"), df[key].alias("k"), df[text].alias("t"))
-    docs = docs.where(F.arrays_overlap(F.split(_norm(F.col("t")), " "), anchors))
+    docs = docs.where(F.exists(F.split(_norm(F.col("t")), " "), lambda x: x.isin(anchors)))
     lines = F.transform(F.split("t", "\n"), lambda x: F.filter(F.split(_norm(x), " "), lambda w: w != ""))
     docs = docs.select("rid", "k", lines.alias("lw")).select(
         "rid", "k", F.flatten(F.transform("lw", lambda x, i: F.transform(x, lambda w: F.struct(w.alias("w"), i.alias("i"), F.size(x).alias("n"))))).alias("w")

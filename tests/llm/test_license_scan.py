@@ -88,7 +88,7 @@ def test_notices_within_longer_texts(spark):
     prose = " ".join(f"some{i} plain{i} words{i}" for i in range(200))
     changed = re.sub("Software", "Program", t["MIT"], count=4) + " without any more words of it"
     rows, want = [], []
-    for i, name in enumerate(("Apache-2.0-header", "MIT", "ISC", "GPL-header", "MPL-2.0")):
+    for i, name in enumerate(("Apache-2.0-header", "MIT", "ISC", "GPL-header", "MPL-2.0-header")):
         rows += [(i, "\n".join([*code[:20], *wrapped(t[name]), *code])), (20 + i, f"{prose} {t[name]} {prose}")]
         want += [(i, "passage", 20, name), (20 + i, "passage", 0, name)]
     rows += [(40, "\n".join([*code[:7], *wrapped(changed), *code])), (41, "\n".join([*wrapped(t["MIT"]), *code[:3], *wrapped(t["MIT"]), *code])), (42, t["ISC"] + " " + t["MIT"])]
@@ -101,3 +101,15 @@ def test_notices_within_longer_texts(spark):
     texts = dict(rows)
     for k, _, _, name, dice in got:
         assert abs(dice - best_run(texts[k], name)) < 1e-6, (k, name)
+
+
+def test_whole_licences(spark):
+    """Complete texts with another holder, alone and within a longer text."""
+    t = license_scan.TEMPLATES
+    names = ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense")
+    code = "\n".join(f"int value{i} = call{i}(x{i}, y{i});" for i in range(600))
+    rows = [(i, "Copyright 2020 Some Person\n\n" + t[n]) for i, n in enumerate(names)]
+    rows += [(100 + i, f"{code}\n{t[n].strip()}\n{code}") for i, n in enumerate(names[:4])]
+    got = rows_of(license_scan.scan(frame(spark, rows), "doc_id", "text", passages=True))
+    assert [(r[0], r[3]) for r in got if r[1] == "document"] == list(enumerate(names))
+    assert {(100 + i, "passage", 600, n) for i, n in enumerate(names[:4])} <= {r[:4] for r in got}
