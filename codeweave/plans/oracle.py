@@ -86,6 +86,12 @@ SQL: dict[str, str] = {
             || 'func (t *T' || doc_id || ') F' || doc_id || '(a int) error {' || chr(10) || chr(9) || 'return nil' || chr(10) || '}' || chr(10) || chr(10) || 'func g(b string) {}' || chr(10)) AS content_hash,
           'F' || doc_id || '|func (t *T' || doc_id || ') F' || doc_id || '(a int) error|10|12|true;g|func g(b string)|14|14|false' AS functions,
           'T' || doc_id || '|struct|6|8' AS types, 'fmt' AS imports FROM documents""",
+    "go_symbols_whole": """WITH d AS (SELECT doc_id, replace(text, chr(13), '') AS t FROM documents), n AS (SELECT *, len(string_split(t, chr(10))) - 1 AS n FROM d)
+        SELECT 'd' || doc_id || '.go' AS path,
+          sha256('package p' || chr(10) || chr(10) || 'import "fmt"' || chr(10) || chr(10) || '// ' || replace(t, chr(10), chr(10) || '// ') || chr(10) || 'type T' || doc_id || ' struct {' || chr(10) || chr(9) || 'x int' || chr(10) || '}' || chr(10) || chr(10)
+            || 'func (t *T' || doc_id || ') F' || doc_id || '(a int) error {' || chr(10) || chr(9) || 'return nil' || chr(10) || '}' || chr(10) || chr(10) || 'func g(b string) {}' || chr(10)) AS content_hash,
+          'F' || doc_id || '|func (t *T' || doc_id || ') F' || doc_id || '(a int) error|' || (n + 10) || '|' || (n + 12) || '|true;g|func g(b string)|' || (n + 14) || '|' || (n + 14) || '|false' AS functions,
+          'T' || doc_id || '|struct|' || (n + 6) || '|' || (n + 8) AS types, 'fmt' AS imports FROM n""",
     "dep_edges": f"WITH {_EDGES} SELECT 'p' || p_partkey AS path, CAST(count(dst) AS INTEGER) AS n_deps, md5(coalesce(string_agg(dst, ',' ORDER BY dst), '')) AS deps_md5 FROM part LEFT JOIN e ON src = 'p' || p_partkey GROUP BY 1",
     "reverse_graph": f"WITH {_EDGES}, n AS (SELECT 'p' || p_partkey AS path FROM part UNION SELECT dst FROM e) SELECT path, CAST(count(src) AS INTEGER) AS n_deps, md5(coalesce(string_agg(src, ',' ORDER BY src), '')) AS deps_md5 FROM n LEFT JOIN e ON dst = path GROUP BY 1",
     "affected_closure": f"""WITH RECURSIVE {_PLACES}, mf AS (

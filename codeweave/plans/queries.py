@@ -176,10 +176,20 @@ def ground_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def go_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a Go file that has its first line as a comment."""
-    i = F.col("doc_id").cast("string")
     first = F.regexp_replace(text.lines(F.col("text"))[0], "\r", "")
+    return _go_index(spark, sf_dir, F.concat(F.lit("// "), first))
+
+
+@query
+def go_symbols_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a Go file that has all of its lines as comments."""
+    return _go_index(spark, sf_dir, F.array_join(F.transform(F.split(F.regexp_replace("text", "\r", ""), "\n"), lambda x: F.concat(F.lit("// "), x)), "\n"))
+
+
+def _go_index(spark: SparkSession, sf_dir: str, comment: Column) -> DataFrame:
+    i = F.col("doc_id").cast("string")
     source = F.concat(
-        F.lit("package p\n\nimport \"fmt\"\n\n// "), first, F.lit("\ntype T"), i, F.lit(" struct {\n\tx int\n}\n\nfunc (t *T"), i, F.lit(") F"), i,
+        F.lit("package p\n\nimport \"fmt\"\n\n"), comment, F.lit("\ntype T"), i, F.lit(" struct {\n\tx int\n}\n\nfunc (t *T"), i, F.lit(") F"), i,
         F.lit("(a int) error {\n\treturn nil\n}\n\nfunc g(b string) {}\n"),
     )
     files = _table(spark, sf_dir, "documents").select(_id("d", "doc_id").alias("p"), source.cast("binary").alias("content")).select(F.concat("p", F.lit(".go")).alias("path"), "content")
