@@ -121,6 +121,16 @@ SQL: dict[str, str] = {
         o AS (SELECT 'old/' || i AS path, h, row_number() OVER (PARTITION BY h ORDER BY 'old/' || i) AS nth FROM d),
         n AS (SELECT 'new/' || i AS path, h, row_number() OVER (PARTITION BY h ORDER BY 'new/' || i) AS nth FROM d)
         SELECT n.path, o.path AS old_path, 'renamed' AS type FROM o JOIN n USING (h, nth)""",
+    "rename_similar": """WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS i, sha256(text) AS h FROM documents WHERE regexp_matches(source, '^src[1-9]$')),
+        o AS (SELECT 'old/' || i AS x, h, count(*) OVER (PARTITION BY h) AS n, row_number() OVER (PARTITION BY h ORDER BY 'old/' || i) AS nth FROM d),
+        w AS (SELECT 'new/' || i AS y, h, row_number() OVER (PARTITION BY h ORDER BY 'new/' || i) AS nth FROM d),
+        p AS (SELECT h, x, y, list_max(list_transform(range(least(length(x), length(y)) + 1), lambda k: CASE WHEN right(x, k) = right(y, k) THEN k ELSE 0 END))::DOUBLE / greatest(length(x), length(y)) AS s
+              FROM o JOIN w USING (h) WHERE n <= 64),
+        g AS (SELECT list({'x': x, 'y': y} ORDER BY s DESC, x, y) AS pairs FROM p GROUP BY h),
+        r AS (SELECT list_reduce(list_prepend([]::STRUCT(x VARCHAR, y VARCHAR)[], list_transform(pairs, lambda q: [q])), lambda acc, q:
+              CASE WHEN list_contains(list_transform(acc, lambda z: z.x), q[1].x) OR list_contains(list_transform(acc, lambda z: z.y), q[1].y) THEN acc ELSE list_concat(acc, q) END) AS got FROM g)
+        SELECT u.y AS path, u.x AS old_path, 'renamed' AS type FROM (SELECT unnest(got) AS u FROM r)
+        UNION ALL SELECT y, x, 'renamed' FROM o JOIN w USING (h, nth) WHERE n > 64""",
     "index_upsert": """WITH ch AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'deleted' WHEN quality = 1 THEN 'modified' ELSE 'renamed' END AS t FROM labels),
         fresh AS (SELECT d.doc_id, md5(text || '!') AS h FROM documents d WHERE lang <> 'fr')
         SELECT 'd' || doc_id AS path, md5(text) AS content_hash FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ch WHERE t IN ('deleted', 'renamed'))

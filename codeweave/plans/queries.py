@@ -349,11 +349,21 @@ def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def rename_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of sources 1 to 9 move to another folder; copies make contents ambiguous."""
+    return changes.renames(_moves(spark, sf_dir), by_similarity=False)
+
+
+@query
+def rename_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same moves, the most similar paths paired first."""
+    return changes.renames(_moves(spark, sf_dir))
+
+
+def _moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("source", F.col("doc_id").cast("string").alias("i"), F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"))
     moved = F.rlike("source", F.lit("^src[1-9]$"))
     base = docs.select(F.concat(F.lit("old/"), "i").alias("path"), "content_hash")
     head = docs.select(F.concat(F.when(moved, F.lit("new/")).otherwise(F.lit("old/")), "i").alias("path"), "content_hash")
-    return changes.renames(changes.snapshot_diff(base, head), by_similarity=False)
+    return changes.snapshot_diff(base, head)
 
 
 @query
