@@ -2,17 +2,21 @@
 
 Everything staged here lives in the folder the cluster names in ``spark.checkpoint.dir``, so any
 executor (or a replacement for a lost one) can read it back.  A folder of our own is made only
-where that setting is absent, which is the case in tests.
+under a local master where that setting is absent, as in tests; on a cluster its absence is an error.
+What a table is staged from is not needed again, so the shuffle files of its job are removed with it.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LIVE: list[str] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: From here on an estimate stands for a size that is not known.
 UNKNOWN_BYTES = 1 << 60
 
@@ -33,9 +37,12 @@ def session(app: str = "codeweave", cpus: str | int = "*", **conf: str) -> Spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is configured."""
+    """The cluster's shared folder; under a local master without one a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = getattr(spark, "_codeweave_scratch", None)
         if not root:
             root = "file://" + tempfile.mkdtemp(prefix="codeweave-")
@@ -50,12 +57,46 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for the jobs run inside."""
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
+
+
 def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, cutting its lineage there."""
     spark = df.sparkSession
     path = path or scratch(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with setting(spark, _CLEANUP, "true"):
+        df.write.mode("overwrite").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._codeweave_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in tables:
+        drop(df.sparkSession, df._codeweave_path)
+
+
+def staged() -> frozenset[str]:
+    """The paths staged so far, for ``settle``."""
+    return frozenset(_LIVE)
+
+
+def settle(df: DataFrame, name: str, since: frozenset[str]) -> DataFrame:
+    """Stage a result and delete all else that was staged after ``since``."""
+    made = [path for path in _LIVE if path not in since]
+    out = stage(df, name)
+    for path in made:
+        drop(df.sparkSession, path)
+    return out
 
 
 def drop(spark: SparkSession, path: str) -> None:
