@@ -4,28 +4,31 @@
 * a restaurant for each previous word shares the root as parent;
 * a restaurant for each pair of previous words shares that of the previous word.
 
-Words are known by 64-bit hashes, and contexts by those of their words.
-
 A training token is a customer of a third-level restaurant; a table there sends one customer to the
 parent.  Customers of a word in a restaurant are seated by the Chinese restaurant process and then
 reseated one at a time by Gibbs sampling.  Words of more than ``EXACT`` customers in a restaurant are
 reseated together, a blocked Gibbs step: given all else their tables t have the probability
 base^t S(c, t), S the generalised Stirling numbers of the discount, from which t is drawn exactly up
 to ``STIRLING`` customers, and beyond it from the limit for many customers, 1 + Poisson(base / d).
-``SAMPLES`` seatings are drawn one after the other, and the score averages their predictive
-probabilities.
-
-Distribution.  Everything of a previous word is in one of a number of buckets that grows with the
-tokens, so the restaurants of the second and third level are whole there.  The root is in groups of
-words: a seating sends each group the customers of its words, and gets back the root's customers and
-tables of these words.  Map tasks send each bucket the occurrences after its words as blocks.  With
-many buckets blocks would become small, so they go to groups of buckets, about as many groups as a
-group has buckets, and tasks that gather the blocks of a group divide them into its buckets.  A previous
-word of a 128th of all tokens or more (there are at most 512 such) is divided over buckets by the word
-before it, and its restaurant is seated with the root, by word; a pair of such a share is divided by
-word.  Only the totals of these restaurants and of the root are shared by all, and have a fixed size.
-The text is read twice, the blocks are shuffled once (twice by way of groups), and per document only
-sums come back; a task holds the sums of at most ``HELD_DOCS`` documents and one chunk more.
+The first ``BURN_IN`` seatings are left out; the score averages the predictive probabilities of the
+``SAMPLES`` that follow.
+
+Distribution.  The text is read once and becomes chunks of numbered words.
+
+1. Every chunk tells groups of words its distinct words; a group sums them up and answers with their
+   ids (small for frequent words) and counts.
+2. A chunk reduces its tokens to types (word, previous word, the one before) with counts, and sends
+   each type to the bucket of its previous word, so a passage repeated within a chunk travels once.
+   The restaurants of a previous word and of its pairs are whole in a bucket.
+3. In a seating every bucket draws the tables of its restaurants and tells the groups of words the
+   customers of the root; a group seats the root for its words and answers.
+4. Buckets answer the chunks with the probabilities of their types, in the order they came.
+
+Previous words of more than ``HOT`` tokens are dealt over one section for every ``HOT`` tokens, by the
+word before; a pair of more than ``HOT`` tokens is dealt by word.  The customers of such a previous word
+are seated by word, with the root.  Only the totals of these restaurants and of the root are known to
+all; there is at most one of each for every ``HOT`` tokens.  A task holds one chunk, one bucket or one
+group of words, and a message at least one word or type, so nothing grows faster than the input.
 
 Defined cases: a null, empty or blank text is its end token; rows that share an id are scored each;
 a null id is in the training fold; without training rows every word is unknown, N and V are 0;
@@ -35,7 +38,7 @@ other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -47,37 +50,24 @@ from pyspark.sql import functions as F
 from codeweave import runtime
 from codeweave.llm import shingles, tokens
 
-#: Contexts of two words to one of one word, where types come without the latter.
-SPLIT = 1 << 3
-HEAVY, SECTIONS = 512, 64
-SAMPLES = 2
+BURN_IN, SAMPLES = 1, 2
 EXACT, STIRLING = 12, 512
 STRENGTH = 1.0
-BUCKET_TOKENS = 400_000
-#: Tokens of all documents to a group of words.
-WORD_TOKENS = 2_000_000
-CHUNK_BYTES, CHUNK_DOCS = 5 << 20, 32_000
-#: Word buckets up to which map tasks send a block to each; beyond, blocks go to groups of buckets first.
-DIRECT = 512
-#: Tokens that a group gathers before it is divided into its buckets, and that one dividing task takes.
-GATHERED, DIVIDED = 2_000_000, 40_000_000
-#: Documents whose sums a task holds before it hands them on.
-HELD_DOCS = 1_000_000
+BUCKET_TOKENS = 1_000_000
+#: Tokens from which a previous word, or a pair of them, is divided.
+HOT = 250_000
+CHUNK_TOKENS, CHUNK_DOCS = 900_000, 60_000
+#: Bytes of input to a group of words.
+GROUP_BYTES = 8 << 20
 _END = np.uint64(0x1F83D9ABFB41BD6B)
 _START = np.uint64(0x5BE0CD19137E2179)
-#: Layout of a vector of shared totals: customers and tables of heavy words and pairs, and of the root.
-_C1, _T1, _C2, _T2 = 0, HEAVY, 2 * HEAVY, 3 * HEAVY
-_V = 4 * HEAVY
-_ROOT = _V + 1
-_ONES = _ROOT + 2
-SIZE = _ONES + 6
-_SLICE = 2_048
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
+def _pack(*parts) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, protocol=5))
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(parts, protocol=5))
 
 
 def _unpack(blob: bytes) -> tuple:
@@ -86,45 +76,42 @@ def _unpack(blob: bytes) -> tuple:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
 
 
-def token_stream(column: pa.Array) -> tuple[np.ndarray, ...]:
-    """(word, the word before it, the one before that, text, tokens of each text); texts end with an end token."""
+def _thin(x: np.ndarray) -> np.ndarray:
+    """Whole numbers from 0 as byte planes of the least width, which compress well."""
+    kind = np.min_scalar_type(int(x.max())) if len(x) else np.dtype(np.uint8)
+    return np.ascontiguousarray(x.astype(kind).view(np.uint8).reshape(len(x), kind.itemsize).T)
+
+
+def _wide(planes: np.ndarray, kind=np.int64) -> np.ndarray:
+    return np.ascontiguousarray(planes.T).view(f"<u{len(planes)}").ravel().astype(kind)
+
+
+def token_stream(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(word hashes, tokens of each text); texts end with an end token."""
     h, off, _, _ = shingles.words(column)
-    n = len(off) - 1
     count = np.diff(off) + 1
-    total = int(count.sum())
     ends = np.cumsum(count) - 1
-    w = np.empty(total, dtype=np.uint64)
-    inner = np.ones(total, dtype=bool)
+    w = np.empty(int(count.sum()), dtype=np.uint64)
+    inner = np.ones(len(w), dtype=bool)
     inner[ends] = False
     w[inner], w[ends] = h, _END
-    first = ends - count + 1
-    before = np.empty(total, dtype=np.uint64)
-    before[1:] = w[:-1]
-    before[first] = _START
-    earlier = np.empty(total, dtype=np.uint64)
-    earlier[1:] = before[:-1]
-    earlier[first] = _START
-    return w, before, earlier, np.repeat(np.arange(n, dtype=np.int32), count), count
-
-
-def _chunks(batches: Iterator[pa.RecordBatch]):
-    """(columns k, train and the token stream) of about ``CHUNK_BYTES`` of text at a time."""
+    return w, count
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(k, train, word hashes, tokens of each text) of about ``CHUNK_TOKENS`` at a time."""
     held: list = []
     size = docs = 0
 
-    def join():
-        base = np.cumsum([0, *[len(x[0]) for x in held]], dtype=np.int32)
-        return (
-            [k for x in held for k in x[0]], np.concatenate([x[1] for x in held]), *(np.concatenate([x[2][i] for x in held]) for i in range(3)),
-            np.concatenate([x[2][3] + b for x, b in zip(held, base)]), np.concatenate([x[2][4] for x in held]),
-        )
+    def join() -> tuple:
+        return [k for x in held for k in x[0]], *(np.concatenate([x[i] for x in held]) for i in (1, 2, 3))
 
     for batch in tokens.slices(batches, "t", 1 << 20):
-        if held and (size > CHUNK_BYTES or docs + batch.num_rows > CHUNK_DOCS):
+        if held and (size > CHUNK_TOKENS or docs + batch.num_rows > CHUNK_DOCS):
             yield join()
             held, size, docs = [], 0, 0
-        held.append((batch.column("k").to_pylist(), batch.column("train").to_numpy(zero_copy_only=False).astype(bool), token_stream(batch.column("t"))))
-        size += len(held[-1][2][0]) * 6
+        held.append((batch.column("k").to_pylist(), batch.column("train").to_numpy(zero_copy_only=False).astype(bool), *token_stream(batch.column("t"))))
+        size += len(held[-1][2])
         docs += batch.num_rows
     if held:
         yield join()
@@ -139,188 +126,189 @@ def _found(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
 
 
 def _pair(v: np.ndarray, u: np.ndarray) -> np.ndarray:
-    return shingles.mix(v * np.uint64(0x9E3779B97F4A7C15) + shingles.mix(u))
-
-
-Heavy = tuple[np.ndarray, np.ndarray]
-
-
-def _bucket(v: np.ndarray, u: np.ndarray, w: np.ndarray, heavy: Heavy, buckets: int) -> np.ndarray:
-    hot = np.flatnonzero(_found(v, heavy[0]) >= 0)
-    own = v.copy()
-    if len(hot):
-        by = np.where(_found(_pair(v[hot], u[hot]), heavy[1]) >= 0, w[hot], u[hot])
-        own[hot] = shingles.mix(v[hot] + (by >> np.uint64(20)) % np.uint64(SECTIONS) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
-    return ((own >> np.uint64(34)).astype(np.int64) * buckets) >> 30
-
-
-def _first_pass(rows: DataFrame) -> tuple[Heavy, int, int]:
-    """The heavy previous words and pairs of them, the tokens of all rows and those of training rows."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = learnt = 0
-        for _, train, w, v, u, doc, _ in _chunks(batches):
-            keep = train[doc]
-            v, u = v[keep], u[keep]
-            total, learnt = total + len(w), learnt + len(v)
-            word, times = np.unique(v, return_counts=True)
-            some = np.flatnonzero(times * 256 >= len(v))
-            if not len(v) or not len(some):
-                continue
-            hot = _found(v, word[some]) >= 0
-            pair, both = np.unique(_pair(v[hot], u[hot]), return_counts=True)
-            many = np.flatnonzero(both * 256 >= len(v))
-            for kind, key, n in ((0, word[some], times[some]), (1, pair[many], both[many])):
-                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(n), pa.int32()), pa.array(key.view(np.int64)), pa.array(n)], names=["kind", "w", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array([2, 3], pa.int32()), pa.array([0, 0], pa.int64()), pa.array([total, learnt])], names=["kind", "w", "n"])
-
-    found = runtime.stage(rows.mapInArrow(count, "kind int, w long, n long"), "heavy")
-    sums = {r["kind"]: r["n"] for r in found.where("kind > 1").groupBy("kind").agg(F.sum("n").alias("n")).collect()}
-    total, learnt = sums.get(2, 0), sums.get(3, 0)
-    # A word with a 128th of the tokens keeps a 256th after the chunks where it is rarer are left out.
-    got = found.where("kind < 2").groupBy("kind", "w").agg(F.sum("n").alias("n")).where(F.col("n") * HEAVY >= learnt).select("kind", "w").collect()
-    return tuple(np.sort(np.array([r["w"] for r in got if r["kind"] == k], dtype=np.int64).view(np.uint64)) for k in (0, 1)), total, learnt
-
-
-def _sorted_blocks(b: np.ndarray, v: np.ndarray, u: np.ndarray, w: np.ndarray, *more: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """(bucket, packed words, v, u and w as indexes of these, and ``more``) of every bucket in ``b``."""
-    order = np.lexsort((v, b))
-    b, v, u, w, more = b[order], v[order], u[order], w[order], [x[order] for x in more]
-    cuts = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1], [True])))
-    for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-        word, at = np.unique(np.concatenate((v[x:y], u[x:y], w[x:y])), return_inverse=True)
-        at = at.astype(np.uint16 if len(word) <= 1 << 16 else np.uint32).reshape(3, -1)
-        yield int(b[x]), _pack(word, *at, *[m[x:y] for m in more])
-
-
-def _blocks(rows: DataFrame, heavy: Heavy, buckets: int, per_group: int = 1) -> DataFrame:
-    """(bucket, chunk, blob): occurrences by group of ``per_group`` buckets; bucket -1 has the chunk's documents."""
+    return shingles.mix(v.astype(np.uint64) * _STEP + shingles.mix(u.astype(np.uint64)))
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        chunk = TaskContext.get().partitionId() << 20
-        for k, train, w, v, u, doc, count in _chunks(batches):
-            b = _bucket(v, u, w, heavy, buckets) // per_group
-            ref = (doc * 2 + train[doc]).astype(np.uint16)
-            which, blobs = [-1], [_pack(np.array([x if x is not None else 0 for x in k], np.int64), np.array([x is None for x in k]), train, count.astype(np.int64))]
-            for own, blob in _sorted_blocks(b, v, u, w, ref):
-                which.append(own)
-                blobs.append(blob)
-            for at in range(0, len(which), 64):
-                n = len(which[at : at + 64])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(which[at : at + 64], pa.int64()), pa.array([chunk] * n, pa.int64()), pa.array(blobs[at : at + 64], pa.binary())],
-                    names=["bucket", "chunk", "blob"],
-                )
-            chunk += 1
+def _deal(mixed: np.ndarray, ways: int) -> np.ndarray:
+    """0 to ``ways`` - 1 by the top bits of a hash, in the order of the hashes."""
+    return ((mixed >> np.uint64(34)).astype(np.int64) * ways) >> 30
+
+
+def _starts(*sorted_keys: np.ndarray) -> np.ndarray:
+    """True where any of the keys, which are sorted together, differs from the row before."""
+    new = np.ones(len(sorted_keys[0]), dtype=bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in sorted_keys])
+    return new
 
-    return rows.mapInArrow(emit, "bucket long, chunk long, blob binary")
-
-
-def _divide(blocks: DataFrame, heavy: Heavy, buckets: int, groups: int, total: int) -> DataFrame:
-    """Blocks of groups as blocks of buckets; each of these has a chunk for every occurrence.
-
-    A group is gathered by as many tasks as its tokens need, so none grows with the corpus.
-    """
-    salts = max(1, -(-total // (groups * DIVIDED)))
-
-    def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size, group = 0, None
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            v, u, w, ref = (np.concatenate([x[i] for x in held]) for i in range(4))
-            ids, at = np.unique(np.concatenate([x[4] for x in held]), return_inverse=True)
-            at = at.astype(np.int32)
-            made = list(_sorted_blocks(_bucket(v, u, w, heavy, buckets), v, u, w, ref, at))
-            ids = pa.array([_pack(ids)], pa.binary())
-            for i in range(0, len(made), 64):
-                some = made[i : i + 64]
-                n = len(some)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[0] for x in some], pa.int64()), pa.array([int(held[0][4][0])] * n, pa.int64()), pa.array([x[1] for x in some], pa.binary()), ids.take(pa.array([0] * n))],
-                    names=["bucket", "chunk", "blob", "ids"],
-                )
-
-        for batch in batches:
-            for own, chunk, blob in zip(*(batch.column(c).to_pylist() for c in ("bucket", "chunk", "blob"))):
-                if own < 0:
-                    yield pa.RecordBatch.from_arrays([pa.array([own], pa.int64()), pa.array([chunk], pa.int64()), pa.array([blob], pa.binary()), pa.nulls(1, pa.binary())], names=["bucket", "chunk", "blob", "ids"])
-                    continue
-                if held and (own != group or size > GATHERED):
-                    yield from flush()
-                    held, size = [], 0
-                word, v, u, w, ref = _unpack(blob)
-                held.append((word[v], word[u], word[w], ref, np.full(len(ref), chunk, np.int64)))
-                size, group = size + len(ref), own
-        if held:
-            yield from flush()
-
-    # The chunks' documents (bucket -1) only pass through and are spread by chunk.
-    salt = F.when(F.col("bucket") < 0, F.xxhash64("chunk")).otherwise(F.pmod(F.xxhash64("chunk"), F.lit(salts)))
-    dealt = blocks.withColumn("salt", salt).repartition(groups * salts, "bucket", "salt")
-    return dealt.sortWithinPartitions("bucket", "chunk").select("bucket", "chunk", "blob").mapInArrow(divide, "bucket long, chunk long, blob binary, ids binary")
+
+def _order(*keys: tuple[np.ndarray, int]) -> np.ndarray:
+    """Sorting positions by several keys, each with its number of values, the first foremost."""
+    bits = [max(1, int(n - 1).bit_length()) for _, n in keys]
+    if sum(bits) > 64:
+        return np.lexsort([k for k, _ in reversed(keys)])
+    one = np.zeros(len(keys[0][0]), dtype=np.uint64)
+    for (k, _), b in zip(keys, bits):
+        one = (one << np.uint64(b)) | k.astype(np.uint64)
+    return np.argsort(one)
+
+
+@dataclass
+class Hot:
+    """Ids of the previous words, and keys of the pairs, that are divided; both in ascending order."""
+
+    words: np.ndarray
+    pairs: np.ndarray
+
+    def size(self) -> int:
+        return 2 * len(self.words) + 2 * len(self.pairs) + 8
+
+    def at(self, what: str) -> int:
+        """Where in a vector of totals customers and tables of hot words and pairs, those of the root, and the numbers of
+        types of one and two customers begin."""
+        n, m = len(self.words), len(self.pairs)
+        return {"c1": 0, "t1": n, "c2": 2 * n, "t2": 2 * n + m, "root": 2 * n + 2 * m, "ones": 2 * n + 2 * m + 2}[what]
+
+
+@dataclass
+class Chunk:
+    """The tokens of a chunk as codes into its distinct words, which have ids and counts."""
+
+    code: np.ndarray
+    count: np.ndarray
+    start: int
+    ids: np.ndarray
+    n: np.ndarray
+
+    def before(self) -> tuple[np.ndarray, np.ndarray]:
+        """The codes of the previous word and of the one before it."""
+        first = np.cumsum(self.count) - self.count
+        v = np.empty_like(self.code)
+        v[1:] = self.code[:-1]
+        v[first] = self.start
+        u = np.empty_like(self.code)
+        u[1:] = v[:-1]
+        u[first] = self.start
+        return v, u
+
+    def hot_pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of words that are both frequent enough to be a hot pair, and their tokens."""
+        v, u = self.before()
+        often = self.n > HOT
+        both = np.flatnonzero(often[v] & often[u])
+        return np.unique(_pair(self.ids[v[both]], self.ids[u[both]]), return_counts=True)
+
+    def arrange(self, hot: Hot, buckets: int) -> tuple[np.ndarray, ...]:
+        """(tokens in the order of their types, where types begin in it, and of each type its bucket and the ids of
+        previous word, the one before and word).  Types are in the order of these four."""
+        v, u = self.before()
+        m = len(self.ids)
+        rank = np.empty(m, dtype=np.int64)
+        rank[np.argsort(self.ids)] = np.arange(m)
+        mixed = shingles.mix(self.ids.astype(np.uint64))
+        # Previous words with their bucket; a divided one has an entry for each of its buckets.
+        bucket, vid, entry = _deal(mixed, buckets), self.ids, v.astype(np.int64)
+        often = np.flatnonzero((self.n > HOT)[v])
+        if len(often):
+            hv, hu = v[often], u[often]
+            divided = _found(_pair(self.ids[hv], self.ids[hu]), hot.pairs) >= 0
+            by = np.where(divided, mixed[self.code[often]], mixed[hu])
+            section = (by >> np.uint64(20)) % (-(-self.n[hv] // HOT)).astype(np.uint64)
+            there = _deal(shingles.mix(mixed[hv] + (section + np.uint64(1)) * _STEP), buckets)
+            combo, at = np.unique(there * m + hv, return_inverse=True)
+            entry[often] = m + at
+            bucket, vid = np.concatenate((bucket, combo // m)), np.concatenate((vid, self.ids[combo % m]))
+        place = np.empty(len(vid), dtype=np.int64)
+        place[np.lexsort((vid, bucket))] = np.arange(len(vid))
+        x, y, z = place[entry], rank[u], rank[self.code]
+        order = _order((x, len(vid)), (y, m), (z, m))
+        first = np.flatnonzero(_starts(x[order], y[order], z[order]))
+        one = order[first]
+        return order, first, bucket[entry[one]], vid[entry[one]], self.ids[u[one]], self.ids[self.code[one]]
+
+
+def blocks(chunk: Chunk, train: np.ndarray, hot: Hot, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """(bucket, its types): previous words with their numbers of types, then words before, words and counts."""
+    if not len(chunk.code):
+        return
+    order, first, bucket, v, u, w = chunk.arrange(hot, buckets)
+    c = np.add.reduceat(np.repeat(train, chunk.count)[order].astype(np.int64), first)
+    cuts = np.append(np.flatnonzero(_starts(bucket)), len(bucket))
+    new = _starts(bucket, v)
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        at = np.flatnonzero(new[a:b])
+        yield int(bucket[a]), _pack(_thin(v[a:b][at]), _thin(np.diff(np.append(at, b - a))), _thin(u[a:b]), _thin(w[a:b]), _thin(c[a:b]))
 
 
 @dataclass
 class Types:
-    """A bucket: its words, and its types (word, two words before) with their training counts, those
-    of a word and its previous word together; contexts are numbered within the bucket."""
+    """A bucket: its words, its groups (previous word, word), and its types, each with its group, its pair
+    of previous words and its training count; previous words and pairs are numbered within the bucket."""
 
     word: np.ndarray
-    learnt: np.ndarray
-    heavy: np.ndarray  # of each previous word its index among the heavy ones, or -1
-    w: np.ndarray
+    heavy: np.ndarray  # of each previous word its index among the hot ones, or -1
+    pairs: np.ndarray  # as ``heavy``, of each pair of previous words
+    gw: np.ndarray
+    gc: np.ndarray
+    g: np.ndarray
     c2: np.ndarray
     c: np.ndarray
-    c1: np.ndarray | None = None
-    pairs: np.ndarray | None = None  # as ``heavy``, of each two previous words
-    g: np.ndarray = field(init=False)  # (word, previous word) group of each type
-    gw: np.ndarray = field(init=False)
-    gc: np.ndarray = field(init=False)
-    hot: np.ndarray = field(init=False)  # groups of heavy previous words
+    hot: np.ndarray = field(init=False)  # groups of hot previous words
+    some: np.ndarray = field(init=False)  # types of several customers
 
     def __post_init__(self) -> None:
-        c1 = (self.c2 // SPLIT if self.c1 is None else self.c1).astype(np.int64)
-        new = np.concatenate(([True], (self.w[1:] != self.w[:-1]) | (c1[1:] != c1[:-1]))) if len(c1) else np.zeros(0, bool)
-        self.g = np.cumsum(new) - 1
-        self.gw, self.gc = self.w[new].astype(np.int64), c1[new]
         self.hot = np.flatnonzero(self.heavy[self.gc] >= 0)
+        self.some = np.flatnonzero(self.c > 1)
 
+    def customers(self, t2: np.ndarray) -> np.ndarray:
+        """Those of the groups, which are the tables of their types."""
+        return np.bincount(self.g, weights=t2, minlength=len(self.gw)).astype(np.int64)
 
-def _merge(frame: pd.DataFrame, heavy: Heavy) -> tuple[bytes, bytes]:
-    """A bucket's types, and its occurrences in their order."""
-    lists, codes, refs, chunk = [], [], [], []
-    base = 0
-    for own, blob, ids in zip(frame["chunk"], frame["blob"], frame["ids"]):
-        word, v, u, w, ref, *at = _unpack(blob)
-        lists.append(word)
-        codes.append(np.stack([v, u, w]).astype(np.int32) + base)
-        base += len(word)
-        refs.append(ref)
-        chunk.append(np.full(len(ref), own, dtype=np.int64) if ids is None else _unpack(ids)[0][at[0]])
-    word, at = np.unique(np.concatenate(lists), return_inverse=True)
-    v, u, w = at.astype(np.int64)[np.concatenate(codes, axis=1)]
-    del lists, codes, at
-    ref = np.concatenate(refs)
-    ids, chunk = np.unique(np.concatenate(chunk), return_inverse=True)
-    many = len(word)
-    order = np.argsort((v * many + w) * many + u, kind="stable") if many < 2_000_000 else np.lexsort((u, w, v))
-    v, u, w, ref, chunk = v[order], u[order], w[order], ref[order], chunk[order]
-    at = np.flatnonzero(np.concatenate(([True], (v[1:] != v[:-1]) | (w[1:] != w[:-1]) | (u[1:] != u[:-1]))))
-    n = np.diff(np.concatenate((at, [len(v)])))
-    c = np.add.reduceat((ref & 1).astype(np.uint32), at)
-    v, u, w = v[at], u[at], w[at]
-    before, c1 = np.unique(v, return_inverse=True)
-    both, c2 = np.unique(v * many + u, return_inverse=True)
-    own, w = np.unique(w, return_inverse=True)
-    hot = _found(word[before], heavy[0]).astype(np.int16)
-    pairs = np.full(len(both), -1, dtype=np.int16)
-    some = np.flatnonzero(_found(word[both // many], heavy[0]) >= 0)
-    pairs[some] = _found(_pair(word[both[some] // many], word[both[some] % many]), heavy[1])
-    types = _pack(word[own], hot, w.astype(np.uint32), c2.astype(np.uint32), c, c1.astype(np.uint32), pairs)
-    return types, _pack(n.astype(np.uint32), chunk.astype(np.uint16 if len(ids) < 1 << 16 else np.int32), (ref >> 1).astype(np.uint16), ids)
+
+def merge(blobs: list[bytes], hot: Hot) -> tuple[bytes, bytes]:
+    """A bucket's types from the blocks of all chunks, and where the types of each block are among them."""
+    got = [_unpack(x) for x in blobs]
+    before, at = np.unique(np.concatenate([_wide(x[0]) for x in got]), return_inverse=True)
+    v = np.repeat(at, np.concatenate([_wide(x[1]) for x in got]))
+    u, w, c = (np.concatenate([_wide(x[i]) for x in got]) for i in (2, 3, 4))
+    sizes = np.array([x[2].shape[1] for x in got])
+    del got
+    word, w = np.unique(w, return_inverse=True)
+    order = _order((v, len(before)), (u, int(u.max()) + 1), (w, len(word)))
+    v, u, w = v[order], u[order], w[order]
+    new = _starts(v, u, w)
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    c = np.add.reduceat(c[order], first)
+    v, u, w = v[first], u[first], w[first]
+    # Types of a block are in the order of all types.
+    ends = np.cumsum(sizes)
+    step = np.diff(place, prepend=0)
+    step[ends - sizes] = place[ends - sizes]
+    pair = _starts(v, u)
+    group, g = np.unique(v * len(word) + w, return_inverse=True)
+    gc = group // len(word)
+    heavy = _found(before, hot.words)
+    own = np.flatnonzero(pair)
+    pairs = np.full(len(own), -1, dtype=np.int64)
+    often = np.flatnonzero(heavy[v[own]] >= 0)
+    pairs[often] = _found(_pair(before[v[own[often]]], u[own[often]]), hot.pairs)
+    groups = np.bincount(gc, minlength=len(before))
+    base = np.cumsum(groups) - groups
+    types = _pack(
+        _thin(word), _thin(heavy + 1), _thin(pairs + 1), _thin(group % len(word)), _thin(groups), _thin(np.bincount(v, minlength=len(before))),
+        _thin(g - base[v]), np.packbits(pair), _thin(c),
+    )
+    return types, _pack(_thin(step), sizes)
+
+
+def _types(blob: bytes) -> Types:
+    word, heavy, pairs, gw, groups, own, g, pair, c = _unpack(blob)
+    groups, own, g = _wide(groups), _wide(own), _wide(g)
+    g += np.repeat(np.cumsum(groups) - groups, own)
+    c2 = np.cumsum(np.unpackbits(pair, count=len(g)), dtype=np.int64) - 1
+    return Types(_wide(word), _wide(heavy) - 1, _wide(pairs) - 1, _wide(gw), np.repeat(np.arange(len(groups)), groups), g, c2, _wide(c))
 
 
 @dataclass
@@ -335,11 +323,11 @@ class Totals:
     c0: int
 
 
-def _totals(types: Types, t2: np.ndarray, k1: np.ndarray, t1: np.ndarray, t0: np.ndarray | None) -> Totals:
-    """Totals of a bucket; where all of the words are in it, of the root as well."""
-    add = lambda at, x: np.bincount(at, weights=x).astype(np.int64)
-    root = t0 if t0 is not None else add(types.gw, t1) > 0
-    return Totals(add(types.c2, t2), add(types.c2, types.c), add(types.gc, t1), add(types.gc, k1), root.sum(), t1.sum())
+def _totals(types: Types, t2: np.ndarray, k1: np.ndarray, t1: np.ndarray, t0: int, c0: int) -> Totals:
+    """Totals of a bucket, as far as it has the restaurants."""
+    add = lambda at, x, n: np.bincount(at, weights=x, minlength=n).astype(np.int64)
+    n, m = len(types.pairs), len(types.heavy)
+    return Totals(add(types.c2, t2, n), add(types.c2, types.c, n), add(types.gc, t1, m), add(types.gc, k1, m), t0, c0)
 
 
 def seat(c: np.ndarray, base: np.ndarray, discount: float, rng: np.random.Generator, sweeps: int = 1) -> np.ndarray:
@@ -409,7 +397,7 @@ def _seat_exact(n: int, base: np.ndarray, discount: float, rng: np.random.Genera
 
 @dataclass
 class Shared:
-    """What a seating is given: totals, discounts, the base."""
+    """What a seating is given: totals, discounts from the root on, the number of words."""
 
     totals: Totals
     discounts: tuple[float, float, float]
@@ -419,9 +407,11 @@ class Shared:
         self.t2, self.c2, self.t1, self.c1 = self.totals.t2, self.totals.c2, self.totals.t1, self.totals.c1
         self.t0, self.c0 = self.totals.t0, self.totals.c0
 
+    def floor(self) -> float:
+        return (STRENGTH + self.discounts[0] * self.t0) / (self.v + 1)
+
     def root(self, k0: np.ndarray, t0: np.ndarray) -> np.ndarray:
-        d = self.discounts[0]
-        return (np.maximum(k0 - d * t0, 0) + (STRENGTH + d * self.t0) / (self.v + 1)) / (STRENGTH + self.c0)
+        return (np.maximum(k0 - self.discounts[0] * t0, 0) + self.floor()) / (STRENGTH + self.c0)
 
     def near(self, types: Types, k1: np.ndarray, t1: np.ndarray, p0: np.ndarray) -> np.ndarray:
         d = self.discounts[1]
@@ -430,13 +420,13 @@ class Shared:
 
     def wide(self, types: Types, t2: np.ndarray, p1: np.ndarray) -> np.ndarray:
         d = self.discounts[2]
-        back = (STRENGTH + d * self.t2[types.c2]) * p1[types.g]
-        return (np.maximum(types.c - d * t2, 0) + back) / (STRENGTH + self.c2[types.c2])
+        back = ((STRENGTH + d * self.t2) / (STRENGTH + self.c2))[types.c2] * p1[types.g]
+        return np.maximum(types.c - d * t2, 0) / (STRENGTH + self.c2)[types.c2] + back
 
 
 @dataclass
 class Upper:
-    """Of a bucket's words the root's customers and tables; of its groups of heavy previous words those
+    """Of a bucket's words the root's customers and tables; of its groups of hot previous words those
     of the whole restaurants."""
 
     k0: np.ndarray
@@ -445,163 +435,132 @@ class Upper:
     t1: np.ndarray
 
 
-Seats = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
-
-
-def _given(types: Types, t2: np.ndarray, k1: np.ndarray, t1: np.ndarray, sums: np.ndarray, discounts: tuple) -> Shared:
-    """The bucket's own totals, and the shared ones of heavy words, heavy pairs and the root."""
-    own = _totals(types, t2, k1, t1, None)
-    hot, pairs = types.heavy >= 0, types.pairs >= 0
-    own.c1[hot], own.t1[hot] = sums[_C1 + types.heavy[hot]], sums[_T1 + types.heavy[hot]]
-    own.c2[pairs], own.t2[pairs] = sums[_C2 + types.pairs[pairs]], sums[_T2 + types.pairs[pairs]]
-    own.c0, own.t0 = sums[_ROOT], sums[_ROOT + 1]
-    return Shared(own, discounts, int(sums[_V]))
-
-
-def lower(types: Types, given, upper: Upper, t2: np.ndarray, t1: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(t2, k1, t1) drawn after ``t2`` and ``t1``, given the root; ``given`` makes the totals of a
-    seating.  Groups of heavy previous words have no t1 of their own."""
-    k1 = np.bincount(types.g, weights=t2, minlength=len(types.gw)).astype(np.int64)
-    for _ in range(2):
-        last = given(t2, k1, t1)
-        _, d1, d2 = last.discounts
-        p0 = last.root(upper.k0, upper.t0)
-        t2 = seat(types.c, (STRENGTH + d2 * last.t2[types.c2]) * _near(types, last, k1, t1, upper, p0)[types.g], d2, rng)
-        k1 = np.bincount(types.g, weights=t2, minlength=len(types.gw)).astype(np.int64)
-        alone = k1.copy()
-        alone[types.hot] = 0
-        t1 = seat(alone, (STRENGTH + d1 * last.t1[types.gc]) * p0[types.gw], d1, rng)
-    return t2, k1, t1
+def _given(types: Types, t2: np.ndarray, k1: np.ndarray, t1: np.ndarray, sums: np.ndarray, hot: Hot, discounts: tuple, v: int) -> Shared:
+    """The bucket's own totals, and the shared ones of hot words, hot pairs and the root."""
+    root = hot.at("root")
+    own = _totals(types, t2, k1, t1, int(sums[root + 1]), int(sums[root]))
+    for which, at, (c, t) in ((types.heavy, ("c1", "t1"), (own.c1, own.t1)), (types.pairs, ("c2", "t2"), (own.c2, own.t2))):
+        some = np.flatnonzero(which >= 0)
+        c[some], t[some] = sums[hot.at(at[0]) + which[some]], sums[hot.at(at[1]) + which[some]]
+    return Shared(own, discounts, v)
 
 
-def _near(types: Types, shared: Shared, k1: np.ndarray, t1: np.ndarray, upper: Upper, p0: np.ndarray) -> np.ndarray:
-    k1, t1 = k1.copy(), t1.copy()
-    k1[types.hot], t1[types.hot] = upper.k1, upper.t1
-    return shared.near(types, k1, t1, p0)
+def first_tables(types: Types) -> tuple[np.ndarray, np.ndarray]:
+    """(t2, t1) with one table for every word of a restaurant; groups of hot previous words have no t1 of their own."""
+    t2 = (types.c > 0).astype(np.int64)
+    t1 = (types.customers(t2) > 0).astype(np.int64)
+    t1[types.hot] = 0
+    return t2, t1
 
 
-def seating(types: Types, last: Shared, seed: tuple[int, ...]) -> Seats:
-    """(t2, k1, t1, k0, t0): customers k and tables t of all levels of a bucket that has all of its words."""
-    rng = np.random.default_rng(seed)
-    base = (STRENGTH + last.discounts[0] * last.t0) / (last.v + 1)
+def lower(types: Types, last: Shared, upper: Upper, t2: np.ndarray, t1: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(t2, k1, t1) drawn after ``t2`` and ``t1``, given the root.  Words of one customer have one table."""
+    _, d1, d2 = last.discounts
+    p0 = last.root(upper.k0, upper.t0)
+    p1 = _near(types, last, types.customers(t2), t1, upper, p0)
+    at = types.some
     t2 = (types.c > 0).astype(np.int64)
-    t1 = (np.bincount(types.g, weights=t2, minlength=len(types.gw)) > 0).astype(np.int64)
-    none = np.zeros(0, np.int64)
-    k0, t0 = _root(types, t1, last, base, rng)
-    t2, k1, t1 = lower(types, lambda *_: last, Upper(k0, t0, none, none), t2, t1, rng)
-    return t2, k1, t1, *_root(types, t1, last, base, rng)
+    t2[at] = seat(types.c[at], (STRENGTH + d2 * last.t2[types.c2[at]]) * p1[types.g[at]], d2, rng)
+    k1 = types.customers(t2)
+    t1 = (k1 > 0).astype(np.int64)
+    t1[types.hot] = 0
+    at = np.flatnonzero((k1 > 1) & (t1 > 0))
+    t1[at] = seat(k1[at], (STRENGTH + d1 * last.t1[types.gc[at]]) * p0[types.gw[at]], d1, rng)
+    return t2, k1, t1
 
 
-def _root(types: Types, t1: np.ndarray, last: Shared, base: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    k0 = np.bincount(types.gw, weights=t1, minlength=len(types.word)).astype(np.int64)
-    return k0, seat(k0, np.full(len(k0), base), last.discounts[0], rng)
+def _near(types: Types, shared: Shared, k1: np.ndarray, t1: np.ndarray, upper: Upper, p0: np.ndarray) -> np.ndarray:
+    if len(types.hot):
+        k1, t1 = k1.copy(), t1.copy()
+        k1[types.hot], t1[types.hot] = upper.k1, upper.t1
+    return shared.near(types, k1, t1, p0)
 
 
-def predict(types: Types, seats: Seats, own: Shared, upper: Upper | None = None) -> np.ndarray:
+def predict(types: Types, t2: np.ndarray, k1: np.ndarray, t1: np.ndarray, own: Shared, upper: Upper) -> np.ndarray:
     """Probability of every type given its context; ``own`` has the totals of this same seating, so the
     probabilities of all words and of an unknown one add up to 1."""
-    t2, k1, t1, k0, t0 = seats
-    upper = upper or Upper(k0, t0, k1[types.hot], t1[types.hot])
-    return own.wide(types, t2, _near(types, own, k1, t1, upper, own.root(k0, t0)))
-
-
-def _small(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.uint8 if not len(x) or x.max() < 256 else np.uint32)
+    return own.wide(types, t2, _near(types, own, k1, t1, upper, own.root(upper.k0, upper.t0)))
 
 
-def _ask(types: Types, k1: np.ndarray, t1: np.ndarray, groups: int, c: np.ndarray | None, p0: np.ndarray | None) -> Iterator[tuple[int, bytes]]:
-    """(group, its words with their customers at the root, and those of heavy previous words); words
-    are in the order of their hashes, and so are the groups."""
+def _ask(types: Types, k1: np.ndarray, t1: np.ndarray, groups: int) -> Iterator[tuple[int, bytes]]:
+    """(group, its words with their customers at the root, and those of hot previous words)."""
     k0 = np.bincount(types.gw, weights=t1, minlength=len(types.word)).astype(np.int64)
-    hot = types.hot[np.argsort(types.gw[types.hot], kind="stable")]
-    at, hw = _groups(types.word, groups), types.gw[hot]
-    cuts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1], [True])))
-    for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-        a, b = np.searchsorted(hw, (x, y))
-        own = hot[a:b]
-        yield int(at[x]), _pack(
-            types.word[x:y], _small(k0[x:y]), None if c is None else _small(c[x:y]),
-            (hw[a:b] - x).astype(np.uint32), types.heavy[types.gc[own]].astype(np.int16), _small(k1[own]), None if p0 is None else p0[hw[a:b]],
-        )
-
-
-def _groups(word: np.ndarray, groups: int) -> np.ndarray:
-    return ((word >> np.uint64(34)).astype(np.int64) * groups) >> 30
-
-
-def _answered(types: Types, blobs: list[bytes]) -> tuple[Upper, np.ndarray]:
-    """What the groups, in order, answered to ``_ask``; the words' training counts with the first answer."""
+    order, edges = _by_group(types, groups)
+    back = np.empty(len(order), dtype=np.int64)
+    back[order] = np.arange(len(order))
+    hw = back[types.gw[types.hot]]
+    hot = types.hot[np.argsort(hw, kind="stable")]
+    hw = np.sort(hw)
+    cuts = np.searchsorted(hw, edges)
+    for g in np.flatnonzero(np.diff(edges)).tolist():
+        own, there = order[edges[g] : edges[g + 1]], hot[cuts[g] : cuts[g + 1]]
+        at = hw[cuts[g] : cuts[g + 1]] - edges[g]
+        yield g, _pack(_thin(np.diff(types.word[own] // groups, prepend=0)), _thin(k0[own]), _thin(at), _thin(types.heavy[types.gc[there]]), _thin(k1[there]))
+
+
+def _by_group(types: Types, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket's words by group, each group's in ascending order, and where the groups begin."""
+    group = types.word % groups
+    order = np.argsort(group, kind="stable")
+    return order, np.searchsorted(group[order], np.arange(groups + 1))
+
+
+def _answered(types: Types, groups: int, blobs: list[bytes]) -> Upper:
+    """What the groups, in order, answered to ``_ask``."""
     got = [_unpack(x) for x in blobs]
-    k0, t0, c, k1, t1 = (np.concatenate([x[i].astype(np.int64) for x in got]) for i in range(5))
-    back = np.argsort(np.argsort(types.gw[types.hot], kind="stable"), kind="stable")
-    return Upper(k0, t0, k1[back], t1[back]), c
-
-
-def _serve(asked: list[bytes], sums: np.ndarray | None, discounts: tuple | None, rng: np.random.Generator) -> tuple[list[bytes], np.ndarray]:
-    """Seats the root, and the restaurants of heavy previous words, for a group of words: the answers, and
-    shared totals.  The first time (no ``sums``) every word has one table."""
+    order, _ = _by_group(types, groups)
+    k0, t0, k1, t1 = (np.concatenate([_wide(x[i]) for x in got]) for i in range(4))
+    back = np.empty(len(order), dtype=np.int64)
+    back[order] = np.arange(len(order))
+    hw = np.argsort(back[types.gw[types.hot]], kind="stable")
+    unsort = np.empty(len(hw), dtype=np.int64)
+    unsort[hw] = np.arange(len(hw))
+    return Upper(k0[back], t0[back], k1[unsort], t1[unsort])
+
+
+def serve(asked: list[bytes], state: bytes | None, sums: np.ndarray | None, hot: Hot, discounts: tuple | None, v: int, rng: np.random.Generator) -> tuple[list[bytes], bytes, np.ndarray]:
+    """Seats the root, and the restaurants of hot previous words, for a group of words: the answers, the
+    root's customers and tables, and shared totals.  The first time (no ``state``) every word has one table."""
     got = [_unpack(x) for x in asked]
-    word, at = np.unique(np.concatenate([x[0] for x in got]), return_inverse=True)
-    cuts = np.cumsum([0, *[len(x[0]) for x in got]])
-    k0 = np.bincount(at, weights=np.concatenate([x[1] for x in got]), minlength=len(word)).astype(np.int64)
-    hw = np.concatenate([at[a + x[3].astype(np.int64)] for a, x in zip(cuts, got)]).astype(np.int64)
-    key, which = np.unique(hw * HEAVY + np.concatenate([x[4] for x in got]), return_inverse=True)
-    k1 = np.bincount(which, weights=np.concatenate([x[5] for x in got]), minlength=len(key)).astype(np.int64)
-    hv = key % HEAVY
-    out = np.zeros(SIZE, dtype=np.int64)
-    c = np.zeros(len(word), dtype=np.int64)
-    if sums is None:
-        c = np.bincount(at, weights=np.concatenate([x[2] for x in got]), minlength=len(word)).astype(np.int64)
-        out[_V] = (c > 0).sum()
+    at = [np.cumsum(_wide(x[0])) for x in got]
+    size = max(int(a[-1]) for a in at) + 1
+    k0 = np.bincount(np.concatenate(at), weights=np.concatenate([_wide(x[1]) for x in got]), minlength=size).astype(np.int64)
+    out = np.zeros(hot.size(), dtype=np.int64)
+    root, many = hot.at("root"), max(1, len(hot.words))
+    hw = np.concatenate([a[_wide(x[2])] for a, x in zip(at, got)])
+    key, which = np.unique(hw * many + np.concatenate([_wide(x[3]) for x in got]), return_inverse=True)
+    k1 = np.bincount(which, weights=np.concatenate([_wide(x[4]) for x in got]), minlength=len(key)).astype(np.int64)
+    hv = key % many
+    if state is None:
         t1 = (k1 > 0).astype(np.int64)
     else:
-        p0 = np.zeros(len(key))
-        p0[which] = np.concatenate([x[6] for x in got])
-        t1 = seat(k1, (STRENGTH + discounts[1] * sums[_T1 + hv]) * p0, discounts[1], rng)
-    k0 += np.bincount(key // HEAVY, weights=t1, minlength=len(word)).astype(np.int64)
-    if sums is None:
-        t0 = (k0 > 0).astype(np.int64)
-    else:
-        t0 = seat(k0, np.full(len(k0), (STRENGTH + discounts[0] * sums[_ROOT + 1]) / (sums[_V] + 1)), discounts[0], rng)
-    np.add.at(out, _C1 + hv, k1)
-    np.add.at(out, _T1 + hv, t1)
-    out[_ROOT], out[_ROOT + 1] = k0.sum(), t0.sum()
-    out[_ONES + 2 :] = [(x == m).sum() for x in (k1, k0) for m in (1, 2)]
-    hots = np.cumsum([0, *[len(x[3]) for x in got]])
-    answers = []
-    for x, y, a, b in zip(cuts[:-1], cuts[1:], hots[:-1], hots[1:]):
-        i, j = at[x:y], which[a:b]
-        answers.append(_pack(_small(k0[i]), _small(t0[i]), _small(c[i]) if sums is None else c[:0], _small(k1[j]), _small(t1[j])))
-    return answers, out
-
-
-def _sum_totals(parts: DataFrame) -> np.ndarray:
-    """The sum of all rows' totals vectors: added up in each task, then by slice, then joined."""
-
-    def local(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(SIZE, dtype=np.int64)
-        for frame in frames:
-            for blob in frame["totals"]:
-                total += _unpack(blob)[0]
-        cuts = range(0, SIZE, _SLICE)
-        yield pd.DataFrame({"slice": list(cuts), "v": [total[a : a + _SLICE].tobytes() for a in cuts]})
-
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, dtype=np.int64) for x in frame["v"])
-        return pd.DataFrame({"slice": frame["slice"].iloc[:1], "v": [total.tobytes()]})
-
-    kind = "slice long, v binary"
-    got = parts.select("totals").mapInPandas(local, kind).groupBy("slice").applyInPandas(add, kind).collect()
-    out = np.zeros(SIZE, dtype=np.int64)
-    for r in got:
-        v = np.frombuffer(r["v"], dtype=np.int64)
-        out[r["slice"] : r["slice"] + len(v)] = v
+        last = Shared(Totals(*[np.zeros(0)] * 4, int(sums[root + 1]), int(sums[root])), discounts, v)
+        p0 = last.root(*(_wide(x) for x in _unpack(state)))[key // many]
+        t1 = seat(k1, (STRENGTH + discounts[1] * sums[hot.at("t1") + hv]) * p0, discounts[1], rng)
+    k0 += np.bincount(key // many, weights=t1, minlength=size).astype(np.int64)
+    t0 = (k0 > 0).astype(np.int64) if state is None else seat(k0, np.full(size, last.floor()), discounts[0], rng)
+    np.add.at(out, hot.at("c1") + hv, k1)
+    np.add.at(out, hot.at("t1") + hv, t1)
+    out[root], out[root + 1] = k0.sum(), t0.sum()
+    out[hot.at("ones") + 2 :] = [(x == m).sum() for x in (k1, k0) for m in (1, 2)]
+    hots = np.cumsum([0, *[x[2].shape[1] for x in got]])
+    answers = [_pack(*(_thin(x) for x in (k0[a], t0[a], k1[which[i:j]], t1[which[i:j]]))) for a, i, j in zip(at, hots[:-1], hots[1:])]
+    return answers, _pack(_thin(k0), _thin(t0)), out
+
+
+def _pair_sums(types: Types, t2: np.ndarray, hot: Hot) -> np.ndarray:
+    out = np.zeros(hot.size(), dtype=np.int64)
+    if len(hot.pairs):
+        at = types.pairs[types.c2]
+        some = np.flatnonzero(at >= 0)
+        np.add.at(out, hot.at("c2") + at[some], types.c[some])
+        np.add.at(out, hot.at("t2") + at[some], t2[some])
     return out
 
 
-def _discounts(totals: np.ndarray) -> tuple[float, float, float]:
+def _discounts(ones: np.ndarray) -> tuple[float, float, float]:
     """n1 / (n1 + 2 n2) of the types of each level, from the root up, kept inside (0, 1)."""
-    wide, near, root = totals[_ONES:].reshape(3, 2)
+    wide, near, root = ones.reshape(3, 2)
     return tuple(float(np.clip(a / (a + 2 * b) if a + b else 0.5, 0.05, 0.95)) for a, b in (root, near, wide))
 
 
@@ -610,199 +569,282 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-#: Rows of the tables between the passes: at a bucket or group of words, from the other.
+#: Rows of the tables between the passes: at a chunk, bucket or group of words, from another.
 _ROWS = "at long, kind int, source long, blob binary"
-_TYPES, _FOUND, _ASK, _ANSWER, _SEATS, _SUMS, _DOCS = range(7)
+_DOCS, _CODES, _WORDS, _IDS, _HOT, _BLOCK, _TYPES, _PLACES, _ASK, _ANSWER, _STATE, _SEATS, _SUMS, _P = range(14)
+Row = tuple[int, int, int, bytes]
+
 
+def _frame(rows: list[Row]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["at", "kind", "source", "blob"])
 
-def _rows(*rows: tuple[int, int, int, bytes]) -> pd.DataFrame:
-    return pd.DataFrame(list(rows), columns=["at", "kind", "source", "blob"])
+
+def _frames(rows: Iterator[Row], most: int = 4 << 20) -> Iterator[pd.DataFrame]:
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[3])
+        if size > most:
+            yield _frame(held)
+            held, size = [], 0
+    if held:
+        yield _frame(held)
+
+
+Met = dict[int, list[tuple[int, bytes]]]
 
 
-def _each(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list[tuple[int, int, bytes]]]]:
-    """(at, its rows) of frames that come in the order of ``at``."""
-    own, held = None, []
+def _each(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int, Met]]:
+    """(at, its rows by kind as (source, blob)) of frames that come in the order of ``at``."""
+    own, held = None, {}
     for frame in frames:
         for at, kind, source, blob in zip(frame["at"], frame["kind"], frame["source"], frame["blob"]):
             if at != own and held:
                 yield own, held
-                held = []
+                held = {}
             own = at
-            held.append((kind, source, blob))
+            held.setdefault(kind, []).append((source, blob))
     if held:
         yield own, held
 
 
-def _meet(*tables: DataFrame) -> DataFrame:
-    out = tables[0]
+def _meet(run: Callable[[int, Met], Iterator[Row]], parts: int, *tables: DataFrame) -> DataFrame:
+    """``run`` on the rows of every ``at``, in the order of their sources."""
+    both = tables[0]
     for t in tables[1:]:
-        out = out.unionByName(t)
-    return out.repartition("at").sortWithinPartitions("at", "kind", "source")
+        both = both.unionByName(t)
 
+    def all_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _frames(row for at, got in _each(frames) for row in run(at, got))
 
-def score_table(df: DataFrame, key: str, text: str, samples: int = SAMPLES) -> DataFrame:
-    """Per row: key, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
-    spark = df.sparkSession
-    tokens.bound_batches(spark)
-    rows = df.select(df[key].cast("long").alias("k"), (~held_out(df[key])).alias("train"), df[text].alias("t"))
-    heavy, total, learnt = _first_pass(rows)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(parts, -(-total // BUCKET_TOKENS))
-    word_groups = max(parts, -(-total // WORD_TOKENS))
-    if buckets <= DIRECT:
-        blocks = _blocks(rows, heavy, buckets).withColumn("ids", F.lit(None).cast("binary"))
-    else:
-        per_group = int(np.ceil(np.sqrt(buckets)))
-        groups = -(-buckets // per_group)
-        blocks = _divide(_blocks(rows, heavy, buckets, per_group), heavy, buckets, groups, total)
-
-    def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        bucket = int(frame["bucket"].iloc[0])
-        if bucket < 0:  # the chunks' documents pass through
-            return _rows(*[(int(c), _DOCS, 0, b) for c, b in zip(frame["chunk"], frame["blob"])])
-        made, found = _merge(frame, heavy)
-        types = _types(made)
-        t2 = (types.c > 0).astype(np.int64)
-        k1 = np.bincount(types.g, weights=t2, minlength=len(types.gw)).astype(np.int64)
-        t1 = (k1 > 0).astype(np.int64)
-        t1[types.hot] = 0
-        sums = _pair_sums(types, t2)
-        alone = np.delete(k1, types.hot)
-        sums[_ONES : _ONES + 4] = [(x == m).sum() for x in (types.c, alone) for m in (1, 2)]
-        counts = np.bincount(types.w, weights=types.c, minlength=len(types.word)).astype(np.int64)
-        asks = [(g, _ASK, bucket, b) for g, b in _ask(types, k1, t1, word_groups, counts, None)]
-        return _rows((bucket, _TYPES, 0, made), (bucket, _FOUND, 0, found), (bucket, _SUMS, 0, _pack(sums)), *asks)
+    return both.repartition(parts, "at").sortWithinPartitions("at", "kind", "source").mapInPandas(all_of, _ROWS)
 
-    by = F.when(F.col("bucket") < 0, -1 - F.col("chunk")).otherwise(F.col("bucket"))
-    merged = runtime.stage(blocks.withColumn("by", by).groupBy("by").applyInPandas(merge, _ROWS), "buckets")
-    made = merged.where(F.col("kind") == _TYPES)
 
-    def serve(turn: int, sums: np.ndarray | None, discounts: tuple | None):
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for group, got in _each(frames):
-                answers, own = _serve([b for _, _, b in got], sums, discounts, np.random.default_rng((turn, 1 << 40, group)))
-                yield _rows((group, _SUMS, 0, _pack(own)), *[(bucket, _ANSWER, group, b) for (_, bucket, _), b in zip(got, answers)])
+def _of(table: DataFrame, *kinds: int) -> DataFrame:
+    return table.where(F.col("kind").isin(*kinds))
 
-        return run
 
-    def sums_of(*tables: DataFrame) -> np.ndarray:
-        own = [t.where(F.col("kind") == _SUMS).select(F.col("blob").alias("totals")) for t in tables]
-        return _sum_totals(own[0].unionByName(own[1]))
+def _sums(size: int, *tables: DataFrame) -> np.ndarray:
+    """The sum of all totals of the tables, added up in each task first."""
 
-    def answers_of(table: DataFrame) -> DataFrame:
-        return table.where(F.col("kind") == _ANSWER)
+    def local(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(size, dtype=np.int64)
+        for frame in frames:
+            for blob in frame["blob"]:
+                total += _unpack(blob)[0]
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"at": at, "n": total[at]})
+
+    parts = [_of(t, _SUMS).select("blob") for t in tables]
+    for t in parts[1:]:
+        parts[0] = parts[0].unionByName(t)
+    out = np.zeros(size, dtype=np.int64)
+    for r in parts[0].mapInPandas(local, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        out[r["at"]] = r["n"]
+    return out
 
-    def served(table: DataFrame, turn: int, *given) -> DataFrame:
-        asked = _meet(table.where(F.col("kind") == _ASK))
-        return runtime.stage(asked.mapInPandas(serve(turn, *(given or (None, None))), _ROWS), f"words{turn}")
 
-    words = [served(merged, 0)]
-    sums = sums_of(merged, words[0])
-    discounts, v = _discounts(sums), int(sums[_V])
-    given, seats = [sums], []
+def parse(rows: DataFrame, groups: int) -> DataFrame:
+    """Chunks: their documents, their tokens as codes, and their distinct words to the groups of words."""
 
-    def sweep(turn: int, sums: np.ndarray):
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for bucket, got in _each(frames):
-                types = _types(got[0][2])
-                upper, _ = _answered(types, [b for kind, _, b in got if kind == _ANSWER])
-                drawn = [b for kind, _, b in got if kind == _SEATS]
-                if drawn:
-                    t2, t1 = (x.astype(np.int64) for x in _unpack(drawn[0]))
-                else:
-                    t2 = (types.c > 0).astype(np.int64)
-                    t1 = (np.bincount(types.g, weights=t2, minlength=len(types.gw)) > 0).astype(np.int64)
-                    t1[types.hot] = 0
-                totals = lambda t2, k1, t1: _given(types, t2, k1, t1, sums, discounts)
-                t2, k1, t1 = lower(types, totals, upper, t2, t1, np.random.default_rng((turn, bucket)))
-                p0 = totals(t2, k1, t1).root(upper.k0, upper.t0)
-                asks = [(g, _ASK, bucket, b) for g, b in _ask(types, k1, t1, word_groups, None, p0)]
-                yield _rows((bucket, _SEATS, turn, _pack(_small(t2), _small(t1))), (bucket, _SUMS, 0, _pack(_pair_sums(types, t2))), *asks)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[Row]:
+        from pyspark import TaskContext
 
-        return run
+        chunk = TaskContext.get().partitionId() << 20
+        for k, train, w, count in _chunks(batches):
+            word, code = np.unique(np.append(w, _START), return_inverse=True)
+            start, code = int(code[-1]), code[:-1]
+            n = np.bincount(code, minlength=len(word))
+            n[start] += len(count)
+            c = np.bincount(code[np.repeat(train, count)], minlength=len(word))
+            keys = np.array([x if x is not None else 0 for x in k], np.int64), np.array([x is None for x in k])
+            yield chunk, _DOCS, 0, _pack(*keys, train, _thin(count))
+            yield chunk, _CODES, 0, _pack(_thin(code), start)
+            edges = np.searchsorted(_deal(word, groups), np.arange(groups + 1))
+            for g in np.flatnonzero(np.diff(edges)).tolist():
+                x, y = edges[g], edges[g + 1]
+                yield g, _WORDS, chunk, _pack(word[x:y], _thin(n[x:y]), _thin(c[x:y]))
+            chunk += 1
 
-    for turn in range(1, samples + 1):
-        drawn = _meet(made, answers_of(words[-1]), *[s.where(F.col("kind") == _SEATS) for s in seats[-1:]])
-        seats.append(runtime.stage(drawn.mapInPandas(sweep(turn, given[-1]), _ROWS), f"seats{turn}"))
-        words.append(served(seats[-1], turn, given[-1], discounts))
-        after = sums_of(seats[-1], words[-1])
-        after[_V] = v
-        given.append(after)
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in _frames(run(batches)):
+            yield pa.RecordBatch.from_pandas(frame, schema=schema, preserve_index=False)
 
-    def packed(sums: dict[int, np.ndarray]) -> pd.DataFrame:
-        return pd.DataFrame({"chunk": list(sums), "sums": [_pack(x[0], x[1], x[2].astype(np.uint32)) for x in sums.values()]})
+    schema = pa.schema([("at", pa.int64()), ("kind", pa.int32()), ("source", pa.int64()), ("blob", pa.binary())])
+    return rows.mapInArrow(emit, _ROWS)
 
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
-        for _, got in _each(frames):
-            types = _types(got[0][2])
-            found = next(b for kind, _, b in got if kind == _FOUND)
-            answers = [[b for kind, source, b in got if kind == _ANSWER + 10 * turn] for turn in range(samples + 1)]
-            c = _answered(types, answers[0])[1]
-            p = np.zeros(len(types.w))
-            for turn in range(1, samples + 1):
-                t2, t1 = (x.astype(np.int64) for x in _unpack(next(b for kind, source, b in got if kind == _SEATS and source == turn)))
-                k1 = np.bincount(types.g, weights=t2, minlength=len(types.gw)).astype(np.int64)
-                upper, _ = _answered(types, answers[turn])
-                own = _given(types, t2, k1, t1, given[turn], discounts)
-                p += predict(types, (t2, k1, t1, upper.k0, upper.t0), own, upper) / samples
-            n, chunk, doc, ids = _unpack(found)
-            per = np.stack([np.log10(p), np.log10(c[types.w] + 1.0), (c[types.w] > 0).astype(float)])
-            per = np.repeat(per, n, axis=1)
-            order = np.argsort(chunk, kind="stable")
-            cuts = np.searchsorted(chunk[order], np.arange(len(ids) + 1))
-            for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
-                if b > a:
-                    at = order[a:b]
-                    size = int(doc[at].max()) + 1
-                    part = np.stack([np.bincount(doc[at], weights=x[at], minlength=size) for x in per])
-                    old = sums.get(int(ids[i]))
-                    if old is not None:
-                        if old.shape[1] < size:
-                            old, part = part, old
-                        old[:, : part.shape[1]] += part
-                        part = old
-                    sums[int(ids[i])] = part
-            if sum(x.shape[1] for x in sums.values()) > HELD_DOCS:
-                yield packed(sums)
-                sums = {}
-        if sums:
-            yield packed(sums)
-
-    told = [answers_of(t).withColumn("kind", F.col("kind") + F.lit(10 * turn)) for turn, t in enumerate(words)]
-    whole = _meet(merged.where(F.col("kind").isin(_TYPES, _FOUND)), *[s.where(F.col("kind") == _SEATS) for s in seats], *told)
-    partial = whole.mapInPandas(score, "chunk long, sums binary")
-    index = merged.where(F.col("kind") == _DOCS).select(F.col("at").alias("chunk"), F.col("blob").alias("sums"), F.lit(True).alias("index"))
-    both = index.unionByName(partial.withColumn("index", F.lit(False)))
-    unseen = float(np.log10(learnt + v + 1.0))
 
-    def finish(frame: pd.DataFrame) -> pd.DataFrame:
-        k, null, train, count = _unpack(frame.loc[frame["index"], "sums"].iloc[0])
-        sums = np.zeros((3, len(k)))
-        for blob in frame.loc[~frame["index"], "sums"]:
-            for j, x in enumerate(_unpack(blob)):
-                sums[j, : len(x)] += x
-        return pd.DataFrame(
-            {
-                "k": pd.array(k, dtype="Int64").copy() if not null.any() else pd.array(np.where(null, None, k), dtype="Int64"),
-                "held_out": ~train, "n_tokens": count, "n_known": np.round(sums[2]).astype(np.int64), "train_tokens": learnt,
-                "base_score": sums[1] - count * unseen, "score": sums[0],
-            }
-        )
+def number(groups: int) -> Callable[[int, Met], Iterator[Row]]:
+    """Ids and counts of a group's words, to all chunks that have them; frequent words have small ids."""
 
-    out = "k long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return both.groupBy("chunk").applyInPandas(finish, out).withColumnRenamed("k", key)
+    def run(group: int, got: Met) -> Iterator[Row]:
+        asked = [_unpack(b) for _, b in got[_WORDS]]
+        word, at = np.unique(np.concatenate([x[0] for x in asked]), return_inverse=True)
+        n, c = (np.bincount(at, weights=np.concatenate([_wide(x[i]) for x in asked]), minlength=len(word)).astype(np.int64) for i in (1, 2))
+        ids = np.empty(len(word), dtype=np.int64)
+        ids[np.argsort(-n, kind="stable")] = np.arange(len(word)) * groups + group
+        cuts = np.cumsum([0, *[len(x[0]) for x in asked]])
+        for (chunk, _), x, y in zip(got[_WORDS], cuts[:-1], cuts[1:]):
+            own = at[x:y]
+            yield int(chunk), _IDS, group, _pack(_thin(ids[own]), _thin(n[own]), _thin(c[own]))
+        yield group, _SUMS, 0, _pack(np.array([n.sum(), c.sum(), (c > 0).sum()]))
+        if (n > HOT).any():
+            yield group, _HOT, 0, ids[n > HOT].tobytes()
 
+    return run
 
-def _pair_sums(types: Types, t2: np.ndarray) -> np.ndarray:
-    out = np.zeros(SIZE, dtype=np.int64)
-    some = np.flatnonzero(types.pairs[types.c2] >= 0)
-    at = types.pairs[types.c2[some]].astype(np.int64)
-    np.add.at(out, _C2 + at, types.c[some])
-    np.add.at(out, _T2 + at, t2[some])
-    return out
 
+def _chunk(got: Met) -> tuple[Chunk, np.ndarray]:
+    """A chunk of its codes and the answers of the groups; and its words' training counts."""
+    code, start = _unpack(got[_CODES][0][1])
+    told = [_unpack(b) for _, b in got[_IDS]]
+    ids, n, c = (np.concatenate([_wide(x[i]) for x in told]) for i in range(3))
+    return Chunk(_wide(code), _wide(_unpack(got[_DOCS][0][1])[3]), start, ids, n), c
 
-def _types(blob: bytes) -> Types:
-    word, heavy, w, c2, c, c1, pairs = _unpack(blob)
-    return Types(word, None, heavy.astype(np.int64), w, c2, c.astype(np.int64), c1, pairs.astype(np.int64))
+
+def _hot(parsed: DataFrame, numbered: DataFrame, parts: int) -> Hot:
+    """Previous words and pairs of more than ``HOT`` tokens: at most one for every ``HOT`` tokens of the input."""
+    words = np.sort(np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(r["blob"], np.int64) for r in _of(numbered, _HOT).select("blob").collect()]]))
+    if len(words) == 0:
+        return Hot(words, np.zeros(0, np.uint64))
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for blob in frame["blob"]:
+                pair, n = (np.frombuffer(x, np.int64) for x in pickle.loads(blob))
+                yield pd.DataFrame({"pair": pair, "n": n})
+
+    def pairs(at: int, got: Met) -> Iterator[Row]:
+        pair, n = _chunk(got)[0].hot_pairs()
+        yield at, _HOT, 0, pickle.dumps((pair.tobytes(), n.astype(np.int64).tobytes()))
+
+    found = _meet(pairs, parts, _of(parsed, _CODES, _DOCS), _of(numbered, _IDS)).select("blob").mapInPandas(count, "pair long, n long")
+    often = found.groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") > HOT).select("pair").collect()
+    return Hot(words, np.sort(np.array([r["pair"] for r in often], dtype=np.int64).view(np.uint64)))
+
+
+def score_table(df: DataFrame, key: str, text: str, samples: int = SAMPLES) -> DataFrame:
+    """Per row: key, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
+    spark = df.sparkSession
+    since = runtime.staged()
+    rows = df.select(df[key].cast("long").alias("k"), (~held_out(df[key])).alias("train"), df[text].alias("t"))
+    with tokens.bounded_batches(spark):
+        groups = runtime.parts_for(rows, GROUP_BYTES, 8)
+        parsed = runtime.stage(parse(rows, groups), "parsed")
+        out = _seated(parsed, groups, samples).withColumnRenamed("k", key)
+        return runtime.settle(out, "scores", since)
+
+
+def _seated(parsed: DataFrame, groups: int, samples: int) -> DataFrame:
+    parts = lambda n: max(min(n, 64), n // 4)
+    numbered = runtime.stage(_meet(number(groups), parts(groups), _of(parsed, _WORDS)), "numbered")
+    total, learnt, v = (int(x) for x in _sums(3, numbered))
+    buckets = max(8, -(-total // BUCKET_TOKENS))
+    chunks = parts(buckets)
+    hot = _hot(parsed, numbered, chunks)
+
+    def send(at: int, got: Met) -> Iterator[Row]:
+        train = _unpack(got[_DOCS][0][1])[2]
+        for bucket, blob in blocks(_chunk(got)[0], train, hot, buckets):
+            yield bucket, _BLOCK, at, blob
+
+    def gather(bucket: int, got: Met) -> Iterator[Row]:
+        made, places = merge([b for _, b in got[_BLOCK]], hot)
+        sources = np.array([s for s, _ in got[_BLOCK]])
+        del got
+        yield bucket, _TYPES, 0, made
+        yield bucket, _PLACES, 0, _pack(sources, places)
+        types = _types(made)
+        t2, t1 = first_tables(types)
+        k1 = types.customers(t2)
+        sums = _pair_sums(types, t2, hot)
+        alone = np.delete(k1, types.hot)
+        sums[hot.at("ones") :][:4] = [(x == m).sum() for x in (types.c, alone) for m in (1, 2)]
+        yield bucket, _SUMS, 0, _pack(sums)
+        yield from ((g, _ASK, bucket, b) for g, b in _ask(types, k1, t1, groups))
+
+    sent = _meet(send, chunks, _of(parsed, _CODES, _DOCS), _of(numbered, _IDS))
+    merged = runtime.stage(_meet(gather, chunks, sent), "buckets")
+    made = _of(merged, _TYPES)
+
+    def served(turn: int, asked: DataFrame, *last: DataFrame, sums: np.ndarray | None = None, discounts: tuple | None = None) -> DataFrame:
+        def run(group: int, got: Met) -> Iterator[Row]:
+            state = got[_STATE][0][1] if _STATE in got else None
+            answers, now, own = serve([b for _, b in got[_ASK]], state, sums, hot, discounts, v, np.random.default_rng((turn, 1 << 40, group)))
+            yield group, _SUMS, 0, _pack(own)
+            yield group, _STATE, turn, now
+            for (bucket, _), b in zip(got[_ASK], answers):
+                yield int(bucket), _ANSWER, group, b
+
+        return runtime.stage(_meet(run, parts(groups), _of(asked, _ASK), *[_of(t, _STATE) for t in last]), f"words{turn}")
+
+    words = served(0, merged)
+    sums = _sums(hot.size(), merged, words)
+    discounts = _discounts(sums[hot.at("ones") :])
+    seats, kept = None, []
+
+    def sweep(turn: int, sums: np.ndarray):
+        def run(bucket: int, got: Met) -> Iterator[Row]:
+            types = _types(got[_TYPES][0][1])
+            upper = _answered(types, groups, [b for _, b in got[_ANSWER]])
+            t2, t1 = (_wide(x) for x in _unpack(got[_SEATS][0][1])) if _SEATS in got else first_tables(types)
+            last = _given(types, t2, types.customers(t2), t1, sums, hot, discounts, v)
+            t2, k1, t1 = lower(types, last, upper, t2, t1, np.random.default_rng((turn, bucket)))
+            yield bucket, _SEATS, turn, _pack(_thin(t2), _thin(t1))
+            yield bucket, _SUMS, 0, _pack(_pair_sums(types, t2, hot))
+            yield from ((g, _ASK, bucket, b) for g, b in _ask(types, k1, t1, groups))
+
+        return run
+
+    for turn in range(1, BURN_IN + samples + 1):
+        before = (seats, words)
+        seats = runtime.stage(_meet(sweep(turn, sums), chunks, made, _of(words, _ANSWER), *([_of(seats, _SEATS)] if seats is not None else [])), f"seats{turn}")
+        words = served(turn, seats, words, sums=sums, discounts=discounts)
+        sums = _sums(hot.size(), seats, words)
+        if turn > BURN_IN:
+            kept.append((turn, seats, words, sums))
+        if turn <= BURN_IN + 1:
+            runtime.discard(*[t for t in before if t is not None])
+
+    given = [(turn, sums) for turn, _, _, sums in kept]
+
+    def score(bucket: int, got: Met) -> Iterator[Row]:
+        types = _types(got[_TYPES][0][1])
+        sources, places = _unpack(got[_PLACES][0][1])
+        p = np.zeros(len(types.c))
+        for turn, sums in given:
+            t2, t1 = (_wide(x) for x in _unpack(next(b for s, b in got[_SEATS] if s == turn)))
+            k1 = types.customers(t2)
+            upper = _answered(types, groups, [b for _, b in got[_ANSWER + 100 * turn]])
+            p += predict(types, t2, k1, t1, _given(types, t2, k1, t1, sums, hot, discounts, v), upper)
+        told = np.log10(p / len(given)).astype(np.float32)
+        step, sizes = _unpack(places)
+        step, at = _wide(step), 0
+        for source, n in zip(sources.tolist(), sizes.tolist()):
+            yield source, _P, bucket, _pack(told[np.cumsum(step[at : at + n])])
+            at += n
+
+    told = [_of(w, _ANSWER).withColumn("kind", F.col("kind") + F.lit(100 * turn)) for turn, _, w, _ in kept]
+    scored = _meet(score, chunks, _of(merged, _TYPES, _PLACES), *[_of(s, _SEATS) for _, s, _, _ in kept], *told)
+    unseen = float(np.log10(learnt + v + 1.0))
+
+    def finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, got in _each(frames):
+            chunk, c = _chunk(got)
+            k, null, train, _ = _unpack(got[_DOCS][0][1])
+            order, first, *_ = chunk.arrange(hot, buckets)
+            doc = np.repeat(np.arange(len(k)), chunk.count)
+            p = np.concatenate([_unpack(b)[0] for _, b in got[_P]])
+            p = np.repeat(p, np.diff(np.append(first, len(order)))).astype(np.float64)
+            add = lambda at, x: np.bincount(at, weights=x, minlength=len(k))
+            yield pd.DataFrame(
+                {
+                    "k": pd.array(k, dtype="Int64") if not null.any() else pd.array(np.where(null, None, k), dtype="Int64"),
+                    "held_out": ~train, "n_tokens": chunk.count, "n_known": add(doc, (c > 0)[chunk.code]).astype(np.int64), "train_tokens": learnt,
+                    "base_score": add(doc, np.log10(c + 1.0)[chunk.code]) - chunk.count * unseen, "score": add(doc[order], p),
+                }
+            )
+
+    out = "k long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    last = _of(parsed, _CODES, _DOCS).unionByName(_of(numbered, _IDS)).unionByName(scored)
+    return last.repartition(chunks, "at").sortWithinPartitions("at", "kind", "source").mapInPandas(finish, out)

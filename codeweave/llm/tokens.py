@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from codeweave import runtime
 from codeweave.llm import shingles
 
 _WHOLE = "[\\x00\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|<\\|"
@@ -209,6 +210,11 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 4 <<
             at = stop
 
 
+def bounded_batches(spark, rows: int = 500):
+    """Arrow batches small enough for very long texts, for the jobs run inside."""
+    return runtime.setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def bound_batches(spark, rows: int = 500) -> None:
     """Keep Arrow batches small enough for very long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
