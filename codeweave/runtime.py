@@ -68,21 +68,27 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
         spark.conf.unset(key) if old is None else spark.conf.set(key, old)
 
 
-def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back, cutting its lineage there."""
+def tidy(spark: SparkSession):
+    """Shuffle files go with the job that made them, for the jobs run inside."""
+    return setting(spark, _CLEANUP, "true")
+
+
+def stage(df: DataFrame, name: str, path: str | None = None, by: str | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back, cutting its lineage there; ``by`` names
+    a column whose values get folders of their own."""
     spark = df.sparkSession
     path = path or scratch(spark, name)
-    with setting(spark, _CLEANUP, "true"):
-        df.write.mode("overwrite").parquet(path)
+    with tidy(spark):
+        (df.write.partitionBy(by) if by else df.write).mode("overwrite").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._codeweave_path = path
     return out
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete staged tables that nothing reads any more."""
+def discard(*tables: DataFrame, below: str = "") -> None:
+    """Delete staged tables, or a folder below them, that nothing reads any more."""
     for df in tables:
-        drop(df.sparkSession, df._codeweave_path)
+        drop(df.sparkSession, df._codeweave_path + below)
 
 
 def staged() -> frozenset[str]:
