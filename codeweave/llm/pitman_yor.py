@@ -657,9 +657,12 @@ def parse(rows: DataFrame, groups: int) -> DataFrame:
             n = np.bincount(code, minlength=len(word))
             n[start] += len(count)
             c = np.bincount(code[np.repeat(train, count)], minlength=len(word))
+            rank = np.empty(len(word), dtype=np.uint32)
+            rank[np.argsort(-n, kind="stable")] = np.arange(len(word), dtype=np.uint32)
             keys = np.array([x if x is not None else 0 for x in k], np.int64), np.array([x is None for x in k])
             yield chunk, _DOCS, 0, _pack(*keys, train, _thin(count))
-            yield chunk, _CODES, 0, _pack(_thin(code), start)
+            # Codes by frequency are small for most tokens; the words' counts tell the order.
+            yield chunk, _CODES, 0, _pack(_thin(rank[code]), _thin(n), start)
             edges = np.searchsorted(_deal(word, groups), np.arange(groups + 1))
             for g in np.flatnonzero(np.diff(edges)).tolist():
                 x, y = edges[g], edges[g + 1]
@@ -696,10 +699,11 @@ def number(groups: int) -> Callable[[int, Met], Iterator[Row]]:
 
 def _chunk(got: Met) -> tuple[Chunk, np.ndarray]:
     """A chunk of its codes and the answers of the groups; and its words' training counts."""
-    code, start = _unpack(got[_CODES][0][1])
+    rank, often, start = _unpack(got[_CODES][0][1])
+    code = np.argsort(-_wide(often), kind="stable")[_wide(rank)]
     told = [_unpack(b) for _, b in got[_IDS]]
     ids, n, c = (np.concatenate([_wide(x[i]) for x in told]) for i in range(3))
-    return Chunk(_wide(code), _wide(_unpack(got[_DOCS][0][1])[3]), start, ids, n), c
+    return Chunk(code, _wide(_unpack(got[_DOCS][0][1])[3]), start, ids, n), c
 
 
 def _hot(parsed: DataFrame, numbered: DataFrame, parts: int) -> Hot:
@@ -728,9 +732,9 @@ def score_table(df: DataFrame, key: str, text: str, samples: int = SAMPLES) -> D
     spark = df.sparkSession
     since = runtime.staged()
     rows = df.select(df[key].cast("long").alias("k"), (~held_out(df[key])).alias("train"), df[text].alias("t"))
-    with tokens.bounded_batches(spark):
+    with tokens.bounded_batches(spark), runtime.tidy(spark):
         groups = runtime.parts_for(rows, GROUP_BYTES, 8)
-        parsed = runtime.stage(parse(rows, groups), "parsed")
+        parsed = runtime.stage(parse(rows, groups), "parsed", by="kind")
         out = _seated(parsed, groups, samples).withColumnRenamed("k", key)
         return runtime.settle(out, "scores", since)
 
@@ -738,6 +742,7 @@ def score_table(df: DataFrame, key: str, text: str, samples: int = SAMPLES) -> D
 def _seated(parsed: DataFrame, groups: int, samples: int) -> DataFrame:
     parts = lambda n: max(min(n, 64), n // 4)
     numbered = runtime.stage(_meet(number(groups), parts(groups), _of(parsed, _WORDS)), "numbered")
+    runtime.discard(parsed, below=f"/kind={_WORDS}")
     total, learnt, v = (int(x) for x in _sums(3, numbered))
     buckets = max(8, -(-total // BUCKET_TOKENS))
     chunks = parts(buckets)
@@ -826,6 +831,8 @@ def _seated(parsed: DataFrame, groups: int, samples: int) -> DataFrame:
 
     told = [_of(w, _ANSWER).withColumn("kind", F.col("kind") + F.lit(100 * turn)) for turn, _, w, _ in kept]
     scored = _meet(score, chunks, _of(merged, _TYPES, _PLACES), *[_of(s, _SEATS) for _, s, _, _ in kept], *told)
+    scored = runtime.stage(scored, "probabilities")
+    runtime.discard(merged, *[t for _, s, w, _ in kept for t in (s, w)])
     unseen = float(np.log10(learnt + v + 1.0))
 
     def finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
