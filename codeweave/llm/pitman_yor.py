@@ -53,10 +53,12 @@ from codeweave.llm import shingles, tokens
 BURN_IN, SAMPLES = 1, 2
 EXACT, STIRLING = 12, 512
 STRENGTH = 1.0
-BUCKET_TOKENS = 1_000_000
+BUCKET_TOKENS = 700_000
 #: Tokens from which a previous word, or a pair of them, is divided.
-HOT = 250_000
-CHUNK_TOKENS, CHUNK_DOCS = 900_000, 60_000
+HOT = 200_000
+CHUNK_TOKENS, CHUNK_DOCS = 600_000, 60_000
+#: Bytes of input that a task reads at least, and rows that pass between Spark and Python at a time.
+TASK_BYTES, BATCH_ROWS = 8 << 20, 64
 #: Bytes of input to a group of words.
 GROUP_BYTES = 8 << 20
 _END = np.uint64(0x1F83D9ABFB41BD6B)
@@ -98,8 +100,8 @@ def token_stream(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return w, count
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(k, train, word hashes, tokens of each text) of about ``CHUNK_TOKENS`` at a time."""
+def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple]:
+    """(k, train, word hashes, tokens of each text) of about ``most`` tokens at a time."""
     held: list = []
     size = docs = 0
 
@@ -107,7 +109,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         return [k for x in held for k in x[0]], *(np.concatenate([x[i] for x in held]) for i in (1, 2, 3))
 
     for batch in tokens.slices(batches, "t", 1 << 20):
-        if held and (size > CHUNK_TOKENS or docs + batch.num_rows > CHUNK_DOCS):
+        if held and (size > most or docs + batch.num_rows > CHUNK_DOCS):
             yield join()
             held, size, docs = [], 0, 0
         held.append((batch.column("k").to_pylist(), batch.column("train").to_numpy(zero_copy_only=False).astype(bool), *token_stream(batch.column("t"))))
@@ -155,10 +157,11 @@ def _order(*keys: tuple[np.ndarray, int]) -> np.ndarray:
 
 @dataclass
 class Hot:
-    """Ids of the previous words, and keys of the pairs, that are divided; both in ascending order."""
+    """Ids of the previous words, and keys of the pairs, that are divided, in ascending order; and the tokens of a section."""
 
     words: np.ndarray
     pairs: np.ndarray
+    most: int
 
     def size(self) -> int:
         return 2 * len(self.words) + 2 * len(self.pairs) + 8
@@ -191,10 +194,10 @@ class Chunk:
         u[first] = self.start
         return v, u
 
-    def hot_pairs(self) -> tuple[np.ndarray, np.ndarray]:
+    def hot_pairs(self, most: int) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of words that are both frequent enough to be a hot pair, and their tokens."""
         v, u = self.before()
-        often = self.n > HOT
+        often = self.n > most
         both = np.flatnonzero(often[v] & often[u])
         return np.unique(_pair(self.ids[v[both]], self.ids[u[both]]), return_counts=True)
 
@@ -203,26 +206,28 @@ class Chunk:
         previous word, the one before and word).  Types are in the order of these four."""
         v, u = self.before()
         m = len(self.ids)
-        rank = np.empty(m, dtype=np.int64)
-        rank[np.argsort(self.ids)] = np.arange(m)
+        rank = np.empty(m, dtype=np.int32)
+        rank[np.argsort(self.ids)] = np.arange(m, dtype=np.int32)
         mixed = shingles.mix(self.ids.astype(np.uint64))
         # Previous words with their bucket; a divided one has an entry for each of its buckets.
-        bucket, vid, entry = _deal(mixed, buckets), self.ids, v.astype(np.int64)
-        often = np.flatnonzero((self.n > HOT)[v])
+        bucket, vid, entry = _deal(mixed, buckets), self.ids, v.copy()
+        often = np.flatnonzero((self.n > hot.most)[v])
         if len(often):
             hv, hu = v[often], u[often]
             divided = _found(_pair(self.ids[hv], self.ids[hu]), hot.pairs) >= 0
             by = np.where(divided, mixed[self.code[often]], mixed[hu])
-            section = (by >> np.uint64(20)) % (-(-self.n[hv] // HOT)).astype(np.uint64)
+            section = (by >> np.uint64(20)) % (-(-self.n[hv] // hot.most)).astype(np.uint64)
             there = _deal(shingles.mix(mixed[hv] + (section + np.uint64(1)) * _STEP), buckets)
             combo, at = np.unique(there * m + hv, return_inverse=True)
             entry[often] = m + at
             bucket, vid = np.concatenate((bucket, combo // m)), np.concatenate((vid, self.ids[combo % m]))
-        place = np.empty(len(vid), dtype=np.int64)
-        place[np.lexsort((vid, bucket))] = np.arange(len(vid))
+        place = np.empty(len(vid), dtype=np.int32)
+        place[np.lexsort((vid, bucket))] = np.arange(len(vid), dtype=np.int32)
         x, y, z = place[entry], rank[u], rank[self.code]
-        order = _order((x, len(vid)), (y, m), (z, m))
-        first = np.flatnonzero(_starts(x[order], y[order], z[order]))
+        order = _order((x, len(vid)), (y, m), (z, m)).astype(np.int32)
+        new = _starts(x[order], y[order], z[order])
+        del x, y, z
+        first = np.flatnonzero(new)
         one = order[first]
         return order, first, bucket[entry[one]], vid[entry[one]], self.ids[u[one]], self.ids[self.code[one]]
 
@@ -269,25 +274,29 @@ def merge(blobs: list[bytes], hot: Hot) -> tuple[bytes, bytes]:
     """A bucket's types from the blocks of all chunks, and where the types of each block are among them."""
     got = [_unpack(x) for x in blobs]
     before, at = np.unique(np.concatenate([_wide(x[0]) for x in got]), return_inverse=True)
-    v = np.repeat(at, np.concatenate([_wide(x[1]) for x in got]))
-    u, w, c = (np.concatenate([_wide(x[i]) for x in got]) for i in (2, 3, 4))
+    v = np.repeat(at.astype(np.int32), np.concatenate([_wide(x[1], np.int32) for x in got]))
+    word, w = np.unique(np.concatenate([_wide(x[3]) for x in got]), return_inverse=True)
+    w = w.astype(np.int32)
+    u = np.concatenate([_wide(x[2]) for x in got])
+    c = np.concatenate([_wide(x[4], np.int32) for x in got])
     sizes = np.array([x[2].shape[1] for x in got])
-    del got
-    word, w = np.unique(w, return_inverse=True)
-    order = _order((v, len(before)), (u, int(u.max()) + 1), (w, len(word)))
-    v, u, w = v[order], u[order], w[order]
+    del got, at
+    order = _order((v, len(before)), (u, int(u.max()) + 1), (w, len(word))).astype(np.int32)
+    v, u, w, c = v[order], u[order], w[order], c[order]
     new = _starts(v, u, w)
-    place = np.empty(len(order), dtype=np.int64)
-    place[order] = np.cumsum(new) - 1
+    place = np.empty(len(order), dtype=np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
     first = np.flatnonzero(new)
-    c = np.add.reduceat(c[order], first)
+    c = np.add.reduceat(c, first, dtype=np.int64)
     v, u, w = v[first], u[first], w[first]
+    del order, new
     # Types of a block are in the order of all types.
     ends = np.cumsum(sizes)
-    step = np.diff(place, prepend=0)
+    step = np.diff(place, prepend=np.int32(0))
     step[ends - sizes] = place[ends - sizes]
+    del place
     pair = _starts(v, u)
-    group, g = np.unique(v * len(word) + w, return_inverse=True)
+    group, g = np.unique(v.astype(np.int64) * len(word) + w, return_inverse=True)
     gc = group // len(word)
     heavy = _found(before, hot.words)
     own = np.flatnonzero(pair)
@@ -579,7 +588,7 @@ def _frame(rows: list[Row]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["at", "kind", "source", "blob"])
 
 
-def _frames(rows: Iterator[Row], most: int = 4 << 20) -> Iterator[pd.DataFrame]:
+def _frames(rows: Iterator[Row], most: int = 1 << 20) -> Iterator[pd.DataFrame]:
     held, size = [], 0
     for row in rows:
         held.append(row)
@@ -644,14 +653,14 @@ def _sums(size: int, *tables: DataFrame) -> np.ndarray:
     return out
 
 
-def parse(rows: DataFrame, groups: int) -> DataFrame:
+def parse(rows: DataFrame, groups: int, most: int) -> DataFrame:
     """Chunks: their documents, their tokens as codes, and their distinct words to the groups of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[Row]:
         from pyspark import TaskContext
 
         chunk = TaskContext.get().partitionId() << 20
-        for k, train, w, count in _chunks(batches):
+        for k, train, w, count in _chunks(batches, most):
             word, code = np.unique(np.append(w, _START), return_inverse=True)
             start, code = int(code[-1]), code[:-1]
             n = np.bincount(code, minlength=len(word))
@@ -677,7 +686,7 @@ def parse(rows: DataFrame, groups: int) -> DataFrame:
     return rows.mapInArrow(emit, _ROWS)
 
 
-def number(groups: int) -> Callable[[int, Met], Iterator[Row]]:
+def number(groups: int, most: int) -> Callable[[int, Met], Iterator[Row]]:
     """Ids and counts of a group's words, to all chunks that have them; frequent words have small ids."""
 
     def run(group: int, got: Met) -> Iterator[Row]:
@@ -691,8 +700,8 @@ def number(groups: int) -> Callable[[int, Met], Iterator[Row]]:
             own = at[x:y]
             yield int(chunk), _IDS, group, _pack(_thin(ids[own]), _thin(n[own]), _thin(c[own]))
         yield group, _SUMS, 0, _pack(np.array([n.sum(), c.sum(), (c > 0).sum()]))
-        if (n > HOT).any():
-            yield group, _HOT, 0, ids[n > HOT].tobytes()
+        if (n > most).any():
+            yield group, _HOT, 0, ids[n > most].tobytes()
 
     return run
 
@@ -700,17 +709,17 @@ def number(groups: int) -> Callable[[int, Met], Iterator[Row]]:
 def _chunk(got: Met) -> tuple[Chunk, np.ndarray]:
     """A chunk of its codes and the answers of the groups; and its words' training counts."""
     rank, often, start = _unpack(got[_CODES][0][1])
-    code = np.argsort(-_wide(often), kind="stable")[_wide(rank)]
+    code = np.argsort(-_wide(often), kind="stable").astype(np.int32)[_wide(rank, np.int32)]
     told = [_unpack(b) for _, b in got[_IDS]]
     ids, n, c = (np.concatenate([_wide(x[i]) for x in told]) for i in range(3))
     return Chunk(code, _wide(_unpack(got[_DOCS][0][1])[3]), start, ids, n), c
 
 
-def _hot(parsed: DataFrame, numbered: DataFrame, parts: int) -> Hot:
-    """Previous words and pairs of more than ``HOT`` tokens: at most one for every ``HOT`` tokens of the input."""
+def _hot(parsed: DataFrame, numbered: DataFrame, parts: int, most: int) -> Hot:
+    """Previous words and pairs of more than ``most`` tokens: at most one for every ``most`` tokens of the input."""
     words = np.sort(np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(r["blob"], np.int64) for r in _of(numbered, _HOT).select("blob").collect()]]))
     if len(words) == 0:
-        return Hot(words, np.zeros(0, np.uint64))
+        return Hot(words, np.zeros(0, np.uint64), most)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -719,34 +728,38 @@ def _hot(parsed: DataFrame, numbered: DataFrame, parts: int) -> Hot:
                 yield pd.DataFrame({"pair": pair, "n": n})
 
     def pairs(at: int, got: Met) -> Iterator[Row]:
-        pair, n = _chunk(got)[0].hot_pairs()
+        pair, n = _chunk(got)[0].hot_pairs(most)
         yield at, _HOT, 0, pickle.dumps((pair.tobytes(), n.astype(np.int64).tobytes()))
 
     found = _meet(pairs, parts, _of(parsed, _CODES, _DOCS), _of(numbered, _IDS)).select("blob").mapInPandas(count, "pair long, n long")
-    often = found.groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") > HOT).select("pair").collect()
-    return Hot(words, np.sort(np.array([r["pair"] for r in often], dtype=np.int64).view(np.uint64)))
+    often = found.groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") > most).select("pair").collect()
+    return Hot(words, np.sort(np.array([r["pair"] for r in often], dtype=np.int64).view(np.uint64)), most)
 
 
-def score_table(df: DataFrame, key: str, text: str, samples: int = SAMPLES) -> DataFrame:
+def score_table(
+    df: DataFrame, key: str, text: str, samples: int = SAMPLES, bucket_tokens: int = BUCKET_TOKENS, hot_tokens: int = HOT, chunk_tokens: int = CHUNK_TOKENS
+) -> DataFrame:
     """Per row: key, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     spark = df.sparkSession
     since = runtime.staged()
     rows = df.select(df[key].cast("long").alias("k"), (~held_out(df[key])).alias("train"), df[text].alias("t"))
-    with tokens.bounded_batches(spark), runtime.tidy(spark):
+    with tokens.bounded_batches(spark, BATCH_ROWS), runtime.tidy(spark):
         groups = runtime.parts_for(rows, GROUP_BYTES, 8)
-        parsed = runtime.stage(parse(rows, groups), "parsed", by="kind")
-        out = _seated(parsed, groups, samples).withColumnRenamed("k", key)
+        # Scans dealt over many small tasks would make as many small chunks.
+        rows = rows.coalesce(runtime.parts_for(rows, TASK_BYTES, 2 * spark.sparkContext.defaultParallelism))
+        parsed = runtime.stage(parse(rows, groups, chunk_tokens), "parsed", by="kind")
+        out = _seated(parsed, groups, samples, bucket_tokens, hot_tokens).withColumnRenamed("k", key)
         return runtime.settle(out, "scores", since)
 
 
-def _seated(parsed: DataFrame, groups: int, samples: int) -> DataFrame:
+def _seated(parsed: DataFrame, groups: int, samples: int, bucket_tokens: int, hot_tokens: int) -> DataFrame:
     parts = lambda n: max(min(n, 64), n // 4)
-    numbered = runtime.stage(_meet(number(groups), parts(groups), _of(parsed, _WORDS)), "numbered")
+    numbered = runtime.stage(_meet(number(groups, hot_tokens), parts(groups), _of(parsed, _WORDS)), "numbered")
     runtime.discard(parsed, below=f"/kind={_WORDS}")
     total, learnt, v = (int(x) for x in _sums(3, numbered))
-    buckets = max(8, -(-total // BUCKET_TOKENS))
+    buckets = max(8, -(-total // bucket_tokens))
     chunks = parts(buckets)
-    hot = _hot(parsed, numbered, chunks)
+    hot = _hot(parsed, numbered, chunks, hot_tokens)
 
     def send(at: int, got: Met) -> Iterator[Row]:
         train = _unpack(got[_DOCS][0][1])[2]

@@ -69,36 +69,37 @@ def test_a_hot_word(spark):
     compare(py.score_table(frame(spark, rows), "doc_id", "text").collect(), rows)
 
 
-def every_pair(v=30, classes=6, seed=3):
-    """All (word, class) types, most of them unseen, with a seating of their own."""
+def every_pair(v=30, seed=3):
+    """All types of 30 words in six pairs of previous words, most of them unseen."""
     rng = np.random.default_rng(seed)
-    w = np.repeat(np.arange(v), classes).astype(np.uint32)
-    c2 = np.tile(np.arange(classes) * 5, v).astype(np.uint16)
-    c = rng.poisson(0.7, v * classes) * rng.integers(1, 20, v * classes)
-    c[: classes] = 3
-    learnt = np.bincount(w, weights=c).astype(np.int64)
-    return py.Types(np.arange(v).astype(np.uint64), learnt, np.full(v, -1, np.int32), w, c2, c.astype(np.int64))
+    c1 = np.array([0, 0, 1, 1, 2, 3])
+    c2, w = np.repeat(np.arange(6), v), np.tile(np.arange(v), 6)
+    group, g = np.unique(c1[c2] * v + w, return_inverse=True)
+    c = rng.poisson(0.7, 6 * v) * rng.integers(1, 20, 6 * v)
+    c[:3] = 3
+    none = np.full(6, -1)
+    return py.Types(np.arange(v), none[:4], none, group % v, group // v, g, c2, c), np.bincount(w, weights=c)
 
 
 def test_probabilities_of_a_context_add_up_to_one():
-    types = every_pair()
-    v = int((types.learnt > 0).sum())
-    ones = (types.c > 0).astype(np.int64)
-    k1 = np.bincount(types.g, weights=ones).astype(np.int64)
-    first = py.Shared(py._totals(types, ones, k1, (k1 > 0).astype(np.int64), None), (0.3, 0.5, 0.7), v)
-    seats = py.seating(types, first, (1, 2))
-    t2, k1, t1, k0, t0 = seats
-    own = py.Shared(py._totals(types, t2, k1, t1, t0), first.discounts, v)
-    p = py.predict(types, seats, own)
-    d0, d1, d2 = own.discounts
-    root = (py.STRENGTH + d0 * own.t0) / (v + 1) / (py.STRENGTH + own.c0)
-    for c2 in np.unique(types.c2):
-        c1 = c2 // py.SPLIT
-        near = (py.STRENGTH + d1 * own.t1[c1]) * root / (py.STRENGTH + own.c1[c1])
-        unknown = (py.STRENGTH + d2 * own.t2[c2]) * near / (py.STRENGTH + own.c2[c2])
-        absent = sum(types.learnt == 0)  # words that training lacks are all the unknown word
-        total = p[(types.c2 == c2) & (types.learnt[types.w] > 0)].sum() + unknown
-        assert total == pytest.approx(1, abs=1e-9), (c2, absent)
+    types, learnt = every_pair()
+    v, none, rng = int((learnt > 0).sum()), np.zeros(0, np.int64), np.random.default_rng(1)
+    t2, t1 = py.first_tables(types)
+    for turn in range(3):
+        k0 = np.bincount(types.gw, weights=t1).astype(np.int64)
+        t0 = (k0 > 0).astype(np.int64) if turn == 0 else py.seat(k0, np.full(len(k0), own.floor()), 0.3, rng)
+        k1 = types.customers(t2)
+        upper = py.Upper(k0, t0, none, none)
+        own = py.Shared(py._totals(types, t2, k1, t1, int(t0.sum()), int(k0.sum())), (0.3, 0.5, 0.7), v)
+        p = py.predict(types, t2, k1, t1, own, upper)
+        d0, d1, d2 = own.discounts
+        root = (py.STRENGTH + d0 * own.t0) / (v + 1) / (py.STRENGTH + own.c0)
+        for c2, c1 in enumerate([0, 0, 1, 1, 2, 3]):
+            near = (py.STRENGTH + d1 * own.t1[c1]) * root / (py.STRENGTH + own.c1[c1])
+            unknown = (py.STRENGTH + d2 * own.t2[c2]) * near / (py.STRENGTH + own.c2[c2])
+            known = learnt[types.word[types.gw[types.g]]] > 0
+            assert p[(types.c2 == c2) & known].sum() + unknown == pytest.approx(1, abs=1e-9), (turn, c2)
+        t2, k1, t1 = py.lower(types, own, upper, t2, t1, rng)
 
 
 def test_seating_follows_the_restaurant_process():
@@ -136,21 +137,69 @@ def test_scores_do_not_depend_on_the_partitioning(spark, sf01):
     assert a == b
 
 
-def test_groups_of_buckets_change_nothing(spark, sf01, monkeypatch):
-    """The exchange in two levels, which only large inputs need, gives the scores of the direct one."""
-    docs = spark.read.parquet(f"{sf01}/documents.parquet").repartition(4, "doc_id").sortWithinPartitions("doc_id").cache()
-    monkeypatch.setattr(py, "BUCKET_TOKENS", 12_000)
-    monkeypatch.setattr(py, "CHUNK_BYTES", 1 << 18)
-    monkeypatch.setattr(py, "HELD_DOCS", 100)
-    direct = sorted(tuple(r) for r in py.score_table(docs, "doc_id", "text").collect())
-    monkeypatch.setattr(py, "DIRECT", 4)
-    monkeypatch.setattr(py, "GATHERED", 20_000)
-    monkeypatch.setattr(py, "DIVIDED", 30_000)
-    grouped = sorted(tuple(r) for r in py.score_table(docs, "doc_id", "text").collect())
-    assert [r[:5] for r in grouped] == [r[:5] for r in direct]
-    assert np.allclose([r[5:] for r in grouped], [r[5:] for r in direct], rtol=1e-9)
-    compare_rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
-    assert sorted(counted(compare_rows))[0][2:5] == direct[0][2:5]
+def test_small_buckets_and_chunks_change_little(spark, sf01):
+    """Counts and base are the same in many small buckets and chunks; the scores differ by the draws alone."""
+    docs = spark.read.parquet(f"{sf01}/documents.parquet").where(F.length("text") < 3000).repartition(3, "doc_id").cache()
+    few = sorted(tuple(r) for r in py.score_table(docs, "doc_id", "text").collect())
+    many = sorted(tuple(r) for r in py.score_table(docs, "doc_id", "text", bucket_tokens=5_000, hot_tokens=1_500, chunk_tokens=40_000).collect())
+    assert [r[:5] for r in few] == [r[:5] for r in many]
+    assert np.allclose([r[5] for r in few], [r[5] for r in many], rtol=1e-9)
+    a, b = (sum(r[6] for r in x) / sum(r[2] for r in x) for x in (few, many))
+    assert a == pytest.approx(b, abs=0.005)
+    assert np.allclose([r[6] for r in few], [r[6] for r in many], rtol=0.1, atol=1)
+
+
+def one_table(train, held, floor=0.05):
+    """Held-out log10 probability a token of the same hierarchy with one table for every word of a restaurant."""
+    streams = lambda docs: (z for d in docs for z in zip(d, ["<", *d], ["<", "<", *d]))
+    c2 = Counter((w, v, u) for w, v, u in streams(train))
+    c1 = Counter((w, v) for w, v, _ in c2)
+    c0 = Counter(w for w, _ in c1)
+    ones = lambda c: min(0.95, max(floor, sum(x == 1 for x in c.values()) / (sum(x == 1 for x in c.values()) + 2 * sum(x == 2 for x in c.values()))))
+    d2, d1, d0 = ones(c2), ones(c1), ones(c0)
+    n2, t2, n1, t1 = Counter(), Counter(), Counter(), Counter()
+    for (_, v, u), n in c2.items():
+        n2[v, u] += n
+        t2[v, u] += 1
+    for (_, v), n in c1.items():
+        n1[v] += n
+        t1[v] += 1
+    n0, v0, s = sum(c0.values()), len(c0), py.STRENGTH
+    total = many = 0
+    for w, v, u in streams(held):
+        p = (max(c0[w] - d0, 0) + (s + d0 * v0) / (v0 + 1)) / (s + n0)
+        p = (max(c1[w, v] - d1, 0) + (s + d1 * t1[v]) * p) / (s + n1[v])
+        p = (max(c2[w, v, u] - d2, 0) + (s + d2 * t2[v, u]) * p) / (s + n2[v, u])
+        total += math.log10(p)
+        many += 1
+    return total / many
+
+
+def test_held_out_score_is_that_of_true_contexts(spark, sf01):
+    docs = spark.read.parquet(f"{sf01}/documents.parquet").select("doc_id", "text").collect()
+    fold = [zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2 for r in docs]
+    toks = [[*words_of(r["text"]), None] for r in docs]
+    want = one_table([t for t, h in zip(toks, fold) if not h], [t for t, h in zip(toks, fold) if h])
+    rows = [r for r in queries.op6_pitman_yor(spark, sf01).collect() if r["held_out"]]
+    assert sum(r["score"] for r in rows) / sum(r["n_tokens"] for r in rows) > want - 0.005
+
+
+def test_a_frequent_word_is_dealt_over_buckets():
+    """A previous word of a 200th of all tokens: no bucket takes more of it than two sections and its share of the rest."""
+    rng = np.random.default_rng(2)
+    n, often = 200_000, 4
+    code = rng.integers(0, 20_000, n)
+    code[::200] = 7
+    count = np.full(200, 1000)
+    times = np.bincount(code, minlength=20_001)
+    chunk = py.Chunk(code, count, 20_000, np.arange(20_001) * 8 + 3, times)
+    most = int(times[7]) // often
+    hot = py.Hot(np.array([7 * 8 + 3]), np.zeros(0, np.uint64), most)
+    order, first, bucket, v, u, w = chunk.arrange(hot, 64)
+    own = np.bincount(bucket[v == 7 * 8 + 3], minlength=64)
+    assert times[7] - 5 <= own.sum() <= times[7] and own.max() <= 2 * most + 40
+    whole = py.Chunk(code, count, 20_000, np.arange(20_001) * 8 + 3, times).arrange(py.Hot(np.zeros(0, np.int64), np.zeros(0, np.uint64), n), 64)
+    assert sorted(zip(v, u, w)) == sorted(zip(*whole[3:])) and sorted(order) == list(range(n)) and (np.diff(bucket) >= 0).all()
 
 
 def test_every_context_has_a_restaurant_of_its_own(spark):
@@ -168,15 +217,11 @@ def test_every_context_has_a_restaurant_of_its_own(spark):
     assert got[1] > got[0] + 200 * 2.5, got
 
 
-def test_heavy_contexts_are_divided_without_loss(spark, monkeypatch):
-    """A heavy word and a heavy pair, divided over buckets, score as they do in one bucket."""
+def test_hot_contexts_are_divided_without_loss(spark):
+    """A hot word and a hot pair, divided over buckets, score as they do in one bucket."""
     rows = [(i, " ".join(f"hot pair w{(i * 31 + j) % 50} hot w{(i * 17 + j) % 90}" for j in range(30))) for i in range(300)]
     docs = frame(spark, rows)
-    divided = {r["doc_id"]: r["score"] for r in py.score_table(docs, "doc_id", "text").collect()}
-    (words, two), total, learnt = first = py._first_pass(docs.select("doc_id", "text").selectExpr("doc_id as k", "true as train", "text as t"))
-    assert len(words) >= 2 and len(two) and total == learnt, first
-    whole = py._first_pass
-    monkeypatch.setattr(py, "_first_pass", lambda rows: ((words[:0], two[:0]), *whole(rows)[1:]))
+    divided = {r["doc_id"]: r["score"] for r in py.score_table(docs, "doc_id", "text", hot_tokens=2_000, bucket_tokens=8_000).collect()}
     undivided = {r["doc_id"]: r["score"] for r in py.score_table(docs, "doc_id", "text").collect()}
     a, b = (sum(x.values()) for x in (divided, undivided))
     assert a == pytest.approx(b, rel=0.02)
