@@ -34,15 +34,15 @@ def requests(spark, ids):
 
 
 def test_fan_out_keeps_errors_as_rows(spark):
-    client = Offline([("about billing", CompletionError("refused", 401))])
-    got = fanout.run(requests(spark, ["auth", "billing", "config"]), client, 0)
+    client = Offline([("about helm", CompletionError("refused", 401))])
+    got = fanout.run(requests(spark, ["bow", "helm", "oar"]), client, 0)
     rows = {r["module_id"]: r for r in got.collect()}
-    assert rows["auth"]["content"] and rows["auth"]["error"] is None and rows["billing"]["content"] is None
-    assert (rows["billing"]["error"]["status"], rows["billing"]["error"]["retryable"]) == (401, False)
-    assert fanout.tally(got).first().asDict() == {"total": 3, "succeeded": 2, "failed": 1, "failed_ids": "billing"}
-    with pytest.raises(fanout.FanOutError, match=r"1 of 3 modules failed: \[billing\]") as e:
+    assert rows["bow"]["content"] and rows["bow"]["error"] is None and rows["helm"]["content"] is None
+    assert (rows["helm"]["error"]["status"], rows["helm"]["error"]["retryable"]) == (401, False)
+    assert fanout.tally(got).first().asDict() == {"total": 3, "succeeded": 2, "failed": 1, "failed_ids": "helm"}
+    with pytest.raises(fanout.FanOutError, match=r"1 of 3 modules failed: \[helm\]") as e:
         fanout.raise_failures(got)
-    assert e.value.summary().split("\n") == ["2/3 modules documented", "Failed modules:", "  - billing: refused"]
+    assert e.value.summary().split("\n") == ["2/3 modules documented", "Failed modules:", "  - helm: refused"]
     assert fanout.summary(2, []) == "2/2 modules documented"
 
 
@@ -63,23 +63,21 @@ def test_pages(spark):
 
 
 def test_summaries_see_direct_dependencies_only(spark):
-    modules = artifacts.modules_frame(spark, [{"id": i, "files": [f"{i}.go"], "shared": True, "owner": "shared_preprocessor"} for i in ("config", "logger", "errors")])
-    index = spark.createDataFrame([(f"{i}.go", "go", "h", [], [], []) for i in ("config", "logger", "errors")], schema.FILE_INDEX)
-    edges = edges_frame(spark, [("config.go", "logger.go"), ("logger.go", "errors.go")])
+    """rope is used by sail, sail by mast; mast is told of sail alone."""
+    names = ("mast", "sail", "rope")
+    modules = artifacts.modules_frame(spark, [{"id": i, "files": [f"{i}.go"], "shared": True, "owner": "shared_preprocessor"} for i in names])
+    index = spark.createDataFrame([(f"{i}.go", "go", "h", [], [], []) for i in names], schema.FILE_INDEX)
+    edges = edges_frame(spark, [("mast.go", "sail.go"), ("sail.go", "rope.go")])
     reply = lambda s: json.dumps({"summary": s, "key_functions": [{"name": "X", "signature": "", "ref": "claimed"}]})
-    rules = [
-        ("- errors: sum of errors", reply("sum of logger")), ("- logger: sum of logger", reply("sum of config")), ('module "errors"', reply("sum of errors")),
-    ]
+    both = ("- rope: R\n- sail: S", CompletionError("told of all"))
+    rules = [both, ("- sail: S", reply("M")), ("- rope: R", reply("S")), ('module "rope"', reply("R"))]
     got = summaries.summarise(modules, index, edges, Offline(rules), 3000, {"model": "m"})
-    assert {r["module_id"]: r["summary"] for r in got.collect()} == {i: f"sum of {i}" for i in ("config", "logger", "errors")}
-    leaks = [("- errors: sum of errors", reply("sum of logger")), ("- logger: sum", reply("ok")), ('module "errors"', reply("sum of errors"))]
-    leaks.insert(0, ('module "config"', reply("direct")))
-    assert {r["summary"] for r in summaries.summarise(modules, index, edges, Offline(leaks), 3000, {}).collect()} == {"direct", "sum of logger", "sum of errors"}
-    kept = spark.createDataFrame([("errors", "old", [], [], [])], schema.SHARED_CONTEXT)
-    only = Offline([('module "errors"', CompletionError("asked again")), ('module "logger"', reply("new")), ('module "config"', reply("new"))])
-    touched = spark.createDataFrame([("logger",), ("config",)], "module_id string")
+    assert {r["module_id"]: r["summary"] for r in got.collect()} == {"mast": "M", "sail": "S", "rope": "R"}
+    kept = spark.createDataFrame([("rope", "old", [], [], [])], schema.SHARED_CONTEXT)
+    only = Offline([('module "rope"', CompletionError("asked again")), ('module "sail"', reply("new")), ('module "mast"', reply("new"))])
+    touched = spark.createDataFrame([("sail",), ("mast",)], "module_id string")
     got = summaries.summarise(modules, index, edges, only, 3000, {}, affected=touched, existing=kept)
-    assert {r["module_id"]: r["summary"] for r in got.collect()} == {"errors": "old", "logger": "new", "config": "new"}
+    assert {r["module_id"]: r["summary"] for r in got.collect()} == {"rope": "old", "sail": "new", "mast": "new"}
     with pytest.raises(fanout.FanOutError):
         summaries.summarise(modules, index, edges, Offline([("module", CompletionError("down"))]), 3000, {})
 
@@ -87,13 +85,13 @@ def test_summaries_see_direct_dependencies_only(spark):
 def test_computed_plan(spark):
     index = spark.createDataFrame([(p, "go", "h", [], [], []) for p in sorted({x for e in EDGES for x in e})], schema.FILE_INDEX)
     got = {r["id"]: r for r in planning.computed_plan(index, edges_frame(spark, EDGES), 3).collect()}
-    assert got["pkg-logger"]["shared"] and got["pkg-logger"]["referenced_by"] == ["internal-api", "internal-auth", "internal-db"]
-    assert not got["pkg-errors"]["shared"] and got["internal-db"]["depends_on_shared"] == ["pkg-logger"] and got["internal-auth"]["owner"] == "agent"
+    assert got["clock"]["shared"] and got["clock"]["referenced_by"] == ["ticket", "timetable", "units"]
+    assert not got["units"]["shared"] and got["units"]["depends_on_shared"] == ["clock"] and got["ticket"]["owner"] == "agent"
 
 
 @pytest.fixture
-def run(spark, shop, tmp_path):
-    c = Config(repo_path=str(shop), output_dir=str(tmp_path / "docs"), artifacts_dir=str(tmp_path / "art"))
+def run(spark, ferry, tmp_path):
+    c = Config(repo_path=str(ferry), output_dir=str(tmp_path / "docs"), artifacts_dir=str(tmp_path / "art"))
     c.analysis.shared_module_threshold = 2
     return pl.Run(spark, c, Offline(), computed_plan=True)
 
@@ -103,38 +101,39 @@ def read(run, *path):
         return f.read()
 
 
-def test_generate_then_update(run, shop, tmp_path):
-    (shop / "broken.go").write_text("package x\nfunc B( {")
+def test_generate_then_update(run, ferry, tmp_path):
+    (ferry / "broken.go").write_text("package x\nfunc B( {")
     report = run.generate()
-    assert run.skipped == 1 and report["total_files"] == 7
-    assert sorted(run.store.read_file_index().select("path").toPandas()["path"])[0] == "cmd/main.go"
+    assert run.skipped == 1 and report["total_files"] == 6
+    assert sorted(run.store.read_file_index().select("path").toPandas()["path"])[0] == "clock/tide.go"
     before = {n: (tmp_path / "art" / n).read_bytes() for n in ("file_index.json", "dep_graph.json")}
-    assert "## Contents" in read(run, "modules", "internal-auth.md") and "# pkg-logger" in read(run, "shared", "pkg-logger.md")
+    assert "## Contents" in read(run, "modules", "ticket.md") and "# clock" in read(run, "shared", "clock.md")
     rows = read(run, "index.md").split("\n")[4:]
-    assert rows[0].startswith("| pkg-errors | shared |") and rows[-2].startswith("| cmd |")
-    assert "'/shared/pkg-logger.md'" in read(run, ".vitepress", "config.mts")
+    assert rows[0].startswith("| clock | shared |") and rows[2].startswith("| timetable |")
+    assert "'/shared/units.md'" in read(run, ".vitepress", "config.mts")
 
     # The same tree gives the same bytes; the stored plan and context are used again.
     run.analyse()
     assert before == {n: (tmp_path / "art" / n).read_bytes() for n in before}
 
-    (shop / "internal/db/client.go").write_text("package db\n\nfunc Open() {}\n")
-    run.client = Offline([("internal-auth", CompletionError("not affected", 401)), ('module "pkg-', CompletionError("not affected", 401))])
-    run.update(changed_files="internal/db/client.go")
+    (ferry / "ticket/seat.go").write_text("package ticket\n\nfunc Take() {}\n")
+    calm = [(f'module "{m}"', CompletionError("not affected", 401)) for m in ("timetable", "clock", "units")]
+    run.client = Offline(calm)
+    run.update(changed_files="ticket/seat.go")
     graph = json.loads((tmp_path / "art" / "dep_graph.json").read_text())
-    assert graph["internal/db/client.go"] == [] and len(graph) == 7
+    assert graph["ticket/seat.go"] == [] and len(graph) == 8
 
-    run.client = Offline([("internal-api", CompletionError("down", 500, True))])
-    with pytest.raises(fanout.FanOutError, match="internal-api"):
-        run.update(changed_files="internal/auth/jwt.go")
+    run.client = Offline([('module "ticket"', CompletionError("down", 500, True))])
+    with pytest.raises(fanout.FanOutError, match="ticket"):
+        run.update(changed_files="timetable/season.go")
 
-    (tmp_path / "art" / "module_docs" / "cmd.md").unlink()
-    with pytest.raises(pl.MissingDocument, match="cmd"):
+    (tmp_path / "art" / "module_docs" / "ticket.md").unlink()
+    with pytest.raises(pl.MissingDocument, match="ticket"):
         run.update(changed_files="README.md")
 
 
 def test_update_without_an_index_builds_all(run):
-    assert run.update(changed_files="x.go")["total_files"] == 7
+    assert run.update(changed_files="x.go")["total_files"] == 6
 
 
 def test_validate_reports_and_succeeds(run, tmp_path):
@@ -147,8 +146,8 @@ def test_validate_reports_and_succeeds(run, tmp_path):
     assert json.loads((tmp_path / "art" / "validation_report.json").read_text())["broken_links"] is None
 
 
-def test_command_line(shop, tmp_path, spark, monkeypatch, capsys):
-    (tmp_path / "c.yaml").write_text(f"repo_path: {shop}\noutput_dir: {tmp_path}/docs\nartifacts_dir: {tmp_path}/art\n")
+def test_command_line(ferry, tmp_path, spark, monkeypatch, capsys):
+    (tmp_path / "c.yaml").write_text(f"repo_path: {ferry}\noutput_dir: {tmp_path}/docs\nartifacts_dir: {tmp_path}/art\n")
     monkeypatch.setattr(cli.runtime, "session", lambda: spark)
     assert cli.main(["--config", str(tmp_path / "c.yaml"), "--offline", "plan"]) == 0
     assert cli.main(["--config", str(tmp_path / "c.yaml"), "--offline", "validate"]) == 0
