@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from codeweave import runtime
 from codeweave.functions import text
 from codeweave.operators.schema import CHANGES
 
-#: Candidates of one content on either side up to which renames are paired by path similarity.
-CLOSE_PAIRS = 64
+#: Fixed value: percent of the larger file's bytes that two files must share to be one that moved and was edited.
+CLOSE = 60
 
 
 def parse_changed(df: DataFrame, csv: str = "csv") -> DataFrame:
@@ -32,63 +32,102 @@ def snapshot_diff(base: DataFrame, head: DataFrame) -> DataFrame:
     return both.select("path", F.lit("").alias("old_path"), kind.alias("type"), "content_hash", "base_hash")
 
 
-def similarity(a: str, b: str) -> float:
+def similarity(a: Column, b: Column) -> Column:
     """(common prefix + common suffix) / longer length, the two not overlapping."""
-    most = min(len(a), len(b))
-    front = 0
-    while front < most and a[front] == b[front]:
-        front += 1
-    back = 0
-    while back < most - front and a[-1 - back] == b[-1 - back]:
-        back += 1
-    return (front + back) / max(len(a), len(b), 1)
-
-
-def renames(diff: DataFrame, by_similarity: bool = True) -> DataFrame:
-    """``diff`` as changes (path, old_path, type), with deleted and added files of one content paired as renamed.
-
-    Pairs are one to one.  With up to ``CLOSE_PAIRS`` candidates on each side of a content the most
-    similar paths pair first (ties by path); larger groups, or all with ``by_similarity`` off, pair in
-    path order, which needs no group to be gathered.
+
+    def front(x: Column, y: Column, most: Column) -> Column:
+        same = F.zip_with(F.split(x, ""), F.split(y, ""), lambda p, q: F.coalesce(p == q, F.lit(False)))
+        first = F.array_position(same, False)
+        return F.least(F.when(first == 0, F.size(same)).otherwise(first - 1), most)
+
+    least, most = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b), F.lit(1))
+    ahead = front(a, b, least)
+    return (ahead + front(F.reverse(a), F.reverse(b), least - ahead)) / most
+
+
+def _same_content(gone: DataFrame, come: DataFrame) -> DataFrame:
+    """Pairs (path, old_path) of equal content: those of one file name in path order, then the most similar paths."""
+    name = text.basename(F.col("path"))
+    nth = F.row_number().over(Window.partitionBy("h", name).orderBy("path")).alias("nth")
+    old = gone.select("h", name.alias("name"), nth, F.col("path").alias("old_path"))
+    named = runtime.stage(old.join(come.select("h", name.alias("name"), nth, "path"), ["h", "name", "nth"]).select("path", "old_path"), "renames")
+    a = gone.select("h", F.col("path").alias("old_path")).join(named, "old_path", "left_anti")
+    b = come.join(named, "path", "left_anti")
+    met = a.join(b, "h").select("old_path", "path", similarity(F.col("old_path"), F.col("path")).alias("score"))
+    return named.unionByName(_best_first(met))
+
+
+def _similar_content(gone: DataFrame, come: DataFrame, close: int) -> DataFrame:
+    """Pairs (old_path, path, score) of files (path, content) that share at least ``close`` percent of the larger one.
+
+    A file's lines are taken from the rarest on.  Two files that share so much have a line in common before
+    either has passed the rest of its bytes, so only files that meet in such lines are compared.
+    """
+    line = lambda df, old: df.select("path", F.lit(old).alias("old"), F.explode(F.split("content", "\n")).alias("line"))
+    lines = line(gone, True).unionByName(line(come, False)).groupBy("old", "path", F.xxhash64("line").alias("h")).agg(
+        F.count(F.lit(1)).alias("n"), (F.octet_length(F.first("line")) + 1).cast("long").alias("b")
+    )
+    lines = runtime.stage(lines, "lines")
+    size = lines.groupBy("old", "path").agg(F.sum(F.col("n") * F.col("b")).alias("size"))
+    often = lines.groupBy("h").agg(F.count(F.lit(1)).alias("often"))
+    before = F.sum(F.col("n") * F.col("b")).over(Window.partitionBy("old", "path").orderBy("often", "h")) - F.col("n") * F.col("b")
+    first = lines.join(often, "h").join(size, ["old", "path"]).withColumn("before", before)
+    first = first.where(F.col("before") * 100 <= F.col("size") * (100 - close)).select("old", "path", "h", "size")
+    a = first.where("old").select(F.col("path").alias("old_path"), "h", F.col("size").alias("a"))
+    b = first.where("not old").select("path", "h", F.col("size").alias("b"))
+    met = a.join(b, "h").where(F.least("a", "b") * 100 >= F.greatest("a", "b") * close).select("old_path", "path", F.greatest("a", "b").alias("most")).distinct()
+    x = lines.where("old").select(F.col("path").alias("old_path"), "h", F.col("n").alias("m"))
+    y = lines.where("not old").select("path", "h", "n", "b")
+    shared = met.join(x, "old_path").join(y, ["path", "h"]).groupBy("old_path", "path", "most").agg(F.sum(F.least("m", "n") * F.col("b")).alias("shared"))
+    return shared.where(F.col("shared") * 100 >= F.col("most") * close).select("old_path", "path", (F.col("shared") / F.col("most")).alias("score"))
+
+
+def _best_first(pairs: DataFrame) -> DataFrame:
+    """One-to-one pairs (path, old_path), the highest score first, ties by old and new path.
+
+    A pair that is the best of both its files comes before all others of these, so in each round all such
+    pairs are taken; a chain of ever better pairs takes a round for each.
+    """
+    order = F.struct((-F.col("score")).alias("s"), "old_path", "path")
+    left = runtime.stage(pairs.select("old_path", "path", "score"), "candidates")
+    taken: list[DataFrame] = []
+    while not left.isEmpty():
+        a = left.groupBy("old_path").agg(F.min(order).alias("x")).select("x.old_path", "x.path")
+        b = left.groupBy("path").agg(F.min(order).alias("x")).select("x.old_path", "x.path")
+        taken.append(runtime.stage(a.join(b, ["old_path", "path"]), "best"))
+        left = left.join(taken[-1].select("old_path"), "old_path", "left_anti").join(taken[-1].select("path"), "path", "left_anti")
+        left = runtime.stage(left, "candidates")
+    out = left.select("path", "old_path")
+    for more in taken:
+        out = out.unionByName(more.select("path", "old_path"))
+    return out
+
+
+def renames(diff: DataFrame, old: DataFrame | None = None, new: DataFrame | None = None, close: int = CLOSE) -> DataFrame:
+    """``diff`` as changes (path, old_path, type), with deleted and added files paired as renamed, one to one.
+
+    Files of equal content pair first: those of one file name in path order, which is linear in the files, then
+    the rest by the similarity of their paths, for which all of one content that are left are compared.  With the files (path, content) of both sides, deleted and added files that are left pair
+    where they share at least ``close`` percent of the larger one's bytes in whole lines, the most similar first.
     """
     gone = diff.where("type = 'deleted'").select("path", F.col("base_hash").alias("h"))
     come = diff.where("type = 'added'").select("path", F.col("content_hash").alias("h"))
-    rank = F.row_number().over(Window.partitionBy("h").orderBy("path"))
-    sizes = gone.groupBy("h").agg(F.count(F.lit(1)).alias("n")).join(come.groupBy("h").agg(F.count(F.lit(1)).alias("m")), "h")
-    close = (F.greatest("n", "m") <= CLOSE_PAIRS) if by_similarity else F.lit(False)
-    sizes = sizes.select("h", close.alias("close"))
-    a, b = gone.join(sizes, "h"), come.join(sizes, "h")
-    plain = (
-        a.where("not close").select("h", rank.alias("nth"), F.col("path").alias("old_path"))
-        .join(b.where("not close").select("h", rank.alias("nth"), "path"), ["h", "nth"])
-        .select("path", "old_path")
-    )
-    pairs = plain
-    if by_similarity:
-        sides = a.where("close").select("h", "path", F.lit(True).alias("old")).unionByName(b.where("close").select("h", "path", F.lit(False).alias("old")))
-
-        def pair(frame: pd.DataFrame) -> pd.DataFrame:
-            old, new = sorted(frame.loc[frame["old"], "path"]), sorted(frame.loc[~frame["old"], "path"])
-            ranked = sorted((-similarity(x, y), x, y) for x in old for y in new)
-            out, left = [], set(new)
-            free = set(old)
-            for _, x, y in ranked:
-                if x in free and y in left:
-                    free.remove(x)
-                    left.remove(y)
-                    out.append((y, x))
-            return pd.DataFrame(out, columns=["path", "old_path"])
-
-        pairs = plain.unionByName(sides.groupBy("h").applyInPandas(pair, "path string, old_path string"))
+    pairs = _same_content(gone, come)
+    if old is not None and new is not None:
+        a = gone.join(pairs.select(F.col("old_path").alias("path")), "path", "left_anti").join(old.select("path", "content"), "path")
+        b = come.join(pairs.select("path"), "path", "left_anti").join(new.select("path", "content"), "path")
+        pairs = pairs.unionByName(_best_first(_similar_content(a, b, close)))
     rest = diff.select("path", "old_path", "type")
-    new, old = pairs.select("path", F.lit("added").alias("type")), pairs.select(F.col("old_path").alias("path"), F.lit("deleted").alias("type"))
-    rest = rest.join(new.unionByName(old), ["path", "type"], "left_anti").select("path", "old_path", "type")
+    fresh, lost = pairs.select("path", F.lit("added").alias("type")), pairs.select(F.col("old_path").alias("path"), F.lit("deleted").alias("type"))
+    rest = rest.join(fresh.unionByName(lost), ["path", "type"], "left_anti").select("path", "old_path", "type")
     return rest.unionByName(pairs.withColumn("type", F.lit("renamed")))
 
 
 def changed_files(base: DataFrame, head: DataFrame) -> DataFrame:
-    """Typed changes between two snapshots (path, content_hash), in the order of a report."""
-    return renames(snapshot_diff(base, head)).orderBy("path", "old_path", "type")
+    """Typed changes between two snapshots (path, content_hash), in the order of a report; where both also
+    have the ``content`` of their files, edited files are followed when they move."""
+    whole = [base, head] if "content" in base.columns and "content" in head.columns else []
+    return renames(snapshot_diff(base, head), *whole).orderBy("path", "old_path", "type")
 
 
 def upsert(index: DataFrame, fresh: DataFrame, changes: DataFrame, key: str = "path") -> DataFrame:

@@ -106,30 +106,52 @@ def snapshot(files: DataFrame) -> DataFrame:
     return files.select("path", F.sha2("content", 256).alias("content_hash"))
 
 
-def _git(root: str, *args: str) -> bytes | None:
-    got = subprocess.run(["git", "-C", root, *args], capture_output=True)
+def _git(root: str, *args: str, told: bytes | None = None) -> bytes | None:
+    got = subprocess.run(["git", "-C", root, *args], capture_output=True, input=told)
     return got.stdout if got.returncode == 0 else None
 
 
+def _listing(root: str, name: str, base: bool) -> dict[str, str]:
+    """path -> git's content hash of a committed revision."""
+    commit = _git(root, "rev-parse", "--verify", "--quiet", f"{name}^{{commit}}")
+    if commit is None:
+        if base:
+            return {}
+        raise MissingRevision(name)
+    entries = (_git(root, "ls-tree", "-r", "-z", commit.decode().strip()) or b"").split(b"\0")
+    split = [e.partition(b"\t") for e in entries if e]
+    return {path.decode("utf-8", "replace"): meta.split()[2].decode() for meta, _, path in split}
+
+
+def _blobs(root: str, hashes: set[str]) -> dict[str, str]:
+    """Contents by hash, read by one process."""
+    order, out, at = sorted(hashes), {}, 0
+    told = _git(root, "cat-file", "--batch", told="".join(h + "\n" for h in order).encode()) or b""
+    for h in order:
+        end = told.index(b"\n", at)
+        head = told[at:end].split()
+        size = int(head[2]) if len(head) == 3 else 0  # else it is missing, as a submodule's is
+        if len(head) == 3 and head[1] == b"blob":
+            out[h] = told[end + 1 : end + 1 + size].decode("utf-8", "replace")
+        at = end + 1 + (size + 1 if len(head) == 3 else 0)
+    return out
+
+
 def revision(spark: SparkSession, root: str, name: str, base: bool = False) -> DataFrame:
     """(path, content_hash) of a committed revision, with git's own content hashes.
 
     A base revision that does not exist is an empty tree; a missing head is an error.
     """
-    schema = "path string, content_hash string"
-    commit = _git(root, "rev-parse", "--verify", "--quiet", f"{name}^{{commit}}")
-    if commit is None:
-        if base:
-            return spark.createDataFrame([], schema)
-        raise MissingRevision(name)
-    rows = []
-    for line in (_git(root, "ls-tree", "-r", "-z", commit.decode().strip()) or b"").split(b"\0"):
-        if line:
-            meta, _, path = line.partition(b"\t")
-            rows.append((path.decode("utf-8", "replace"), meta.split()[2].decode()))
-    return spark.createDataFrame(rows, schema)
+    return spark.createDataFrame(list(_listing(root, name, base).items()), "path string, content_hash string")
 
 
 def revisions(spark: SparkSession, root: str, base: str = "", head: str = "") -> tuple[DataFrame, DataFrame]:
-    """The two snapshots of a diff; blank names are ``HEAD~1`` and ``HEAD``."""
-    return revision(spark, root, base or "HEAD~1", base=True), revision(spark, root, head or "HEAD")
+    """The two snapshots of a diff, (path, content_hash, content); blank names are ``HEAD~1`` and ``HEAD``.
+
+    Contents are those of files that only one side has, which may be moved ones; others are null.
+    """
+    old, new = _listing(root, base or "HEAD~1", True), _listing(root, head or "HEAD", False)
+    alone = [{p: h for p, h in a.items() if p not in b} for a, b in ((old, new), (new, old))]
+    text = _blobs(root, set(alone[0].values()) ^ set(alone[1].values())) if all(alone) else {}
+    schema = "path string, content_hash string, content string"
+    return tuple(spark.createDataFrame([(p, h, text.get(h) if p in own else None) for p, h in side.items()], schema) for side, own in zip((old, new), alone))

@@ -11,16 +11,16 @@ from codeweave.plans import cli
 from codeweave.sources import artifacts, client, config, tree
 
 
-def test_tree_reads_hidden_files_and_applies_globs(spark, shop):
-    (shop / ".hidden").mkdir()
-    (shop / ".hidden" / "_x.go").write_bytes(b"\xff\x00")
-    (shop / "vendor").mkdir()
-    (shop / "vendor" / "v.go").write_text("package v")
-    (shop / "a_test.go").write_text("package a")
-    got = {r["path"]: bytes(r["content"]) for r in tree.read_tree(spark, str(shop), ["*_test.go", "vendor/**", "[bad"]).collect()}
-    assert got[".hidden/_x.go"] == b"\xff\x00" and "vendor/v.go" not in got and "a_test.go" not in got and len(got) == 10
-    bare = tree.read_tree(spark, str(shop), contents=False)
-    assert bare.where("content is null").count() == 12
+def test_tree_reads_hidden_files_and_applies_globs(spark, ferry):
+    (ferry / ".hidden").mkdir()
+    (ferry / ".hidden" / "_x.go").write_bytes(b"\xff\x00")
+    (ferry / "vendor").mkdir()
+    (ferry / "vendor" / "v.go").write_text("package v")
+    (ferry / "a_test.go").write_text("package a")
+    got = {r["path"]: bytes(r["content"]) for r in tree.read_tree(spark, str(ferry), ["*_test.go", "vendor/**", "[bad"]).collect()}
+    assert got[".hidden/_x.go"] == b"\xff\x00" and "vendor/v.go" not in got and "a_test.go" not in got and len(got) == 11
+    bare = tree.read_tree(spark, str(ferry), contents=False)
+    assert bare.where("content is null").count() == 13
 
 
 def test_an_empty_tree_has_no_rows(spark, tmp_path):
@@ -60,6 +60,15 @@ def test_revisions(spark, tmp_path):
     assert [tuple(r) for r in second.collect()] == [("added.go", "", "added"), ("keep.go", "", "deleted"), ("new.go", "old.go", "renamed")]
     with pytest.raises(tree.MissingRevision):
         tree.revisions(spark, str(tmp_path), head="nothing")
+    body = "".join(f"line {i}\n" for i in range(20))
+    (tmp_path / "new.go").write_text(body)
+    commit(tmp_path, "three")
+    (tmp_path / "new.go").unlink()
+    (tmp_path / "far").mkdir()
+    (tmp_path / "far" / "moved.go").write_text(body.replace("line 7\n", "another\n"))
+    commit(tmp_path, "four")
+    third = changes.changed_files(*tree.revisions(spark, str(tmp_path)))
+    assert [tuple(r) for r in third.collect()] == [("far/moved.go", "new.go", "renamed")]
 
 
 def test_artifacts_round_trip(spark, tmp_path):
