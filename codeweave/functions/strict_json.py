@@ -1,15 +1,20 @@
 """JSON out of a model's reply: fences stripped, unknown keys ignored, everything else strict.
 
 ``from_json`` forgives what must be an error here (wrong types, trailing text), so this runs in
-Python; it is applied to one reply at a time and never to bulk data.
+Python; ``replies`` parses a whole table of replies in Arrow batches.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from typing import Any
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
+
 _FENCE = re.compile(r"```(?:json)?(.*)```", re.DOTALL)
 
 
@@ -54,3 +59,22 @@ def parse_reply(text: str, shape: Any) -> Any:
     except json.JSONDecodeError as e:
         raise ReplyError(str(e)) from e
     return _fit(value, shape, "$")
+
+
+def replies(df: DataFrame, key: str, reply: str, shape: Any, kind: str) -> DataFrame:
+    """(key, value, problem) of every row: the reply as the Spark struct ``kind``, or what is wrong with it."""
+    rows = df.select(df[key].alias("key"), df[reply].alias("reply"))
+    out = f"key {rows.schema['key'].dataType.simpleString()}, value {kind}, problem string"
+    value = to_arrow_type(df.sparkSession.createDataFrame([], out).schema["value"].dataType)
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple[Any, str | None]] = []
+            for text in batch.column("reply").to_pylist():
+                try:
+                    found.append((parse_reply(text or "", shape), None))
+                except ReplyError as e:
+                    found.append((None, str(e)))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([v for v, _ in found], value), pa.array([p for _, p in found], pa.string())], names=["key", "value", "problem"])
+
+    return rows.mapInArrow(parse, out).withColumnRenamed("key", key)

@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeweave import runtime
-from codeweave.functions import globs, pages, text
-from codeweave.operators import changes, fanout, graph, integrity, links, schema, skeleton, symbols
+from codeweave.functions import globs, pages, prompts, text
+from codeweave.functions.strict_json import replies
+from codeweave.operators import changes, fanout, graph, integrity, links, resolve, schema, skeleton, symbols
 from codeweave.sources import registry
 from codeweave.sources.client import CompletionError, Offline
 
@@ -128,14 +129,28 @@ def parse_changed_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def props_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    got = replies(_table(spark, sf_dir, "events"), "event_id", "props", {"k": int}, "struct<k:bigint>")
+    return got.select("event_id", "value.k")
+
+
+@query
+def strict_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event properties as replies: fenced, with words before a fence, with trailing text, with another type."""
+    how = F.col("event_id") % 4
+    reply = (
+        F.when(how == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(how == 1, F.concat("props", F.lit(" and more")))
+        .when(how == 2, F.concat(F.lit("Here: ```"), F.regexp_replace("props", '"k"', '"K"'), F.lit("```"))).otherwise(F.regexp_replace("props", "([0-9]+)", '"$1"'))
+    )
+    got = replies(_table(spark, sf_dir, "events").select("event_id", reply.alias("reply")), "event_id", "reply", {"k": int}, "struct<k:bigint>")
+    return got.select("event_id", "value.k", F.col("problem").isNotNull().alias("refused"))
 
 
 # -- symbols ----------------------------------------------------------------------------------
 
 
-def _first_word(c: str = "text") -> Column:
-    return F.regexp_extract(c, "^([A-Za-z]+)", 1)
+def _names(c: str = "text") -> Column:
+    """Capitalised ASCII words, in order."""
+    return F.regexp_extract_all(c, F.lit("([A-Z][a-z]+)"), F.lit(1))
 
 
 @query
@@ -149,8 +164,9 @@ def symbol_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _word_symbols(docs: DataFrame) -> DataFrame:
-    declared = docs.select(_first_word().alias("name"), F.col("source").alias("path"), F.lit(0).alias("kind_ord"), F.col("doc_id").alias("line_start"))
-    return symbols.symbol_map(declared.withColumn("exported", F.col("name") != ""))
+    """Names that English documents hold; others stay without a reference."""
+    declared = docs.where("lang = 'en'").select(F.explode(F.array_distinct(_names())).alias("name"), F.col("source").alias("path"), F.lit(0).alias("kind_ord"), F.col("doc_id").alias("line_start"))
+    return symbols.symbol_map(declared.withColumn("exported", F.lit(True)))
 
 
 @query
@@ -164,9 +180,9 @@ def citation_inject(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def ground_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, talk = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "conversations")
-    declared = docs.select(F.col("source").alias("path"), F.col("doc_id").alias("ord"), _first_word().alias("name"), F.col("lang").alias("signature"), F.col("n_chars").alias("line_start"))
-    claims = talk.select(
-        F.lit("all").alias("module_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), _first_word().alias("name"),
+    declared = docs.select(F.col("source").alias("path"), F.col("doc_id").alias("ord"), F.explode(F.array_distinct(_names())).alias("name"), F.col("lang").alias("signature"), F.col("n_chars").alias("line_start"))
+    claims = talk.select("conv_id", "turn", "role", F.posexplode(_names()).alias("pos", "name")).select(
+        F.lit("all").alias("module_id"), ((F.col("conv_id") * 1000 + F.col("turn")) * 10000 + F.col("pos")).alias("ord"), "name",
         F.when(F.col("role") == "user", F.lit("")).otherwise(F.lit("en")).alias("signature"), F.lit("claimed").alias("ref"),
     )
     files = docs.select(F.lit("all").alias("module_id"), F.col("source").alias("path"))
@@ -175,13 +191,6 @@ def ground_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def go_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a Go file that has its first line as a comment."""
-    first = F.regexp_replace(text.lines(F.col("text"))[0], "\r", "")
-    return _go_index(spark, sf_dir, F.concat(F.lit("// "), first))
-
-
-@query
-def go_symbols_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a Go file that has all of its lines as comments."""
     return _go_index(spark, sf_dir, F.array_join(F.transform(F.split(F.regexp_replace("text", "\r", ""), "\n"), lambda x: F.concat(F.lit("// "), x)), "\n"))
 
@@ -201,9 +210,58 @@ def _go_index(spark: SparkSession, sf_dir: str, comment: Column) -> DataFrame:
     )
 
 
+def _prose_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a file index: a line is a function, the language a type."""
+    shown = lambda x: text.is_exported(x)
+    lines = F.transform(text.lines(F.col("text")), lambda x, i: F.struct(
+        x.alias("name"), F.concat(F.lit("func "), x).alias("signature"), (i + 1).alias("line_start"), (i + 1).alias("line_end"), shown(x).alias("exported")
+    ))
+    kind = F.struct(F.col("lang").alias("name"), F.lit("struct").alias("kind"), F.col("n_chars").cast("int").alias("line_start"), F.col("n_chars").cast("int").alias("line_end"), (F.col("doc_id") % 2 == 0).alias("exported"))
+    return _table(spark, sf_dir, "documents").select(_id("d", "doc_id").alias("path"), lines.alias("functions"), F.array(kind).alias("types"))
+
+
+@query
+def skeleton_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = skeleton.lines_of(_prose_index(spark, sf_dir))
+    return lines.select("path", "part", "ord", F.md5(F.col("line").cast("binary")).alias("line_md5"), "always")
+
+
+@query
+def declared_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = symbols.declarations(_prose_index(spark, sf_dir))
+    return found.select(F.md5(F.col("name").cast("binary")).alias("name_md5"), "path", "kind_ord", "line_start", "exported")
+
+
 # -- graphs -----------------------------------------------------------------------------------
 
 
+def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as files that import suppliers: a file, a package, a path that only begins like the module, a lost one."""
+    s = _table(spark, sf_dir, "supplier")
+    folder, file = _id("nation", "s_nationkey"), _id("s", "s_suppkey")
+    listing = s.select(F.concat(folder, F.lit("/"), file, F.when(F.col("s_suppkey") % 5 == 0, F.lit(".md")).otherwise(F.lit(".go"))).alias("path"))
+    how = F.col("s_suppkey") % 4
+    path = (
+        F.when(how == 0, F.concat(F.lit("shop/"), folder, F.lit("/"), file)).when(how == 1, F.concat(F.lit("shop/"), folder))
+        .when(how == 2, F.concat(F.lit("shopping/"), folder)).otherwise(F.concat(F.lit("shop/lost"), F.col("s_nationkey")))
+    )
+    used = _table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct().join(s.select(F.col("s_suppkey").alias("l_suppkey"), path.alias("import")), "l_suppkey")
+    one = lambda x: F.struct(x.alias("path"), F.lit(False).alias("internal"), F.lit("").alias("resolved_path"))
+    index = used.groupBy(_id("p", "l_partkey").alias("path")).agg(F.transform(F.sort_array(F.collect_set("import")), one).alias("imports"))
+    return resolve.resolve_imports(index, listing, "shop")
+
+
+@query
+def import_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = _resolved(spark, sf_dir).select("path", F.posexplode("imports").alias("pos", "i"))
+    return got.select("path", "pos", F.col("i.path").alias("import"), F.col("i.internal").alias("internal"), F.col("i.resolved_path").alias("resolved_path"))
+
+
+@query
+def import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.edges_of(_resolved(spark, sf_dir)).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _table(spark, sf_dir, "lineitem")
     return items.select(_id("p", "l_partkey").alias("src"), _id("s", "l_suppkey").alias("dst")).distinct()
@@ -302,7 +360,8 @@ def _faulty_plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     plan = _module(docs.where("lang <> 'de'"), F.col("source"), number, _id("d", "doc_id"), F.lit(False), owner)
     plan = plan.unionByName(_module(labels, F.lit("labelled"), F.lit(1000), _id("d", "doc_id"), F.lit(True)))
     plan = plan.unionByName(_module(items, F.lit(""), F.lit(1001), _id("b", "item_id"), F.lit(False)))
-    plan = plan.unionByName(_module(items.limit(1), F.lit("labelled"), F.lit(1002), F.lit("b0"), F.lit(False)))
+    again = items.agg(F.count(F.lit(1)).alias("n")).where("n > 0")
+    plan = plan.unionByName(_module(again, F.lit("labelled"), F.lit(1002), F.lit("b0"), F.lit(False)))
     return plan, docs.select(_id("d", "doc_id").alias("path"))
 
 
@@ -348,22 +407,28 @@ def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def rename_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of sources 1 to 9 move to another folder; copies make contents ambiguous."""
-    return changes.renames(_moves(spark, sf_dir), by_similarity=False)
+    """Documents of sources 1 to 9 move to another folder or get another name; copies make contents ambiguous."""
+    base, head = _moves(spark, sf_dir, F.col("text"))
+    return changes.renames(changes.snapshot_diff(base, head))
 
 
 @query
 def rename_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same moves, the most similar paths paired first."""
-    return changes.renames(_moves(spark, sf_dir))
+    """The same moves, and two in three of the documents are edited on the way."""
+    edited = F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.concat("text", F.lit("\nmoved by "), F.col("doc_id").cast("string")))
+    base, head = _moves(spark, sf_dir, edited)
+    return changes.renames(changes.snapshot_diff(base, head), base, head)
 
 
-def _moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("source", F.col("doc_id").cast("string").alias("i"), F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"))
-    moved = F.rlike("source", F.lit("^src[1-9]$"))
-    base = docs.select(F.concat(F.lit("old/"), "i").alias("path"), "content_hash")
-    head = docs.select(F.concat(F.when(moved, F.lit("new/")).otherwise(F.lit("old/")), "i").alias("path"), "content_hash")
-    return changes.snapshot_diff(base, head)
+def _moves(spark: SparkSession, sf_dir: str, after: Column) -> tuple[DataFrame, DataFrame]:
+    """(path, content_hash, content) before and after; documents that stay keep path and text."""
+    docs = _table(spark, sf_dir, "documents")
+    i, near, far = F.col("doc_id").cast("string"), F.rlike("source", F.lit("^src[1-4]$")), F.rlike("source", F.lit("^src[5-9]$"))
+    path = F.when(near, F.concat(F.lit("old/r"), i)).when(far, F.concat(F.lit("new/"), F.when(F.col("doc_id") % 2 == 0, F.lit("")).otherwise(F.lit("x")), i)).otherwise(F.concat(F.lit("old/"), i))
+    hashed = lambda c: F.sha2(c.cast("binary"), 256)
+    base = docs.select(F.concat(F.lit("old/"), i).alias("path"), hashed(F.col("text")).alias("content_hash"), F.col("text").alias("content"))
+    text_after = F.when(near | far, after).otherwise(F.col("text"))
+    return base, docs.select(path.alias("path"), hashed(text_after).alias("content_hash"), text_after.alias("content"))
 
 
 @query
@@ -402,6 +467,33 @@ def used_by_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("r_name").alias("id"), pages.index_row(F.col("r_name"), shared, F.col("referenced_by")).alias("line"))
 
 
+@query
+def shared_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as summaries of shared modules; sections are empty for some."""
+    i = F.col("doc_id")
+    some = lambda c, x: F.when(c, F.array(*x)).otherwise(F.slice(F.array(*x), F.lit(1), F.lit(0)))
+    f = F.struct(
+        F.col("lang").alias("name"), F.when(i % 2 == 0, F.concat(F.lit("func "), "lang", F.lit("()"))).otherwise(F.lit("")).alias("signature"),
+        F.when(i % 5 == 0, F.lit("")).otherwise(text.ref(F.col("source"), F.col("n_chars"))).alias("ref"),
+    )
+    page = pages.shared_page(_id("d", "doc_id"), F.col("text"), some(i % 3 != 0, [F.col("lang"), F.col("source")]), some(i % 12 != 0, [f]), some(i % 4 != 0, [F.col("source")]))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(page.cast("binary")).alias("page_md5"))
+
+
+@query
+def shared_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources depend on all of their documents; those with a label have a summary."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    names = F.transform(F.sort_array(F.collect_list("doc_id")), lambda x: F.concat(F.lit("d"), x.cast("string")))
+    modules = docs.groupBy(F.col("source").alias("id")).agg(names.alias("depends_on_shared"))
+    f = F.array(F.struct(F.col("lang").alias("name")), F.struct(F.col("source").alias("name")))
+    context = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic")).join(docs, "doc_id").select(
+        _id("d", "doc_id").alias("module_id"), F.when(F.col("quality") == 1, F.col("text")).otherwise(F.lit("")).alias("summary"),
+        F.when(F.col("toxic") == 0, f).otherwise(F.slice(f, F.lit(1), F.lit(0))).alias("key_functions"),
+    )
+    return prompts.shared_block(modules, context).select("id", F.md5(F.col("block").cast("binary")).alias("block_md5"))
+
+
 _OFFLINE = Offline([("nicht", CompletionError("unavailable", 503, True)), ("éau", CompletionError("refused", 401))])
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from codeweave import runtime
 from codeweave.functions import prompts
-from codeweave.functions.strict_json import ReplyError, parse_reply
+from codeweave.functions.strict_json import ReplyError, replies
 from codeweave.operators import changes, fanout, graph, schema, skeleton, symbols
 from codeweave.sources.client import Client
 
@@ -26,14 +26,12 @@ def module_skeletons(modules: DataFrame, index: DataFrame, budget: int) -> DataF
 
 
 def _parsed(results: DataFrame) -> DataFrame:
-    rows = []
-    for r in results.toLocalIterator():
-        try:
-            s = parse_reply(r["content"], _SHAPE)
-        except ReplyError as e:
-            raise ReplyError(f"module {r['module_id']}: {e}") from e
-        rows.append((r["module_id"], s["summary"], s["key_types"], s["key_functions"], s["source_refs"]))
-    return results.sparkSession.createDataFrame(rows, schema.SHARED_CONTEXT)
+    kind = f"struct<summary:string,key_types:array<string>,key_functions:array<{schema.KEY_FUNCTION}>,source_refs:array<string>>"
+    got = runtime.stage(replies(results, "module_id", "content", _SHAPE, kind), "replies")
+    bad = got.where("problem is not null").orderBy("module_id").first()
+    if bad:
+        raise ReplyError(f"module {bad['module_id']}: {bad['problem']}")
+    return got.select("module_id", "value.*")
 
 
 def summarise(
