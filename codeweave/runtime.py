@@ -92,16 +92,21 @@ def discard(*tables: DataFrame, below: str = "") -> None:
 
 
 def staged() -> frozenset[str]:
-    """The paths staged so far, for ``settle``."""
+    """The paths staged so far, for ``clear`` and ``settle``."""
     return frozenset(_LIVE)
 
 
+def clear(spark: SparkSession, since: frozenset[str]) -> None:
+    """Delete all that was staged after ``since``."""
+    for path in [path for path in _LIVE if path not in since]:
+        drop(spark, path)
+
+
 def settle(df: DataFrame, name: str, since: frozenset[str]) -> DataFrame:
     """Stage a result and delete all else that was staged after ``since``."""
-    made = [path for path in _LIVE if path not in since]
-    out = stage(df, name)
-    for path in made:
-        drop(df.sparkSession, path)
+    path = scratch(df.sparkSession, name)
+    out = stage(df, name, path)
+    clear(df.sparkSession, since | {path})
     return out
 
 
