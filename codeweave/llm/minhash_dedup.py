@@ -1,13 +1,13 @@
 """Near-duplicate documents by a Chosen-Path set similarity join.
 
 Documents with equal shingle sets are one representative.  Each representative has a signature of
-minwise hashes.  In each of several independent trees a representative walks down from the root: a
-node chooses (by a hash of the path so far) one or two signature positions, and the values there
-name the children to enter.  Similar documents choose the same children with a probability equal to
+minwise hashes, ``POOL`` of its own for every tree.  In each of several independent trees a representative walks
+down from the root: a node chooses (by a hash of the path so far) one or two positions of the tree's values, and the
+values there name the children to enter.  Similar documents choose the same children with a probability equal to
 their similarity at each step, so they meet in some leaf of some tree, while others part.  In nodes
 that are still large, members are compared with one of them, the leader; those that resemble it
-join its candidates, and those that are not close to it branch further.  Small nodes are compared exhaustively on signatures, which
-leaves a spanning forest of likely links; what it connects is a candidate cluster, and links are
+join its candidates, and those that are not close to it branch further.  Small nodes are compared exhaustively on
+signatures, which leaves a spanning forest of likely links; what it connects is a candidate cluster, and links are
 confirmed within clusters on the full shingle sets.
 
 Confirmation never holds an unbounded group: a large cluster is cut into blocks by shingle count.
@@ -15,8 +15,10 @@ Blocks are resolved by themselves, then some members of every block's components
 those of other blocks, and every member outside the cluster's largest component so far is finally
 compared with all members of the other blocks.
 
-Two texts at the threshold of 0.85 fail to meet in a tree with probability 0.18 and in all
-``TREES`` with about 3e-5; closer ones far more rarely.
+Two texts at the threshold of 0.85 fail to meet in a tree with a probability of 0.22 and in all six
+``TREES`` with 1e-4; at 0.80 with 0.35, and in nine trees with 8e-5 (the recursion over the branches, averaged over
+the values of a tree; a test measures both).  Pairs whose estimated similarity is ``SIGMAS`` standard deviations below the
+threshold are not compared, which loses a link with a probability below 1e-6.
 
 Defined cases: a text of fewer words than a shingle has its whole word sequence as its only
 shingle; null, empty and blank texts have none and link with nothing; repeated rows are documents
@@ -38,54 +40,67 @@ from codeweave import runtime
 from codeweave.llm import shingles, tokens
 from codeweave.llm.components import components
 
-WIDTH = 64
+#: Minwise values of each tree.
+POOL = 24
 TREES = 6
 BRANCHES = (2, 1, 2, 1, 2, 1, 1, 1)
 DEEPER = (2, 1, 2, 1)
 NODE = 64
 #: Estimated similarity with the leader of a large node from which a member joins its candidate
 #: cluster, and from which it need not branch further.
-STAR, CLOSE = 0.55, 0.8
+STAR, CLOSE = 0.45, 0.8
+SIGMAS = 5.0
 #: Shingles of a block of a cluster; a task holds two blocks.
-BLOCK = 300_000
+BLOCK = 100_000
+#: Minwise values that are compared within a block.
+WITHIN = 128
 LEADERS = 8
 NULL_ID = -(1 << 63)
-_SEEDS = shingles.seeds(WIDTH, 10)
+#: A node's lowest bits are those of its tree.
+_TREE = np.uint64(15)
+
+
+def least_near(percent: int, values: int) -> float:
+    """The estimated similarity, over so many minwise values, below which a pair is not compared."""
+    j = percent / 100
+    return j - SIGMAS * float(np.sqrt(j * (1 - j) / values))
 
 
 def descend(sig: np.ndarray, nodes: np.ndarray, branches: tuple[int, ...], level: int = 0) -> np.ndarray:
     """All nodes that each row of ``sig`` reaches from its node in ``nodes``: rows x leaves."""
     at = nodes[:, None]
+    tree = at & _TREE
+    first = tree.astype(np.int64) * POOL
     rows = np.arange(len(sig))[:, None]
     for step, width in enumerate(branches):
         below = []
         for b in range(width):
             pick = shingles.mix(at + np.uint64(((level + step) * 8 + b + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-            position = (pick >> np.uint64(32)).astype(np.int64) % WIDTH
-            below.append(shingles.mix(pick ^ sig[rows, position].astype(np.uint64)))
+            position = first + (pick >> np.uint64(32)).astype(np.int64) % POOL
+            below.append(shingles.mix(pick ^ sig[rows, position].astype(np.uint64)) & ~_TREE | tree)
         at = np.concatenate(below, axis=1)
     return at
 
 
 def _roots(trees: int) -> np.ndarray:
-    return shingles.mix(np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+    each = np.arange(trees, dtype=np.uint64)
+    return shingles.mix((each + np.uint64(1)) * np.uint64(0xD1B54A32D192ED03)) & ~_TREE | each
 
 
 def _unpack(column: pd.Series | list) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype="<u4").reshape(-1, WIDTH)
+    return np.frombuffer(b"".join(column), dtype="<u2").reshape(len(column), -1)
 
 
 def link_sets(flat: np.ndarray, off: np.ndarray, percent: int, groups: np.ndarray | None = None) -> np.ndarray:
-    """Root position of every set under links of Jaccard >= percent / 100, exactly.
+    """Root position of every set under links of Jaccard >= percent / 100, counted on the sets.
 
     Every set in turn is compared with the later ones that are not yet connected with it and that
-    size and signature allow; with ``groups``, only with sets of another group.
+    size and signature (``least_near``) allow; with ``groups``, only with sets of another group.
     """
     n = len(off) - 1
     parent = np.arange(n)
     size = np.diff(off)
-    sig = (shingles.signature(flat, off, _SEEDS) >> np.uint64(32)).astype(np.uint32) if n > 24 else None
-    slack = percent / 100 - 0.22
+    sig, slack = shingles.minima(flat, off, WITHIN, 11), least_near(percent, WITHIN)
     for i in range(n):
         if size[i] == 0:
             continue
@@ -93,7 +108,7 @@ def link_sets(flat: np.ndarray, off: np.ndarray, percent: int, groups: np.ndarra
         j = j[(np.minimum(size[j], size[i]) * 100 >= percent * np.maximum(size[j], size[i])) & (size[j] > 0)]
         if groups is not None and len(j):
             j = j[groups[j] != groups[i]]
-        if sig is not None and len(j):
+        if len(j):
             j = j[(sig[j] == sig[i]).mean(axis=1) >= slack]
         for at in range(0, len(j), 256):
             some = j[at : at + 256]
@@ -110,9 +125,10 @@ def link_sets(flat: np.ndarray, off: np.ndarray, percent: int, groups: np.ndarra
     return parent
 
 
-def sketches(df: DataFrame, key: str, text: str, width: int = 5) -> DataFrame:
+def sketches(df: DataFrame, key: str, text: str, width: int = 5, trees: int = TREES) -> DataFrame:
     """Per row: k, th (hash of the text), n, s1, s2 (digest of its shingle set), sig."""
-    tokens.bound_batches(df.sparkSession)
+    if trees > int(_TREE) + 1:
+        raise ValueError("at most 16 trees")
     rows = df.select(F.coalesce(df[key].cast("long"), F.lit(NULL_ID)).alias("k"), F.xxhash64(df[text]).alias("th"), df[text].alias("t"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +138,7 @@ def sketches(df: DataFrame, key: str, text: str, width: int = 5) -> DataFrame:
             for j, salt in enumerate((0x5851F42D4C957F2D, 0x14057B7EF767814F)):
                 np.cumsum(shingles.mix(flat ^ np.uint64(salt)), out=run[j, 1:])
             digest = (run[:, off[1:]] - run[:, off[:-1]]).astype(np.uint64).view(np.int64)
-            sig = (shingles.signature(flat, off, _SEEDS) >> np.uint64(32)).astype("<u4")
+            sig = shingles.minima(flat, off, POOL * trees, 10).astype("<u2")
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("k"), batch.column("th"), pa.array(np.diff(off)), pa.array(digest[0]), pa.array(digest[1]),
@@ -215,11 +231,10 @@ def _near_leader(rest: DataFrame, reps: DataFrame) -> DataFrame:
 
 def _compare_nodes(own: DataFrame, percent: int) -> DataFrame:
     """Compare every pair of a small node on signatures; report what connects them."""
-    slack = percent / 100 - 0.22
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         sig, rid = _unpack(frame["sig"].tolist()), frame["rid"].to_numpy()
-        near = (sig[:, None, :] == sig[None, :, :]).mean(axis=2) >= slack
+        near = (sig[:, None, :] == sig[None, :, :]).mean(axis=2) >= least_near(percent, sig.shape[1])
         root = np.arange(len(rid))
         while True:
             low = np.where(near, root[None, :], len(rid)).min(axis=1)
@@ -318,7 +333,8 @@ def _pairs_of_blocks(some: DataFrame, every: DataFrame) -> DataFrame:
     stay = every.select(*cols, F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("tb"), F.col("block").alias("sb"), F.lit(1).alias("part"))
     busy = some.select("cluster", F.col("block").alias("tb")).distinct()
     stay = stay.join(busy, ["cluster", "tb"], "left_semi")
-    return sent.unionByName(stay.select(sent.columns)).where("tb <> sb")
+    # Dealt by pairs of blocks: a large cluster's own partition would hold all of them.
+    return sent.unionByName(stay.select(sent.columns)).where("tb <> sb").repartition("cluster", "tb", "sb")
 
 
 def near_duplicates(
@@ -326,7 +342,13 @@ def near_duplicates(
 ) -> DataFrame:
     """Per row: k (id, NULL_ID for null), th (hash of the text), n_shingles, root (names the group; null
     without words), component (least k of the group)."""
-    rows = runtime.stage(sketches(df, key, text, width), "sketches")
+    spark, since = df.sparkSession, runtime.staged()
+    with tokens.bounded_batches(spark), runtime.tidy(spark):
+        return _grouped(df, key, text, percent, width, trees, since)
+
+
+def _grouped(df: DataFrame, key: str, text: str, percent: int, width: int, trees: int, since: frozenset[str]) -> DataFrame:
+    rows = runtime.stage(sketches(df, key, text, width, trees), "sketches")
     reps = (
         rows.where("n > 0")
         .groupBy("s1", "s2")
@@ -345,7 +367,7 @@ def near_duplicates(
     found = rooted.join(least, "root").select("s1", "s2", "root", "component")
     linked = rows.where("n > 0").join(found, ["s1", "s2"]).select("k", "th", F.col("n").alias("n_shingles"), "root", "component")
     alone = rows.where("n = 0").select("k", "th", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("root"), F.col("k").alias("component"))
-    return linked.unionByName(alone)
+    return runtime.settle(linked.unionByName(alone), "groups", since)
 
 
 def near_duplicate_table(df: DataFrame, key: str, text: str, percent: int = 85, width: int = 5) -> DataFrame:

@@ -127,12 +127,33 @@ def test_shingles_are_those_of_the_words():
             assert len(sets[i] & sets[j]) == len(want[i] & want[j])
 
 
-def test_similar_signatures_meet():
-    rng = np.random.default_rng(1)
-    sig = rng.integers(0, 2**32, (2, md.WIDTH), dtype=np.uint32)
-    sig[1, :58] = sig[0, :58]
-    met = sum(bool(set(md.descend(sig[:1], r[None], md.BRANCHES)[0]) & set(md.descend(sig[1:], r[None], md.BRANCHES)[0])) for r in md._roots(400))
-    assert 0.7 < met / 400 <= 1
+@pytest.mark.parametrize("percent, trees, rate", [(85, md.TREES, 1e-4), (80, 9, 8e-5)])
+def test_trees_miss_as_few_pairs_as_stated(percent, trees, rate):
+    """20000 pairs of sets of 200 just above the threshold; a rate of 1e-3 would miss about 20."""
+    rng = np.random.default_rng(5)
+    size, missed = 200, 0
+    both = -(-2 * size * percent // (100 + percent))
+    for _ in range(20):
+        shared = rng.integers(0, 1 << 63, (1000, both), dtype=np.uint64)
+        sets = [np.concatenate((shared, rng.integers(0, 1 << 63, (1000, size - both), dtype=np.uint64)), axis=1) for _ in range(2)]
+        a, b = (shingles.minima(s.ravel(), np.arange(1001) * size, md.POOL * trees, 10) for s in sets)
+        near = (a == b).mean(axis=1)
+        assert near.min() >= md.least_near(percent, md.POOL * trees)
+        met = np.zeros(1000, dtype=bool)
+        for root in md._roots(trees):
+            x, y = (md.descend(s, np.full(1000, root), md.BRANCHES) for s in (a, b))
+            met |= (x[:, :, None] == y[:, None, :]).any(axis=(1, 2))
+        missed += int((~met).sum())
+    assert missed <= 20_000 * rate * 4 + 1, missed
+
+
+def test_estimates_of_minima_are_unbiased():
+    rng = np.random.default_rng(9)
+    for both in (20, 60, 95):
+        shared = rng.integers(0, 1 << 63, (2000, both), dtype=np.uint64)
+        a, b = (np.concatenate((shared, rng.integers(0, 1 << 63, (2000, 100 - both), dtype=np.uint64)), axis=1) for _ in range(2))
+        near = [shingles.minima(x.ravel(), np.arange(2001) * 100, 96, 3) for x in (a, b)]
+        assert (near[0] == near[1]).mean() == pytest.approx(both / (200 - both), abs=0.006)
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
@@ -146,3 +167,21 @@ def test_components(spark, seed):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: nodes[root[at[x]]] for x in nodes}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_chain_takes_few_rounds(spark, monkeypatch):
+    """1000 nodes in order: the tables of edges written are counted."""
+    from codeweave import runtime
+
+    made = []
+    stage = runtime.stage
+    monkeypatch.setattr(runtime, "stage", lambda df, name, *more, **named: made.append(name) or stage(df, name, *more, **named))
+    rng = random.Random(1)
+    shuffled = list(range(1000))
+    rng.shuffle(shuffled)
+    for nodes in (list(range(1000)), shuffled):
+        made.clear()
+        edges = [(nodes[i + 1], nodes[i]) for i in range(999)]
+        got = components(spark.createDataFrame(edges, "a long, b long").repartition(2))
+        assert {r["root"] for r in got.collect()} == {0} and got.count() == 1000
+        assert made.count("edges") - 1 <= 12 and len(made) <= 40
