@@ -7,10 +7,12 @@ only a spanning forest of its links.  Components are the union over the trees.
 within components, so the links of each vector are then counted exactly, block by block, within its
 component.
 
-The upper levels of a tree are fitted on at most ``FIT_ROWS`` representatives (those of least hash)
-and place every row; they are only as deep as is needed for groups of about ``GROUP`` vectors.  The
-lower levels are fitted by the task that holds such a group, on all of it.  A node that its random
-splits do not shrink (a dense cluster) is compared whole, in blocks.
+The upper levels of a tree are fitted on at most ``FIT_ROWS`` representatives (those of least hash) of each of
+the ``FIT_DIMS`` commonest vector lengths and place every row; they are only as deep as is needed for groups of about
+``GROUP`` vectors, and not deeper than that sample tells apart.  Groups that are still too large are split further, a
+level a pass, at medians counted in Spark on all of their rows.  The lower levels are fitted by the task that holds a
+group, on all of it.  A node that its random splits do not shrink (a dense cluster) is compared whole, in blocks;
+of a group that no pass shrinks, every member is compared with one, and with those of its block.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and vectors
 with a null label, have no links and are components of their own; vectors of different lengths never
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweave import runtime
@@ -34,7 +36,7 @@ from codeweave.llm.components import components
 TREES = 5
 LEAF = 192
 GROUP = 8_192
-FIT_ROWS = 16_384
+FIT_ROWS, FIT_DIMS, FIT_DEPTH = 16_384, 8, 10
 BLOCK = 2_048
 
 
@@ -134,7 +136,7 @@ def near_duplicates(
     df: DataFrame, key: str, vector: str, label: str, threshold: float = 0.98, trees: int = TREES, group: int = GROUP
 ) -> DataFrame:
     """Per row: key, n_links, component_id, kept."""
-    spark = df.sparkSession
+    since = runtime.staged()
     v = df[vector]
     valid = (
         v.isNotNull() & df[label].isNotNull() & (F.size(v) > 0)
@@ -162,42 +164,50 @@ def near_duplicates(
     )
     out = narrow.where("valid").join(per, ["h1", "h2"]).select("k", "n_links", "component_id")
     alone = narrow.where("not valid").select("k", F.lit(0).cast("long").alias("n_links"), F.col("k").alias("component_id"))
-    return out.unionByName(alone).select(
+    every = out.unionByName(alone).select(
         F.col("k").alias(key), F.col("n_links").cast("long"), F.col("component_id").cast("long"),
         F.coalesce(F.col("k") == F.col("component_id"), F.lit(True)).alias("kept"),
     )
+    return runtime.settle(every, "vector-groups", since)
+
+
+_GROUP = ["tree", "leaf", "label", "dim"]
+_PLACED = "tree int, leaf long, label string, dim int, rid long, v array<double>"
 
 
 def _forest(reps: DataFrame, threshold: float, trees: int, group: int) -> DataFrame:
     """(rid, root) links: a spanning forest of every group of every tree."""
     spark = reps.sparkSession
-    sizes = reps.groupBy("label", F.size("v").alias("dim")).count()
-    depth_of = F.greatest(F.lit(0), F.ceil(F.log2(F.col("count") / group))).cast("int")
-    deep = sizes.agg(F.max(depth_of).alias("d")).first()["d"] or 0
-    dims = [r["dim"] for r in sizes.where(depth_of > 0).select("dim").distinct().limit(64).collect()] if deep else []
+    reps = reps.select("h1", "h2", "rid", "label", "v", F.size("v").alias("dim"))
+    sizes = reps.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).groupBy("dim").agg(F.max("n").alias("most"), F.sum("n").alias("n"))
+    large = sizes.where(F.col("most") > group).orderBy(F.desc("n"), "dim").limit(FIT_DIMS).collect()
+    depths = {r["dim"]: min(FIT_DEPTH, int(np.ceil(np.log2(r["most"] / group)))) for r in large}
     upper: dict[tuple[int, int], list] = {}
-    deep = min(deep, 14)
-    for dim in dims:
-        some = reps.where(F.size("v") == dim).orderBy("h1", "h2").limit(FIT_ROWS).select("v").toPandas()["v"].tolist()
-        for t in range(trees):
-            upper[t, dim] = fit_upper(_unit(some), deep, 1000 + t, threshold)
+    if depths:
+        rank = F.row_number().over(Window.partitionBy("dim").orderBy("h1", "h2"))
+        some = reps.where(F.col("dim").isin(*depths)).withColumn("rank", rank).where(F.col("rank") <= FIT_ROWS // len(depths))
+        for dim, own in some.select("dim", "v").toPandas().groupby("dim"):
+            for t in range(trees):
+                upper[t, int(dim)] = fit_upper(_unit(own["v"].tolist()), depths[int(dim)], 1000 + t, threshold)
     shipped = spark.sparkContext.broadcast(upper)
-    sized = reps.select("rid", "label", "v", F.size("v").alias("dim"))
-    sized = sized.join(F.broadcast(sizes.where(depth_of > 0).select("label", "dim", depth_of.alias("depth"))) if deep else sizes.limit(0).select("label", "dim", depth_of.alias("depth")), ["label", "dim"], "left")
+    # Labels that need no group split, or a shallower tree, are placed by fewer of its levels.
+    per_label = reps.groupBy("label", "dim").agg(F.greatest(F.lit(0), F.ceil(F.log2(F.count(F.lit(1)) / F.lit(group)))).cast("int").alias("depth"))
+    sized = reps.join(per_label, ["label", "dim"], "left").select("rid", "label", "dim", "v", "depth")
 
     def leaves(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for (dim, depth), own in frame.fillna({"depth": 0}).groupby(["dim", "depth"]):
-                x, depth = _unit(own["v"].tolist()), min(int(depth), deep)
+            for (dim, depth), own in frame.groupby(["dim", "depth"]):
+                x, depth = _unit(own["v"].tolist()), min(int(depth), depths.get(int(dim), 0))
                 for t in range(trees):
-                    at, leaf = place(x, upper_of(t, int(dim)), depth) if depth else (np.arange(len(x)), np.zeros(len(x), np.int64))
+                    at, leaf = place(x, shipped.value[t, int(dim)], depth) if depth else (np.arange(len(x)), np.zeros(len(x), np.int64))
                     got = own.iloc[at]
                     yield pd.DataFrame({"tree": t, "leaf": leaf, "label": got["label"].values, "dim": int(dim), "rid": got["rid"].values, "v": got["v"].values})
 
-    def upper_of(t: int, dim: int) -> list:
-        return shipped.value[t, dim]
-
-    placed = sized.mapInPandas(leaves, "tree int, leaf long, label string, dim int, rid long, v array<double>")
+    placed = sized.mapInPandas(leaves, _PLACED)
+    found = []
+    if large:
+        placed, stuck = _deepen(placed, threshold, 2 * group)
+        found.append(stuck)
 
     def link(own: pd.DataFrame) -> pd.DataFrame:
         x = _unit(own["v"].tolist())
@@ -206,7 +216,66 @@ def _forest(reps: DataFrame, threshold: float, trees: int, group: int) -> DataFr
         at = np.flatnonzero(root != np.arange(len(root)))
         return pd.DataFrame({"rid": rid[at], "root": rid[root[at]]})
 
-    return placed.groupBy("tree", "leaf", "label", "dim").applyInPandas(link, "rid long, root long")
+    out = placed.groupBy(*_GROUP).applyInPandas(link, "rid long, root long")
+    for more in found:
+        out = out.unionByName(more)
+    return out
+
+
+def _deepen(placed: DataFrame, threshold: float, most: int) -> tuple[DataFrame, DataFrame]:
+    """(rows whose groups have at most ``most`` vectors, links of what no pass could split).
+
+    Every pass splits the larger groups once, at the median of a projection that is the group's own.
+    """
+    done: DataFrame | None = None
+    before, passes = None, 0
+    while True:
+        placed = runtime.stage(placed, "placed")
+        sizes = placed.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("n"))
+        small = placed.join(sizes.where(F.col("n") <= most).drop("n"), _GROUP, "left_semi")
+        done = small if done is None else done.unionByName(small)
+        over = sizes.where(F.col("n") > most)
+        left = over.agg(F.max("n")).first()[0]
+        if left is None or before is not None and left > 0.95 * before and passes > 3:
+            break
+        passes = passes + 1 if before is not None and left > 0.95 * before else 0
+        before = left
+        placed = _split_once(placed.join(over.drop("n"), _GROUP, "left_semi"), threshold)
+    rest = placed.join(over.drop("n"), _GROUP, "left_semi")
+    leader = rest.groupBy(*_GROUP).agg(F.min_by(F.struct("rid", "v"), "rid").alias("one"))
+
+    def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for _, own in frame.groupby("dim"):
+                at = np.flatnonzero((_unit(own["v"].tolist()) * _unit(own["u"].tolist())).sum(axis=1) >= threshold)
+                yield pd.DataFrame({"rid": own["rid"].to_numpy()[at], "root": own["root"].to_numpy()[at]})
+
+    # A third of the rows may be one such group, so the join to its leader is dealt anew.
+    star = rest.join(leader, _GROUP).select("dim", "rid", "v", F.col("one.rid").alias("root"), F.col("one.v").alias("u"))
+    stuck = star.where("rid <> root").mapInPandas(near, "rid long, root long")
+    blocks = rest.withColumn("leaf", F.xxhash64("leaf", F.pmod(F.xxhash64("rid"), F.ceil(F.lit(left or 1) / F.lit(most)))))
+    return done.unionByName(blocks), stuck
+
+
+def _split_once(placed: DataFrame, threshold: float) -> DataFrame:
+    """Every group's rows on the sides of its median; those near it on both."""
+
+    def project(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for (t, leaf, dim), own in frame.groupby(["tree", "leaf", "dim"]):
+                d = np.random.default_rng((int(t), int(leaf) & (1 << 63) - 1, int(dim))).normal(size=int(dim))
+                yield own.assign(p=_unit(own["v"].tolist()) @ (d / np.linalg.norm(d)))
+
+    at = runtime.stage(placed.mapInPandas(project, _PLACED + ", p double"), "projected")
+    cuts = at.groupBy(*_GROUP).agg(F.percentile_approx("p", [0.4, 0.5, 0.6], 1000).alias("q"))
+    cuts = cuts.select(*_GROUP, F.col("q")[1].alias("m"), F.col("q")[0].alias("low"), F.col("q")[2].alias("high"))
+    wide = F.lit(1.3 * float(np.sqrt(max(0.0, 2 - 2 * threshold)))) / F.sqrt("dim")
+    spill = F.least(wide, (F.col("high") - F.col("low")) / 2)
+    both = at.join(cuts, _GROUP).withColumn("side", F.array_compact(F.array(
+        F.when(F.col("p") <= F.col("m") + spill, F.lit(0)), F.when(F.col("p") > F.col("m") - spill, F.lit(1))
+    )))
+    one = both.withColumn("side", F.explode("side"))
+    return one.select("tree", F.xxhash64("leaf", "side").alias("leaf"), "label", "dim", "rid", "v")
 
 
 def _degrees(rooted: DataFrame, threshold: float) -> DataFrame:
@@ -226,5 +295,7 @@ def _degrees(rooted: DataFrame, threshold: float) -> DataFrame:
         near = (_unit(t["v"].tolist()) @ _unit(s["v"].tolist()).T >= threshold) | same
         return pd.DataFrame({"rid": t["rid"].to_numpy(), "near": near @ s["weight"].to_numpy()})
 
-    met = targets.unionByName(sources).groupBy("root", "tb", "sb").applyInPandas(count, "rid long, near long")
+    # Dealt by pairs of blocks: a large component's own partition would hold all of them.
+    dealt = targets.unionByName(sources).repartition("root", "tb", "sb")
+    met = dealt.groupBy("root", "tb", "sb").applyInPandas(count, "rid long, near long")
     return met.groupBy("rid").agg(F.sum("near").alias("degree"))

@@ -89,3 +89,37 @@ def test_split_shrinks_or_gives_up():
     assert embedding_dedup.split(np.ones((50, 4)) / 2, rng, 0.1) is None
     low, high = embedding_dedup.split(embedding_dedup._unit(rng.normal(size=(400, 8)).tolist()), rng, 0.05)
     assert set(low) | set(high) == set(range(400)) and max(len(low), len(high)) <= 340
+
+
+def test_many_lengths_of_vectors(spark):
+    """More lengths than are fitted, all of them in labels that need a split."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for dim in range(1, 71):
+        one = rng.normal(size=dim)
+        rows += [(dim * 100 + i, (one * (i + 1)).tolist() if i < 3 else rng.normal(size=dim).tolist(), 0) for i in range(8)]
+    got, want = run(spark, rows, group=2)
+    assert got == want
+
+
+def test_groups_deeper_than_the_fitted_levels(spark, monkeypatch):
+    """The levels above the tasks are split by passes over all rows."""
+    monkeypatch.setattr(embedding_dedup, "FIT_DEPTH", 1)
+    x = clusters(3000, seed=7)
+    got, want = run(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)], group=250)
+    hit = sum(min(a[1], b[1]) for a, b in zip(got, want))
+    assert all(a[1] <= b[1] for a, b in zip(got, want)) and hit >= 0.98 * sum(b[1] for b in want)
+
+
+def test_upper_trees_over_many_vectors(spark):
+    """100000 vectors of one label in small clusters: fitted levels with spill, recall against brute force."""
+    x = clusters(100_000, dim=16, seed=11, groups=20_000, spread=0.02)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").selectExpr("*", "0 as label")
+    got = embedding_dedup.near_duplicates(df, "vec_id", "embedding", "label", group=4096).toPandas().sort_values("vec_id")
+    unit = x.astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    links = np.zeros(len(x), dtype=np.int64)
+    for at in range(0, len(x), 2000):
+        links[at : at + 2000] = (unit[at : at + 2000] @ unit.T >= 0.98).sum(axis=1) - 1
+    found = got["n_links"].to_numpy()
+    assert links.sum() > 100_000 and (found <= links).all() and found.sum() >= 0.99 * links.sum()
