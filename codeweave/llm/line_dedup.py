@@ -5,7 +5,11 @@ key and the number of documents it was met in, bucketed and sorted by the hash.
 reduced to such rows, merge-anti-joined against the settled runs (keys known to have reached the
 threshold need no further counting) and added as a run of level 0.  When a level holds ``fanout``
 runs they are merged into one run of the next level, and keys that reach the threshold move to a
-settled run.  Runs share their bucketing, so merges and anti-joins need no exchange of the runs.
+settled run.  Runs share their bucketing, so merges and anti-joins need no exchange of the runs.  Their buckets
+follow the size of what is counted.
+
+``drop_common_lines`` hashes the lines of every text once; the batches, and the search for the lines to drop,
+read these hashes, and the text is read a second time only to be put together again.
 
 Defined cases: a null or empty text is one empty line; a line counts once per row, however often
 the row repeats it; equal rows are documents of their own and get equal results; a null id is an
@@ -34,20 +38,26 @@ def line_key(line: Column) -> Column:
     return F.when(F.octet_length(bare) == F.char_length(bare), F.lower(bare)).otherwise(F.translate(bare, _UPPER, _LOWER))
 
 
-def _hashes(key: Column) -> list[Column]:
-    return [F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("line"), key).alias("h2")]
+def line_hash(line: Column, min_chars: int) -> Column:
+    """The 128-bit hash (h1, h2) of a line's key; null for keys of fewer code points."""
+    key = line_key(line)
+    return F.when(F.char_length(key) >= min_chars, F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("line"), key).alias("h2")))
 
 
 def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
+#: Bytes of line hashes to a bucket.
+BUCKET_BYTES = 32 << 20
+
+
 class LineRuns:
     """Counts of documents by line hash, kept as levelled sorted runs in the shared folder."""
 
-    def __init__(self, spark: SparkSession, threshold: int, fanout: int = 2) -> None:
+    def __init__(self, spark: SparkSession, threshold: int, fanout: int = 2, buckets: int | None = None) -> None:
         self.spark, self.threshold, self.fanout = spark, threshold, fanout
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = [[]]
         self.settled: list[str] = []
         self._paths: dict[str, str] = {}
@@ -120,22 +130,21 @@ def drop_common_lines(
     The rows are taken as ``batches`` arrivals (by hash of the row) through one ``LineRuns``.
     """
     spark = df.sparkSession
-    narrow = df.select(df[key].alias("k"), df[text].alias("t"), F.xxhash64(df[text]).alias("th"))
-    long_enough = F.char_length("key") >= min_chars
-    runs = LineRuns(spark, threshold, fanout)
+    th = F.xxhash64(df[text])
+    hashes = df.select(
+        df[key].alias("k"), th.alias("th"), F.pmod(F.xxhash64(df[key], th), F.lit(batches)).cast("int").alias("batch"),
+        F.transform(lines_of(df[text]), lambda x: line_hash(x, min_chars)).alias("hs"),
+    )
+    hashes = runtime.stage(hashes, "line-hashes", by="batch")
+    runs = LineRuns(spark, threshold, fanout, runtime.parts_for(hashes, BUCKET_BYTES))
     for b in range(batches):
-        own = narrow.where(F.pmod(F.xxhash64("k", "th"), F.lit(batches)) == b)
-        own = own.select("t", F.monotonically_increasing_id().alias("r"))
-        lines = own.select("r", F.explode(F.array_distinct(lines_of(F.col("t")))).alias("line"))
-        keys = lines.select("r", line_key(F.col("line")).alias("key")).where(long_enough)
-        # Lines that differ only at their ends or in case meet again as one key of the same row.
-        keys = keys.select("r", *_hashes(F.col("key"))).groupBy("r", "h1", "h2").agg(F.lit(1).alias("one"))
-        runs.add(keys.select("h1", "h2"))
+        # Equal lines of a row are one within its array, so only counts are exchanged.
+        own = hashes.where(F.col("batch") == b).select(F.explode(F.array_distinct("hs")).alias("h"))
+        runs.add(own.where("h is not null").select("h.h1", "h.h2"))
     common = runs.common()
 
-    lines = narrow.select("k", "th", F.posexplode(lines_of(F.col("t"))).alias("pos", "line"))
-    keyed = lines.select("k", "th", "pos", line_key(F.col("line")).alias("key")).where(long_enough)
-    hits = keyed.select("k", "th", "pos", *_hashes(F.col("key"))).join(common, ["h1", "h2"], "left_semi")
+    lines = hashes.select("k", "th", F.posexplode("hs").alias("pos", "h")).where("h is not null").select("k", "th", "pos", "h.h1", "h.h2")
+    hits = lines.join(common, ["h1", "h2"], "left_semi")
     dropped = hits.groupBy("k", "th").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
     rows = df.select(F.struct("*").alias("row"), df[key].alias("_k"), F.xxhash64(df[text]).alias("_th"), df[text].alias("_t"))
     joined = rows.join(dropped, rows["_k"].eqNullSafe(dropped["k"]) & (rows["_th"] == dropped["th"]), "left")
@@ -155,10 +164,12 @@ def kept_text(lines: str = "lines", dropped: str = "dropped") -> Column:
 
 def line_report(df: DataFrame, key: str, text: str, threshold: int, min_chars: int = 1) -> DataFrame:
     """Per row: key, n_lines, n_dropped, kept_sha256."""
+    since = runtime.staged()
     out = drop_common_lines(df, key, text, threshold, min_chars)
-    return out.select(
+    report = out.select(
         F.col("row")[key].alias(key),
         F.size("lines").cast("long").alias("n_lines"),
         F.size("dropped").cast("long").alias("n_dropped"),
         F.sha2(kept_text().cast("binary"), 256).alias("kept_sha256"),
     )
+    return runtime.settle(report, "line-report", since)
