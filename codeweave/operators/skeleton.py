@@ -36,14 +36,18 @@ def _after(size: Column, more: Column) -> Column:
 def fill(lines: DataFrame, budget: int) -> DataFrame:
     """``lines`` (scope, pos, line, always) with ``kept``.
 
-    Only scopes over the budget fold over their optional lines, and the fold sees sizes, not texts.
+    What is left of a budget only shrinks, so of the optional lines of one size a prefix is taken, and no more
+    than the budget holds: only these, and as sizes, not texts, come together in one row of a scope.  (Lines
+    without any text do, all of them, as they cost nothing where nothing is before them.)
     """
     size = F.octet_length("line").cast("long")
-    per = lines.groupBy("scope").agg(
-        F.sum(F.when(F.col("always"), size + 1)).alias("must"),
-        F.sum(size + 1).alias("all"),
-        F.array_sort(F.collect_list(F.when(~F.col("always"), F.struct("pos", size.alias("size"))))).alias("may"),
-    )
+    sized = lines.select("scope", "pos", "always", size.alias("size"))
+    must = sized.groupBy("scope").agg(F.sum(F.when(F.col("always"), F.col("size") + 1)).alias("must"))
+    nth = F.row_number().over(Window.partitionBy("scope", "size").orderBy("pos"))
+    few = sized.where("not always and size > 0").withColumn("nth", nth).where(F.col("nth") <= 4 * budget + 4)
+    few = few.where(F.col("nth") * (F.col("size") + 1) <= 4 * budget + 4).select("scope", "pos", "size")
+    few = few.unionByName(sized.where("not always and size = 0").select("scope", "pos", "size"))
+    per = few.groupBy("scope").agg(F.array_sort(F.collect_list(F.struct("pos", "size"))).alias("may")).join(must, "scope")
     start = F.struct(F.greatest(F.coalesce("must", F.lit(0)) - 1, F.lit(0)).cast("long").alias("size"), F.slice("may", F.lit(1), F.lit(0)).alias("in"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -51,15 +55,18 @@ def fill(lines: DataFrame, budget: int) -> DataFrame:
         grown = F.when(acc["size"] > 0, acc["size"] + 1 + x["size"]).otherwise(x["size"])
         return F.when(fits, F.struct(grown.alias("size"), F.concat(acc["in"], F.array(x)).alias("in"))).otherwise(acc)
 
-    taken = F.when(text.tokens_of(F.col("all") - 1) <= budget, F.col("may")).otherwise(F.aggregate("may", start, step)["in"])
+    taken = F.aggregate("may", start, step)["in"]
     chosen = per.select("scope", F.explode(F.transform(taken, lambda x: x["pos"])).alias("pos")).withColumn("hit", F.lit(True))
     return lines.join(chosen, ["scope", "pos"], "left").withColumn("kept", F.col("always") | F.coalesce("hit", F.lit(False))).drop("hit")
 
 
 def cut(lines: DataFrame, budget: int, order: list[str]) -> DataFrame:
-    """The longest prefix of each scope whose estimate is within the budget."""
-    run = F.sum(F.octet_length("line") + 1).over(Window.partitionBy("scope").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return lines.withColumn("estimate", text.tokens_of(run - 1)).where(F.col("estimate") <= budget)
+    """The longest prefix of each scope whose estimate is within the budget; a line takes a byte at least,
+    so only so many lines of a scope come together."""
+    w = Window.partitionBy("scope").orderBy(*order)
+    first = lines.withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") <= 4 * budget + 5).drop("_nth")
+    run = F.sum(F.octet_length("line") + 1).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return first.withColumn("estimate", text.tokens_of(run - 1)).where(F.col("estimate") <= budget)
 
 
 def skeletons(lines: DataFrame, budget: int) -> DataFrame:
