@@ -55,3 +55,22 @@ def test_messy_and_empty(messy, nothing):
     assert len({r["shard"] for r in rows if r["doc_id"] is None}) == 1
     assert [(r["size"], r["text_crc32"]) for r in rows if r["doc_id"] == 1] == [(8, 0)]
     assert sharding.assign_shards(nothing, "doc_id", "text", [1.0]).count() == 0
+
+
+def test_the_winning_shard_by_hand(spark, sf01):
+    """Every draw made again with another library: the least -ln(u) wins, with and without a further shard."""
+    import math
+    import struct
+
+    import xxhash
+
+    def draw(shard, key):
+        h = 42
+        for part in (struct.pack("<i", 7), struct.pack("<i", shard), str(key).encode()):
+            h = xxhash.xxh64_intdigest(part, seed=h)
+        return -math.log(((h >> 11) + 0.5) / (1 << 53))
+
+    rows = queries.op1_sharding(spark, sf01).select("doc_id", "shard", "grown_shard").collect()
+    for r in rows:
+        drawn = [draw(i, r["doc_id"]) for i in range(queries.SHARDS + 1)]
+        assert (r["shard"], r["grown_shard"]) == (drawn.index(min(drawn[:-1])), drawn.index(min(drawn)))
