@@ -2,10 +2,10 @@
 
 Documents longer than a sequence are cut; the first piece takes the remainder, so all others are
 full sequences of their own.  The rest is packed in rounds.  In a round every partition packs its
-items best-fit in decreasing length and emits the bins that are nearly full; the underfull bins go
-on, as items, to fewer partitions.  Rounds end when one partition has packed them, or when a round
-merged fewer than one item in a hundred (more rounds would gather ever more bins for nothing); what
-is open then is emitted as it is.  A partition of a later round holds at most ``MERGE_ITEMS`` items.
+items best-fit in decreasing length, ``MERGE_ITEMS`` at a time, and emits the bins that are nearly full; the
+underfull bins go on, as items, to fewer partitions.  Rounds end when one task has packed all that is left at once,
+or when a round merged fewer than one item in a hundred (more rounds would gather ever more bins for nothing);
+what is open then is emitted as it is.  No task holds more than ``MERGE_ITEMS`` items, however large its partition.
 
 Defined cases: a null or empty text is the end id alone; repeated rows and ids are packed each;
 an empty table gives no rows; other columns are ignored, whatever their names.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from codeweave import runtime
 from codeweave.llm import tokens
 
-#: Items that one partition of a merge round holds.
+#: Items that a task packs at a time.
 MERGE_ITEMS = 50_000
 PIECES = "rid long, k long, piece int, start long, length long, ids_crc32 long"
 BINS = "len int, rids array<long>"
@@ -56,7 +56,6 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
 
 def cut(df: DataFrame, key: str, text: str, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
     """Pieces of every document, staged: a row id, key, piece, start, length, ids_crc32."""
-    tokens.bound_batches(df.sparkSession)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -79,20 +78,18 @@ def cut(df: DataFrame, key: str, text: str, tokenizer: str, end_id: int, capacit
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["rid", "k", "piece", "start", "length", "ids_crc32"])
 
     rows = df.select(df[key].cast("long").alias("k"), df[text].alias("t"))
-    return runtime.stage(rows.mapInArrow(pieces, PIECES), "pieces")
+    with tokens.bounded_batches(df.sparkSession):
+        return runtime.stage(rows.mapInArrow(pieces, PIECES), "pieces")
 
 
-def _round(items: DataFrame, capacity: int, full: int) -> DataFrame:
-    """Each partition's bins: len, rids, done."""
+def _round(items: DataFrame, capacity: int, full: int, most: int) -> DataFrame:
+    """The bins of every ``most`` items of a partition: len, rids, done."""
 
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = [(n, rids) for frame in frames for n, rids in zip(frame["len"].tolist(), frame["rids"].tolist())]
-        if not own:
-            return
+    def best(own: list[tuple]) -> pd.DataFrame:
         own.sort(key=lambda x: (-x[0], x[1][0]))
         bins = best_fit([n for n, _ in own], capacity)
         size = [sum(own[i][0] for i in b) for b in bins]
-        yield pd.DataFrame(
+        return pd.DataFrame(
             {
                 "len": np.array(size, dtype=np.int32),
                 "rids": [np.concatenate([own[i][1] for i in b]) if len(b) > 1 else own[b[0]][1] for b in bins],
@@ -100,10 +97,20 @@ def _round(items: DataFrame, capacity: int, full: int) -> DataFrame:
             }
         )
 
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own: list[tuple] = []
+        for frame in frames:
+            own += zip(frame["len"].tolist(), frame["rids"].tolist())
+            while len(own) >= most:
+                yield best(own[:most])
+                own = own[most:]
+        if own:
+            yield best(own)
+
     return items.mapInPandas(pack, BINS + ", done boolean")
 
 
-def pack_items(pieces: DataFrame, capacity: int, full: int, fan_in: int = 8) -> DataFrame:
+def pack_items(pieces: DataFrame, capacity: int, full: int, fan_in: int = 8, most: int = MERGE_ITEMS) -> DataFrame:
     """(sequence_id, rids) of every sequence; ``pieces`` has rid and length."""
     spark = pieces.sparkSession
     alone = pieces.where(F.col("length") >= full).select(F.array("rid").alias("rids"))
@@ -111,17 +118,17 @@ def pack_items(pieces: DataFrame, capacity: int, full: int, fan_in: int = 8) ->
     parts = max(1, items.rdd.getNumPartitions())
     finished, before = [alone], None
     while True:
-        packed = runtime.stage(_round(items, capacity, full), "bins")
+        packed = runtime.stage(_round(items, capacity, full, most), "bins")
         finished.append(packed.where("done").select("rids"))
         rest = packed.where("not done").select("len", "rids")
         left = rest.count()
         if left == 0:
             break
-        if parts == 1 or before is not None and left > 0.99 * before:
+        if parts == 1 and before is not None and before <= most or before is not None and left > 0.99 * before:
             finished.append(rest.select("rids"))
             break
         before = left
-        parts = max(1, -(-left // MERGE_ITEMS), -(-parts // fan_in) if left > MERGE_ITEMS else 1)
+        parts = max(1, -(-left // most), -(-parts // fan_in) if left > most else 1)
         items = rest.repartition(parts)
     out = finished[0]
     for more in finished[1:]:
@@ -133,11 +140,13 @@ def pack(
     df: DataFrame, key: str, text: str, tokenizer: str, end_id: int, capacity: int = 1024, full: int | None = None
 ) -> DataFrame:
     """One row per piece: key, piece, start, length, ids_crc32, sequence_id, offset."""
+    since = runtime.staged()
     pieces = cut(df, key, text, tokenizer, end_id, capacity)
     sequences = pack_items(pieces, capacity, full or capacity - capacity // 128)
     placed = sequences.select("sequence_id", F.posexplode("rids").alias("pos", "rid")).join(pieces, "rid")
     w = Window.partitionBy("sequence_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.select(
+    out = placed.select(
         F.col("k").alias(key), "piece", "start", "length", "ids_crc32", "sequence_id",
         F.coalesce(F.sum("length").over(w), F.lit(0)).cast("long").alias("offset"),
     )
+    return runtime.settle(out, "packed", since)
