@@ -1,9 +1,8 @@
 """Symbols of Go source files: a tokenizer and a reader of declarations.
 
-The reader accepts a file if its tokens are well formed, its brackets match and every top-level
-declaration has its required parts; it does not check expressions, so it takes some invalid programs
-that a compiler would refuse.  Methods and functions come from the top level; type specifications
-count at any depth; imports only with an interpreted string.
+The reader accepts a file if its tokens are well formed and ``go_syntax`` finds the language's grammar in
+them.  Methods and functions come from the top level; type specifications count at any depth; imports only
+with an interpreted string.
 """
 
 from __future__ import annotations
@@ -12,6 +11,8 @@ import hashlib
 import re
 from typing import NamedTuple
 
+from codeweave.sources import go_syntax
+
 _TOKEN = re.compile(
     r"""
     (?P<space>[ \t\r]+)
@@ -236,6 +237,7 @@ def parse(content: bytes) -> dict:
         reader = Reader(content.decode("utf-8"))
     except UnicodeDecodeError as e:
         raise SyntaxProblem(str(e)) from e
+    go_syntax.check(reader.tokens, KEYWORDS, SyntaxProblem)
     reader.read()
     # Nested types follow the type that holds them, all by their place in the file.
     return {

@@ -88,6 +88,45 @@ def test_rejected(bad):
         golang.parse(bad.encode())
 
 
+VALID = [
+    "func f() { for range 3 { } ; for i := range xs { _ = i } ; for k, v = range m { } ; for ; ; { } ; for x < 3 { } ; for i := 0; ; i++ { break } }",
+    "func f() { if v, ok := m[k]; ok && (T{}) == v { } else if x { } else { } }",
+    "func f() { switch { case x > 1: fallthrough; default: }; switch x := v.(type) { case []int, map[string]T, func(int) bool, *T, chan<- int, nil: _ = x } }",
+    "func f() { select { case c <- 1: case v, ok := <-c: _ = v; default: return } }",
+    "func f() { L: for { continue L }; goto L; go func() { }(); defer close(<-ch); ch <- <-in }",
+    "var a = [...]string{2: \"b\", \"c\"}\nvar b = map[string]struct{ X, Y int }{\"p\": {1, 2}}\nvar c = []*T{{A: 1}, {}}\nvar d = struct{}{}",
+    "var s, t = xs[:], xs[1:2:3]\nvar u = f[int, []string](x...)\nvar p = Pair[K, V]{k, v}\nvar q = (*T).M\nvar r = <-chan int(nil)",
+    "type G[K comparable, V ~int | ~[]string] struct { *Base; pkg.Other `x:\"y\"`; K, L K; m map[K][]V; f func(K) (V, error); List[K] }",
+    "type I interface { ~int | pkg.T; M(x int, _ ...string) (n int, err error); fmt.Stringer }\ntype A [N]int\ntype B [N * 2]*T\ntype C = func(a, b int, c [4]T) <-chan T",
+    "const (\n\tA, B T = iota, 1 << iota\n\tC, D\n)\nvar (\n\tx int\n\ty, z = 1i, 0x1p-2\n)",
+    "func (r *R[T]) m(T, ...int) (T, error) { return *new(T), nil }\nfunc g() func() { return func() { } }\nfunc h(x T[int], y pkg.U[K])",
+    "func f() { x, y := a.(T), -b&^+c<<2; x.y[0].z(1, []int{1}, func(i int) { })++; *p = !q; var w = `raw\n`; const k = 'k'; type t int; { } }",
+    "func f() {\n\treturn T{\n\t\tA: 1,\n\t}.\n\t\tDo(\n\t\t\tx,\n\t\t)\n}",
+]
+INVALID = [
+    "func f() { x = }", "func f() { x := }", "func f() { return 1 + }", "func f() { if { } }", "func f() { if x; { } }", "func f() { for i := 0; i < 3 { } }", "func f() { x y }",
+    "func f() { f(a b) }", "func f() { switch x { x = 1 } }", "func f() { case 1: }", "func f() { else { } }", "func f() { a[] }", "func f() { T{1 2} }",
+    "func f() { T{\n1\n} }", "func f() { x. }", "func f() { if x\n{ } }", "func f(a int b int) { }", "func f() { var }", "func f() { go }", "type S struct { a b c }",
+    "type S struct { a int b int }", "type I interface { M( }", "var x = [3]", "var m map[string", "var x = func", "func f() { select { x: } }", "const = 1", "func f() { 1 := }", "func f[]() { }",
+]
+
+
+@pytest.mark.parametrize("body", VALID)
+def test_grammar_takes(body):
+    golang.parse(f"package p\n\n{body}\n".encode())
+
+
+@pytest.mark.parametrize("body", INVALID)
+def test_grammar_refuses(body):
+    with pytest.raises(golang.SyntaxProblem):
+        golang.parse(f"package p\n\n{body}\n".encode())
+
+
+def test_grammar_refuses_deep_nesting_as_a_problem():
+    with pytest.raises(golang.SyntaxProblem):
+        golang.parse(("package p\nvar x = " + "(" * 100_000 + "1" + ")" * 100_000 + "\n").encode())
+
+
 def test_empty_file_has_empty_lists():
     got = golang.parse(b"")
     assert (got["functions"], got["types"], got["imports"]) == ([], [], [])
