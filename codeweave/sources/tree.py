@@ -2,7 +2,8 @@
 
 Spark's file sources leave out names that start with '.' or '_'; this one returns every file.  The
 driver lists the tree and deals its files into partitions by size; executors read the contents.  So
-the tree has to be on a file system that all of them mount.  Globs of the ``exclude`` option (one a
+the tree has to be at a path that all of them mount, or at an address of an object store (``s3://`` and what
+else Arrow's file systems open).  Globs of the ``exclude`` option (one a
 line) are applied before anything is read, and directories that ``/**`` covers are not entered.
 """
 
@@ -25,10 +26,27 @@ class MissingRevision(ValueError):
     """The head revision does not exist."""
 
 
+def _remote(root: str):
+    """(file system, path) of an address; None of a mounted path."""
+    scheme, mark, rest = root.partition("://")
+    if not mark:
+        return None
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(f"s3://{rest}" if scheme in ("s3a", "s3n") else root)
+
+
 def listing(root: str, exclude: Sequence[str] = ()) -> list[tuple[str, int]]:
     """(path below root with '/', size) of every regular file, in bytewise order."""
     excluded, pruned = excluder(exclude), pruned_dirs(exclude)
     out = []
+    if far := _remote(root):
+        from pyarrow import fs
+
+        system, top = far
+        found = system.get_file_info(fs.FileSelector(top, recursive=True))
+        files = [(f.path[len(top.rstrip("/")) + 1 :], f.size) for f in found if f.type == fs.FileType.File]
+        return sorted(((p, n) for p, n in files if not excluded(p)), key=lambda x: x[0].encode())
     for folder, dirs, names in os.walk(root):
         below = os.path.relpath(folder, root).replace(os.sep, "/")
         prefix = "" if below == "." else below + "/"
@@ -62,8 +80,12 @@ class _Reader(DataSourceReader):
         return [_Part(p) for p in parts]
 
     def read(self, partition: _Part) -> Iterator[tuple]:
+        far = _remote(self.root) if self.contents else None
         for path in partition.paths:
-            if self.contents:
+            if far:
+                with far[0].open_input_stream(f"{far[1].rstrip('/')}/{path}") as f:
+                    yield path, f.read()
+            elif self.contents:
                 with open(os.path.join(self.root, path), "rb") as f:
                     yield path, f.read()
             else:

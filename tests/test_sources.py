@@ -19,6 +19,8 @@ def test_tree_reads_hidden_files_and_applies_globs(spark, ferry):
     (ferry / "a_test.go").write_text("package a")
     got = {r["path"]: bytes(r["content"]) for r in tree.read_tree(spark, str(ferry), ["*_test.go", "vendor/**", "[bad"]).collect()}
     assert got[".hidden/_x.go"] == b"\xff\x00" and "vendor/v.go" not in got and "a_test.go" not in got and len(got) == 11
+    far = tree.read_tree(spark, f"file://{ferry}", ["*_test.go", "vendor/**", "[bad"])
+    assert {r["path"]: bytes(r["content"]) for r in far.collect()} == got
     bare = tree.read_tree(spark, str(ferry), contents=False)
     assert bare.where("content is null").count() == 13
 
