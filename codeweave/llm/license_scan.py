@@ -8,8 +8,8 @@ units are pruned by their word count before any bigram is made.
 
 With ``passages`` on, notices that are neither a line nor a document are found too: wrapped over lines
 of a longer text, or inside a longer line.  A passage is a run of words.  A run that reaches t shares
-at least n_template * t / (2 - t) bigrams, so it has one of a few words that cover the rest of the template, and
-only texts with such a word are looked at (as lines and documents are).  There, the best run up to each shared bigram follows from
+at least n_template * t / (2 - t) bigrams, so it has one of a few words that cover the rest of the template, and one of a few
+bigrams that do; only texts with such a word and bigram are looked at (as lines and documents are): they are written once, and all else reads them.  There, the best run up to each shared bigram follows from
 running sums: 2 * overlap - t * n_unit is at least t * n_template.  It is looked for among runs of up to
 ``REACH`` times the template, and the runs found are scored exactly.  Of runs that overlap the best is
 reported; none in a document that matches, in a line that matches, or over such a line of its licence.
@@ -30,6 +30,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeweave import runtime
+
 #: Longest runs, by the template's size, among which a passage is looked for; and the largest size that can match.
 REACH = (1.0, 1.2)
 
@@ -127,7 +129,7 @@ def _norm(text: Column) -> Column:
 
 def scan(df: DataFrame, key: str, text: str, threshold: float = 0.8, templates: dict[str, str] | None = None, passages: bool = False) -> DataFrame:
     """Matches: key, unit ('line', 'document' or 'passage'), line (from 0; null for a document), license, dice."""
-    spark = df.sparkSession
+    spark, since = df.sparkSession, runtime.staged()
     bags = {name: _bigrams(t) for name, t in (templates or TEMPLATES).items()}
     sizes = {name: sum(bag.values()) for name, bag in bags.items()}
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
@@ -139,17 +141,18 @@ def scan(df: DataFrame, key: str, text: str, threshold: float = 0.8, templates:
             "license string, n_template int, gram string, n_in_template int",
         )
     )
-    docs = df.select(F.monotonically_increasing_id().alias("rid"), df[key].alias("k"), F.coalesce(df[text], F.lit("")).alias("t"))
+    anchors = sorted(set().union(*(_anchors(b, low) for b in bags.values())))
+    # No unit of a text without an anchor and a rare bigram can match, and few texts have one, so all else reads only these.
+    docs = df.select(F.monotonically_increasing_id().alias("rid"), df[key].alias("k"), df[text].alias("t"))
+    docs = docs.withColumn("w", F.split(_norm(F.col("t")), " ")).where(F.exists("w", lambda x: x.isin(anchors)))
+    rare = sorted(set().union(*(_rare(b, low) for b in bags.values())))
+    docs = runtime.stage(docs.where(F.exists(_pairs(F.col("w"), F.size("w") - 1), lambda x: x.isin(rare))).drop("w"), "anchored")
     lines = docs.select("rid", "k", F.posexplode(F.split("t", "\n")).alias("line", "u"))
     whole = docs.where(F.contains("t", F.lit("\n"))).select("rid", "k", F.lit(-1).alias("line"), F.col("t").alias("u"))
     units = lines.unionByName(whole).select("rid", "k", "line", F.split(_norm(F.col("u")), " ").alias("w"))
     units = units.withColumn("n_unit", F.size("w") - 1).where((F.col("n_unit") >= least) & (F.col("n_unit") <= most) & (F.col("n_unit") > 0))
-    anchors = sorted(set().union(*(_anchors(b, low) for b in bags.values())))
     units = units.where(F.exists("w", lambda x: x.isin(anchors)))
-    pairs = F.zip_with(
-        F.slice("w", F.lit(1), F.col("n_unit")), F.slice("w", F.lit(2), F.col("n_unit")), lambda a, b: F.concat_ws(" ", a, b)
-    )
-    grams = units.select("rid", "k", "line", "n_unit", F.explode(pairs).alias("gram"))
+    grams = units.select("rid", "k", "line", "n_unit", F.explode(_pairs(F.col("w"), F.col("n_unit"))).alias("gram"))
     inside = (F.col("n_unit") >= F.col("n_template") * low) & (F.col("n_unit") <= F.col("n_template") * high)
     met = grams.join(table, "gram").where(inside)
     bag = met.groupBy("rid", "k", "line", "n_unit", "license", "n_template", "gram").agg(
@@ -167,7 +170,25 @@ def scan(df: DataFrame, key: str, text: str, threshold: float = 0.8, templates:
         "license",
         "dice",
     )
-    return out.unionByName(_passages(df, key, text, threshold, anchors, table)) if passages else out
+    return runtime.settle(out.unionByName(_passages(docs, key, threshold, table)) if passages else out, "licences", since)
+
+
+def _pairs(words: Column, n: Column) -> Column:
+    """The first ``n`` bigrams of an array of words."""
+    n = F.greatest(n, F.lit(0))
+    return F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
+
+
+def _rare(bag: Counter, low: float) -> set[str]:
+    """Bigrams without which no text shares ``low`` of them; long ones first."""
+    out, left = set(), sum(bag.values())
+    need = left * low
+    for gram in sorted(bag, key=lambda g: (-len(g), g)):
+        if left < need - 1e-9:
+            break
+        out.add(gram)
+        left -= bag[gram]
+    return out
 
 
 def _anchors(bag: Counter, low: float) -> set[str]:
@@ -187,10 +208,8 @@ def _anchors(bag: Counter, low: float) -> set[str]:
     return out
 
 
-def _passages(df: DataFrame, key: str, text: str, threshold: float, anchors: list[str], table: DataFrame) -> DataFrame:
+def _passages(docs: DataFrame, key: str, threshold: float, table: DataFrame) -> DataFrame:
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    docs = df.select(F.monotonically_increasing_id().alias("rid"), df[key].alias("k"), df[text].alias("t"))
-    docs = docs.where(F.exists(F.split(_norm(F.col("t")), " "), lambda x: x.isin(anchors)))
     lines = F.transform(F.split("t", "\n"), lambda x: F.filter(F.split(_norm(x), " "), lambda w: w != ""))
     docs = docs.select("rid", "k", lines.alias("lw")).select(
         "rid", "k", F.flatten(F.transform("lw", lambda x, i: F.transform(x, lambda w: F.struct(w.alias("w"), i.alias("i"), F.size(x).alias("n"))))).alias("w")
@@ -204,7 +223,7 @@ def _passages(df: DataFrame, key: str, text: str, threshold: float, anchors: lis
     grams = docs.select("rid", "k", "n_doc", F.posexplode(pairs).alias("p", "x")).select("rid", "k", "n_doc", "p", "x.*")
     by = Window.partitionBy("rid", "license")
     met = grams.join(table, "gram").withColumn("m", F.count(F.lit(1)).over(by)).where(F.col("m") >= F.col("n_template") * low - 1e-9)
-    met = met.persist()  # a few hits of the texts that are left, used several times
+    met = runtime.stage(met, "hits")  # a few hits of the texts that are left, used several times
 
     def dice(hits: DataFrame, size: str, *unit: str) -> DataFrame:
         keys = [*unit, "license", "n_template", size]
