@@ -38,6 +38,7 @@ other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import pickle
+import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -88,6 +89,28 @@ def _wide(planes: np.ndarray, kind=np.int64) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(f"<u{len(planes)}").ravel().astype(kind)
 
 
+def _press(*xs: np.ndarray) -> bytes:
+    """Whole numbers as one small message: how many arrays, the width and length of each, their byte planes."""
+    import zstandard
+
+    thin = [_thin(x) for x in xs]
+    head = b"".join(struct.pack("<BI", *x.shape) for x in thin)
+    return zstandard.ZstdCompressor(level=1, write_content_size=True).compress(b"".join((bytes([len(xs)]), head, *(x.tobytes() for x in thin))))
+
+
+def _planes(message: bytes) -> list[np.ndarray]:
+    """The byte planes of ``_press``, for ``_wide``."""
+    import zstandard
+
+    flat = zstandard.ZstdDecompressor().decompress(message)
+    at, out = 1 + 5 * flat[0], []
+    for i in range(flat[0]):
+        width, n = struct.unpack_from("<BI", flat, 1 + 5 * i)
+        out.append(np.frombuffer(flat, np.uint8, width * n, at).reshape(width, n))
+        at += width * n
+    return out
+
+
 def token_stream(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(word hashes, tokens of each text); texts end with an end token."""
     h, off, _, _ = shingles.words(column)
@@ -242,7 +265,7 @@ def blocks(chunk: Chunk, train: np.ndarray, hot: Hot, buckets: int) -> Iterator[
     new = _starts(bucket, v)
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
         at = np.flatnonzero(new[a:b])
-        yield int(bucket[a]), _pack(_thin(v[a:b][at]), _thin(np.diff(np.append(at, b - a))), _thin(u[a:b]), _thin(w[a:b]), _thin(c[a:b]))
+        yield int(bucket[a]), _press(v[a:b][at], np.diff(np.append(at, b - a)), u[a:b], w[a:b], c[a:b])
 
 
 @dataclass
@@ -272,7 +295,7 @@ class Types:
 
 def merge(blobs: list[bytes], hot: Hot) -> tuple[bytes, bytes]:
     """A bucket's types from the blocks of all chunks, and where the types of each block are among them."""
-    got = [_unpack(x) for x in blobs]
+    got = [_planes(x) for x in blobs]
     before, at = np.unique(np.concatenate([_wide(x[0]) for x in got]), return_inverse=True)
     v = np.repeat(at.astype(np.int32), np.concatenate([_wide(x[1], np.int32) for x in got]))
     word, w = np.unique(np.concatenate([_wide(x[3]) for x in got]), return_inverse=True)
@@ -504,7 +527,7 @@ def _ask(types: Types, k1: np.ndarray, t1: np.ndarray, groups: int) -> Iterator[
     for g in np.flatnonzero(np.diff(edges)).tolist():
         own, there = order[edges[g] : edges[g + 1]], hot[cuts[g] : cuts[g + 1]]
         at = hw[cuts[g] : cuts[g + 1]] - edges[g]
-        yield g, _pack(_thin(np.diff(types.word[own] // groups, prepend=0)), _thin(k0[own]), _thin(at), _thin(types.heavy[types.gc[there]]), _thin(k1[there]))
+        yield g, _press(np.diff(types.word[own] // groups, prepend=0), k0[own], at, types.heavy[types.gc[there]], k1[there])
 
 
 def _by_group(types: Types, groups: int) -> tuple[np.ndarray, np.ndarray]:
@@ -516,7 +539,7 @@ def _by_group(types: Types, groups: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _answered(types: Types, groups: int, blobs: list[bytes]) -> Upper:
     """What the groups, in order, answered to ``_ask``."""
-    got = [_unpack(x) for x in blobs]
+    got = [_planes(x) for x in blobs]
     order, _ = _by_group(types, groups)
     k0, t0, k1, t1 = (np.concatenate([_wide(x[i]) for x in got]) for i in range(4))
     back = np.empty(len(order), dtype=np.int64)
@@ -530,7 +553,7 @@ def _answered(types: Types, groups: int, blobs: list[bytes]) -> Upper:
 def serve(asked: list[bytes], state: bytes | None, sums: np.ndarray | None, hot: Hot, discounts: tuple | None, v: int, rng: np.random.Generator) -> tuple[list[bytes], bytes, np.ndarray]:
     """Seats the root, and the restaurants of hot previous words, for a group of words: the answers, the
     root's customers and tables, and shared totals.  The first time (no ``state``) every word has one table."""
-    got = [_unpack(x) for x in asked]
+    got = [_planes(x) for x in asked]
     at = [np.cumsum(_wide(x[0])) for x in got]
     size = max(int(a[-1]) for a in at) + 1
     k0 = np.bincount(np.concatenate(at), weights=np.concatenate([_wide(x[1]) for x in got]), minlength=size).astype(np.int64)
@@ -544,7 +567,7 @@ def serve(asked: list[bytes], state: bytes | None, sums: np.ndarray | None, hot:
         t1 = (k1 > 0).astype(np.int64)
     else:
         last = Shared(Totals(*[np.zeros(0)] * 4, int(sums[root + 1]), int(sums[root])), discounts, v)
-        p0 = last.root(*(_wide(x) for x in _unpack(state)))[key // many]
+        p0 = last.root(*(_wide(x) for x in _planes(state)))[key // many]
         t1 = seat(k1, (STRENGTH + discounts[1] * sums[hot.at("t1") + hv]) * p0, discounts[1], rng)
     k0 += np.bincount(key // many, weights=t1, minlength=size).astype(np.int64)
     t0 = (k0 > 0).astype(np.int64) if state is None else seat(k0, np.full(size, last.floor()), discounts[0], rng)
@@ -553,8 +576,8 @@ def serve(asked: list[bytes], state: bytes | None, sums: np.ndarray | None, hot:
     out[root], out[root + 1] = k0.sum(), t0.sum()
     out[hot.at("ones") + 2 :] = [(x == m).sum() for x in (k1, k0) for m in (1, 2)]
     hots = np.cumsum([0, *[x[2].shape[1] for x in got]])
-    answers = [_pack(*(_thin(x) for x in (k0[a], t0[a], k1[which[i:j]], t1[which[i:j]]))) for a, i, j in zip(at, hots[:-1], hots[1:])]
-    return answers, _pack(_thin(k0), _thin(t0)), out
+    answers = [_press(k0[a], t0[a], k1[which[i:j]], t1[which[i:j]]) for a, i, j in zip(at, hots[:-1], hots[1:])]
+    return answers, _press(k0, t0), out
 
 
 def _pair_sums(types: Types, t2: np.ndarray, hot: Hot) -> np.ndarray:
@@ -675,7 +698,7 @@ def parse(rows: DataFrame, groups: int, most: int) -> DataFrame:
             edges = np.searchsorted(_deal(word, groups), np.arange(groups + 1))
             for g in np.flatnonzero(np.diff(edges)).tolist():
                 x, y = edges[g], edges[g + 1]
-                yield g, _WORDS, chunk, _pack(word[x:y], _thin(n[x:y]), _thin(c[x:y]))
+                yield g, _WORDS, chunk, _press(word[x:y], n[x:y], c[x:y])
             chunk += 1
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -690,15 +713,15 @@ def number(groups: int, most: int) -> Callable[[int, Met], Iterator[Row]]:
     """Ids and counts of a group's words, to all chunks that have them; frequent words have small ids."""
 
     def run(group: int, got: Met) -> Iterator[Row]:
-        asked = [_unpack(b) for _, b in got[_WORDS]]
-        word, at = np.unique(np.concatenate([x[0] for x in asked]), return_inverse=True)
+        asked = [_planes(b) for _, b in got[_WORDS]]
+        word, at = np.unique(np.concatenate([_wide(x[0], np.uint64) for x in asked]), return_inverse=True)
         n, c = (np.bincount(at, weights=np.concatenate([_wide(x[i]) for x in asked]), minlength=len(word)).astype(np.int64) for i in (1, 2))
         ids = np.empty(len(word), dtype=np.int64)
         ids[np.argsort(-n, kind="stable")] = np.arange(len(word)) * groups + group
-        cuts = np.cumsum([0, *[len(x[0]) for x in asked]])
+        cuts = np.cumsum([0, *[x[0].shape[1] for x in asked]])
         for (chunk, _), x, y in zip(got[_WORDS], cuts[:-1], cuts[1:]):
             own = at[x:y]
-            yield int(chunk), _IDS, group, _pack(_thin(ids[own]), _thin(n[own]), _thin(c[own]))
+            yield int(chunk), _IDS, group, _press(ids[own], n[own], c[own])
         yield group, _SUMS, 0, _pack(np.array([n.sum(), c.sum(), (c > 0).sum()]))
         if (n > most).any():
             yield group, _HOT, 0, ids[n > most].tobytes()
@@ -710,7 +733,7 @@ def _chunk(got: Met) -> tuple[Chunk, np.ndarray]:
     """A chunk of its codes and the answers of the groups; and its words' training counts."""
     rank, often, start = _unpack(got[_CODES][0][1])
     code = np.argsort(-_wide(often), kind="stable").astype(np.int32)[_wide(rank, np.int32)]
-    told = [_unpack(b) for _, b in got[_IDS]]
+    told = [_planes(b) for _, b in got[_IDS]]
     ids, n, c = (np.concatenate([_wide(x[i]) for x in told]) for i in range(3))
     return Chunk(code, _wide(_unpack(got[_DOCS][0][1])[3]), start, ids, n), c
 
@@ -805,10 +828,10 @@ def _seated(parsed: DataFrame, groups: int, samples: int, bucket_tokens: int, ho
         def run(bucket: int, got: Met) -> Iterator[Row]:
             types = _types(got[_TYPES][0][1])
             upper = _answered(types, groups, [b for _, b in got[_ANSWER]])
-            t2, t1 = (_wide(x) for x in _unpack(got[_SEATS][0][1])) if _SEATS in got else first_tables(types)
+            t2, t1 = (_wide(x) for x in _planes(got[_SEATS][0][1])) if _SEATS in got else first_tables(types)
             last = _given(types, t2, types.customers(t2), t1, sums, hot, discounts, v)
             t2, k1, t1 = lower(types, last, upper, t2, t1, np.random.default_rng((turn, bucket)))
-            yield bucket, _SEATS, turn, _pack(_thin(t2), _thin(t1))
+            yield bucket, _SEATS, turn, _press(t2, t1)
             yield bucket, _SUMS, 0, _pack(_pair_sums(types, t2, hot))
             yield from ((g, _ASK, bucket, b) for g, b in _ask(types, k1, t1, groups))
 
@@ -831,15 +854,15 @@ def _seated(parsed: DataFrame, groups: int, samples: int, bucket_tokens: int, ho
         sources, places = _unpack(got[_PLACES][0][1])
         p = np.zeros(len(types.c))
         for turn, sums in given:
-            t2, t1 = (_wide(x) for x in _unpack(next(b for s, b in got[_SEATS] if s == turn)))
+            t2, t1 = (_wide(x) for x in _planes(next(b for s, b in got[_SEATS] if s == turn)))
             k1 = types.customers(t2)
             upper = _answered(types, groups, [b for _, b in got[_ANSWER + 100 * turn]])
             p += predict(types, t2, k1, t1, _given(types, t2, k1, t1, sums, hot, discounts, v), upper)
-        told = np.log10(p / len(given)).astype(np.float32)
+        told = np.log10(p / len(given)).astype(np.float32).view(np.uint32)
         step, sizes = _unpack(places)
         step, at = _wide(step), 0
         for source, n in zip(sources.tolist(), sizes.tolist()):
-            yield source, _P, bucket, _pack(told[np.cumsum(step[at : at + n])])
+            yield source, _P, bucket, _press(told[np.cumsum(step[at : at + n])])
             at += n
 
     told = [_of(w, _ANSWER).withColumn("kind", F.col("kind") + F.lit(100 * turn)) for turn, _, w, _ in kept]
@@ -854,7 +877,7 @@ def _seated(parsed: DataFrame, groups: int, samples: int, bucket_tokens: int, ho
             k, null, train, _ = _unpack(got[_DOCS][0][1])
             order, first, *_ = chunk.arrange(hot, buckets)
             doc = np.repeat(np.arange(len(k)), chunk.count)
-            p = np.concatenate([_unpack(b)[0] for _, b in got[_P]])
+            p = np.concatenate([_wide(_planes(b)[0], np.uint32).view(np.float32) for _, b in got[_P]])
             p = np.repeat(p, np.diff(np.append(first, len(order)))).astype(np.float64)
             add = lambda at, x: np.bincount(at, weights=x, minlength=len(k))
             yield pd.DataFrame(

@@ -69,6 +69,14 @@ def test_a_hot_word(spark):
     compare(py.score_table(frame(spark, rows), "doc_id", "text").collect(), rows)
 
 
+@pytest.mark.parametrize("most", [0, 255, 256, 70_000, 2**32, 2**63])
+def test_messages_come_back_as_they_were(most):
+    rng = np.random.default_rng(1)
+    sent = [np.zeros(0, np.int64), np.array([most], np.uint64), (rng.random(1000) * most).astype(np.uint64)]
+    got = [py._wide(x, np.uint64) for x in py._planes(py._press(*sent))]
+    assert len(got) == 3 and all(np.array_equal(a, b) for a, b in zip(sent, got))
+
+
 def every_pair(v=30, seed=3):
     """All types of 30 words in six pairs of previous words, most of them unseen."""
     rng = np.random.default_rng(seed)
