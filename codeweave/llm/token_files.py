@@ -35,8 +35,12 @@ MANIFEST = "part int, stem string, width int, n_docs long, n_tokens long"
 
 
 def _open_fs(uri: str):
+    """The file system and path of an address as Spark takes it; Hadoop's names of S3 are those of one scheme here."""
     from pyarrow import fs
 
+    scheme, mark, rest = uri.partition("://")
+    if mark and scheme in ("s3a", "s3n"):
+        uri = f"s3://{rest}"
     system, path = fs.FileSystem.from_uri(uri)
     return system, path
 
@@ -55,7 +59,6 @@ def write_token_files(
 ) -> DataFrame:
     """Encode ``text`` in ascending ``key`` order into ``folder``; returns the staged manifest."""
     spark = df.sparkSession
-    tokens.bound_batches(spark)
     n = runtime.parts_for(df, per_part)
     rows = df.select(
         df[key].cast("long").alias("k"), df[text].alias("t"), F.xxhash64(df[text]).alias("h"),
@@ -93,7 +96,8 @@ def write_token_files(
                 schema=pa.schema([("part", pa.int32()), ("stem", pa.string()), ("width", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]),
             )
 
-    return runtime.stage(rows.mapInArrow(write, MANIFEST), "manifest", f"{folder}/manifest")
+    with tokens.bounded_batches(spark):
+        return runtime.stage(rows.mapInArrow(write, MANIFEST), "manifest", f"{folder}/manifest")
 
 
 def with_bases(manifest: DataFrame) -> DataFrame:

@@ -105,12 +105,11 @@ def test_packing_of_messy_rows(messy):
     check_packing(rows, messy_rows(), 64)
 
 
-def test_merge_rounds_gather_underfull_bins(spark, monkeypatch):
-    from pyspark.sql import functions as F
-
-    monkeypatch.setattr(packing, "MERGE_ITEMS", 300)
-    pieces = spark.range(4000).repartition(16).select(F.col("id").alias("rid"), (F.col("id") * 7919 % 800 + 1).cast("long").alias("length"))
-    got = packing.pack_items(pieces, 1024, 1016).collect()
+@pytest.mark.parametrize("parts", [1, 16])
+def test_merge_rounds_gather_underfull_bins(spark, parts):
+    """Tasks pack 300 items at a time, however many their partition has."""
+    pieces = spark.range(4000).selectExpr("id as rid", "id * 7919 % 800 + 1 as length").repartition(parts)
+    got = packing.pack_items(pieces, 1024, 1016, most=300).collect()
     sizes = {r["rid"]: r["length"] for r in pieces.collect()}
     assert sorted(x for r in got for x in r["rids"]) == sorted(sizes)
     assert all(sum(sizes[x] for x in r["rids"]) <= 1024 for r in got)
