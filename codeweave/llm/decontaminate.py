@@ -33,8 +33,8 @@ from codeweave.llm import shingles, tokens
 
 WIDTH = 5
 VALUES = 64
-#: Bytes of item text in one broadcast index.
-SLICE_BYTES = 4 << 20
+#: Bytes of item text in one broadcast index, which takes some eight times as many in a worker; each slice is one more scan.
+SLICE_BYTES = 16 << 20
 _SEEDS = shingles.seeds(VALUES, 4)
 
 
@@ -159,7 +159,6 @@ def find_items(
     ``th`` is a hash of the document's text.
     """
     spark = df.sparkSession
-    tokens.bound_batches(spark)
     sized = items.select(items[item_key].cast("long").alias("i"), items[item_text].alias("t"), F.coalesce(F.octet_length(items[item_text]), F.lit(0)).cast("long").alias("b")).distinct()
     total = sized.agg(F.sum("b")).first()[0] or 0
     slices = max(1, -(-total // SLICE_BYTES))
@@ -173,9 +172,11 @@ def find_items(
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return out.select(
+    out = out.select(
         "th", F.col("k").alias(key), F.col("i").alias(item_key), "item_shingles", "shared", (F.col("shared") / F.col("item_shingles")).alias("containment")
     )
+    with tokens.bounded_batches(spark):
+        return runtime.stage(out, "found-items")
 
 
 def _matcher(shipped, threshold: float):
@@ -204,6 +205,6 @@ def contaminated(df: DataFrame, key: str, text: str, items: DataFrame, item_key:
 def drop_contaminated(df: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, threshold: float = 0.8) -> DataFrame:
     """The rows of ``df`` that contain no item."""
     hits = find_items(df, key, text, items, item_key, item_text, threshold)
-    hits = runtime.stage(hits.select(F.col(key).alias("_k"), F.col("th").alias("_th")).distinct(), "contaminated")
+    hits = hits.select(F.col(key).alias("_k"), F.col("th").alias("_th")).distinct()
     rows = df.select(F.struct("*").alias("row"), df[key].cast("long").alias("_k"), F.xxhash64(df[text]).alias("_th"))
     return rows.join(hits, rows["_k"].eqNullSafe(hits["_k"]) & (rows["_th"] == hits["_th"]), "left_anti").select("row.*")

@@ -17,7 +17,8 @@ of a group that no pass shrinks, every member is compared with one, and with tho
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and vectors
 with a null label, have no links and are components of their own; vectors of different lengths never
 link; copies link with each other; repeated ids are rows of their own, and a component's id is the
-least id in it; an empty table gives no rows; other columns are ignored.
+least id in it; ids are integers (others are an error of the cast), and a null one is never the least; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

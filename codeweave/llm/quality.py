@@ -13,7 +13,8 @@ their id.  All rows are scored, each by itself, with a model of fixed size.
 
 Defined cases: a null text is an empty one and gets a score; null labels, and labels of unknown ids,
 are left out; of several labels of an id the least counts; without both labels in the sample there
-is nothing to learn and every row scores ``PRIOR``; repeated rows are scored each; an empty table
+is nothing to learn and every row scores ``PRIOR``; repeated rows are scored each; a null id has no label and
+is not held out; ids are integers, or text that holds one, and others are an error of the cast; an empty table
 gives no rows; labels, language, source and id never enter a score.
 """
 
@@ -27,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeweave import runtime
 from codeweave.llm import shingles, tokens
 
 SAMPLE = 16_000
@@ -209,7 +211,6 @@ def _featurise(batches: Iterator[pa.RecordBatch], text: str):
 
 def train(df: DataFrame, labels: DataFrame, key: str, text: str, label: str, usable: Column) -> FactorisationMachine:
     """Fit on at most ``SAMPLE`` labelled rows of ``df`` for which ``usable`` holds."""
-    tokens.bound_batches(df.sparkSession)
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min(label).cast("int").alias("y"))
     known = known.where(usable).select(F.col(key).alias("k"), "y")
     known = known.orderBy(F.xxhash64("k"), "k").limit(SAMPLE)
@@ -231,7 +232,8 @@ def train(df: DataFrame, labels: DataFrame, key: str, text: str, label: str, usa
 
     # An id may repeat without bound; one of its rows is enough, so the bound on labels is one on rows.
     one = rows.mapInArrow(pack, "k long, y int, i binary, v binary").groupBy("k").agg(F.min(F.struct("y", "i", "v")).alias("f"))
-    got = one.select("k", "f.y", "f.i", "f.v").toArrow()
+    with tokens.bounded_batches(df.sparkSession):
+        got = one.select("k", "f.y", "f.i", "f.v").toArrow()
     parts = sorted(zip(*(got.column(c).to_pylist() for c in ("k", "y", "i", "v"))))
     if not parts:
         return fit(np.empty(0, np.int32), np.empty(0, np.float32), np.zeros(1, np.int64), np.empty(0))
@@ -242,9 +244,8 @@ def train(df: DataFrame, labels: DataFrame, key: str, text: str, label: str, usa
 
 
 def scored(df: DataFrame, text: str, model: FactorisationMachine, score: str = "score") -> DataFrame:
-    """(row, score): every row of ``df`` as a struct, and its score."""
+    """(row, score): every row of ``df`` as a struct, and its score; to be run within ``tokens.bounded_batches``."""
     spark = df.sparkSession
-    tokens.bound_batches(spark)
     shipped = spark.sparkContext.broadcast(model)
     rows = df.select(F.struct("*").alias("row"), df[text].alias("t"))
     kind = rows.schema["row"].dataType.simpleString()
@@ -267,8 +268,9 @@ def quality(df: DataFrame, labels: DataFrame, key: str, text: str, label: str =
     """Per row: key, held_out, score, predicted."""
     model = train(df, labels, key, text, label, ~held_out(F.col(key)))
     narrow = df.select(df[key].alias("k"), held_out(df[key]).alias("held_out"), df[text].alias("t"))
-    out = scored(narrow, "t", model)
-    return out.select(
+    out = scored(narrow, "t", model).select(
         F.col("row.k").alias(key), F.col("row.held_out").alias("held_out"), "score",
         (F.col("score") >= CUTOFF).cast("int").alias("predicted"),
     )
+    with tokens.bounded_batches(df.sparkSession):
+        return runtime.stage(out, "quality")

@@ -213,8 +213,3 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 4 <<
 def bounded_batches(spark, rows: int = 500):
     """Arrow batches small enough for very long texts, for the jobs run inside."""
     return runtime.setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
-def bound_batches(spark, rows: int = 500) -> None:
-    """Keep Arrow batches small enough for very long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
