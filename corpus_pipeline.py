@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeweave import runtime
-from codeweave.llm import decontaminate, line_dedup, minhash_dedup, packing, quality
+from codeweave.llm import decontaminate, line_dedup, minhash_dedup, packing, quality, tokens
 from codeweave.llm.queries import table, tokenizer_file
 
 #: Lines that this many documents share go.
 COMMON = 10
-#: Jaccard similarity, in percent, and trees that miss a pair at it with 5e-5.
+#: Jaccard similarity, in percent, and trees that miss a pair at it with 8e-5.
 SIMILAR, TREES = 80, 9
 
 
@@ -75,8 +75,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     before, root = None, f"{runtime.shared_dir(spark)}/codeweave-pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        path = f"{root}/{name}"
-        docs = runtime.stage(stage(spark, docs, sf_dir), name, path)
+        path, since = f"{root}/{name}", runtime.staged()
+        with tokens.bounded_batches(spark):
+            docs = runtime.stage(stage(spark, docs, sf_dir), name, path)
+        runtime.clear(spark, since)
         if before:
             runtime.drop(spark, before)
         before = path
