@@ -32,16 +32,19 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _RUN = T.StructType([T.StructField(c, T.LongType()) for c in ("h1", "h2", "n")])
 
 
-def line_key(line: Column) -> Column:
-    """The line without ASCII white space at its ends, A-Z folded; pure ASCII takes the fast path."""
-    bare = F.btrim(line, F.lit(_SPACE))
-    return F.when(F.octet_length(bare) == F.char_length(bare), F.lower(bare)).otherwise(F.translate(bare, _UPPER, _LOWER))
+def line_keys(lines: Column) -> Column:
+    """The lines without ASCII white space at their ends, A-Z folded; pure ASCII takes the fast path.
+
+    One step a transform, as a lambda evaluates what it names twice.
+    """
+    bare = F.transform(lines, lambda x: F.btrim(x, F.lit(_SPACE)))
+    return F.transform(bare, lambda x: F.when(F.octet_length(x) == F.char_length(x), F.lower(x)).otherwise(F.translate(x, _UPPER, _LOWER)))
 
 
-def line_hash(line: Column, min_chars: int) -> Column:
-    """The 128-bit hash (h1, h2) of a line's key; null for keys of fewer code points."""
-    key = line_key(line)
-    return F.when(F.char_length(key) >= min_chars, F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("line"), key).alias("h2")))
+def line_hashes(lines: Column, min_chars: int) -> Column:
+    """The 128-bit hash (h1, h2) of every line's key; null for keys of fewer code points."""
+    both = lambda key: F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("line"), key).alias("h2"))
+    return F.transform(line_keys(lines), lambda key: F.when(F.char_length(key) >= min_chars, both(key)))
 
 
 def lines_of(text: Column) -> Column:
@@ -133,7 +136,7 @@ def drop_common_lines(
     th = F.xxhash64(df[text])
     hashes = df.select(
         df[key].alias("k"), th.alias("th"), F.pmod(F.xxhash64(df[key], th), F.lit(batches)).cast("int").alias("batch"),
-        F.transform(lines_of(df[text]), lambda x: line_hash(x, min_chars)).alias("hs"),
+        line_hashes(lines_of(df[text]), min_chars).alias("hs"),
     )
     hashes = runtime.stage(hashes, "line-hashes", by="batch")
     runs = LineRuns(spark, threshold, fanout, runtime.parts_for(hashes, BUCKET_BYTES))
