@@ -22,7 +22,8 @@ threshold are not compared, which loses a link with a probability below 1e-6.
 
 Defined cases: a text of fewer words than a shingle has its whole word sequence as its only
 shingle; null, empty and blank texts have none and link with nothing; repeated rows are documents
-of their own; a null id sorts before all others; an empty table gives no rows; other columns are
+of their own; ids are integers, or text that holds one (others are an error of the cast), and a null id sorts
+before all others; an empty table gives no rows; other columns are
 carried by ``keep_one`` whatever their names.
 """
 
@@ -46,12 +47,13 @@ TREES = 6
 BRANCHES = (2, 1, 2, 1, 2, 1, 1, 1)
 DEEPER = (2, 1, 2, 1)
 NODE = 64
-#: Estimated similarity with the leader of a large node from which a member joins its candidate
-#: cluster, and from which it need not branch further.
-STAR, CLOSE = 0.45, 0.8
+#: Estimated similarity with the leader of a large node from which a member joins its candidate cluster.
+STAR = 0.35
 SIGMAS = 5.0
 #: Shingles of a block of a cluster; a task holds two blocks.
 BLOCK = 100_000
+#: Bytes of shingle sets to a task.
+TASK_BYTES = 2 << 20
 #: Minwise values that are compared within a block.
 WITHIN = 128
 LEADERS = 8
@@ -60,6 +62,12 @@ NULL_ID = -(1 << 63)
 _TREE = np.uint64(15)
 
 
+def close_enough(percent: int) -> float:
+    """The estimated similarity with a leader from which a member need not branch further: by the triangle of
+    distances all that it may be linked with are in the leader's candidate cluster, with a tenth to spare."""
+    return STAR + (1 - percent / 100) + 0.1
+
+
 def least_near(percent: int, values: int) -> float:
     """The estimated similarity, over so many minwise values, below which a pair is not compared."""
     j = percent / 100
@@ -202,14 +210,15 @@ def _candidates(reps: DataFrame, trees: int, percent: int) -> DataFrame:
         large = sized.where(F.col("members") > NODE).groupBy("digest", "members").agg(F.min_by(F.struct("node", "leader"), "node").alias("x")).select("x.node", "x.leader")
         if large.isEmpty():
             break
-        rest = entries.join(large, "node")
+        rest = runtime.stage(entries.join(large, "node"), "large-nodes")
         if last:  # what is still large: its members are one candidate cluster
             found.append(rest.select("rid", F.col("leader").alias("root")).distinct())
             break
-        near = runtime.stage(_near_leader(rest, reps), "near-leader")
-        found.append(near.where(F.col("near") >= STAR).select("rid", F.col("leader").alias("root")).distinct())
-        # Members this close to the leader have met whomever they may be linked with; the others branch.
-        entries = runtime.stage(_branch_further(near.where(F.col("near") < CLOSE).select("node", "rid"), reps, level).distinct(), "paths")
+        # Nodes share leaders, so a member is compared with each once, whatever the nodes where they meet.
+        near = runtime.stage(_near_leader(rest.select("rid", "leader").distinct(), reps), "near-leader")
+        found.append(near.where(F.col("near") >= STAR).select("rid", F.col("leader").alias("root")))
+        apart = near.where(F.col("near") < close_enough(percent)).select("rid", "leader")
+        entries = runtime.stage(_branch_further(rest.join(apart, ["rid", "leader"], "left_semi").select("node", "rid"), reps, level).distinct(), "paths")
         level += len(DEEPER)
     out = found[0]
     for more in found[1:]:
@@ -217,16 +226,16 @@ def _candidates(reps: DataFrame, trees: int, percent: int) -> DataFrame:
     return out
 
 
-def _near_leader(rest: DataFrame, reps: DataFrame) -> DataFrame:
-    """(node, rid, leader, near): each member's estimated similarity with the leader of its large node."""
+def _near_leader(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(rid, leader, near): each member's estimated similarity with the leader of a large node."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = (_unpack(batch.column("sig").to_pylist()) == _unpack(batch.column("led").to_pylist())).mean(axis=1)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "rid", "leader")), pa.array(near)], names=["node", "rid", "leader", "near"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rid", "leader")), pa.array(near)], names=["rid", "leader", "near"])
 
-    both = rest.join(reps.select("rid", "sig"), "rid").join(reps.select(F.col("rid").alias("leader"), F.col("sig").alias("led")), "leader")
-    return both.select("node", "rid", "leader", "sig", "led").mapInArrow(compare, "node long, rid long, leader long, near double")
+    both = pairs.join(reps.select("rid", "sig"), "rid").join(reps.select(F.col("rid").alias("leader"), F.col("sig").alias("led")), "leader")
+    return both.select("rid", "leader", "sig", "led").mapInArrow(compare, "rid long, leader long, near double")
 
 
 def _compare_nodes(own: DataFrame, percent: int) -> DataFrame:
@@ -296,7 +305,9 @@ def _confirm(sets: DataFrame, percent: int) -> DataFrame:
         root, rid = link_sets(flat, off, percent), frame["rid"].to_numpy()
         return pd.DataFrame({"rid": rid, "root": rid[root]})
 
-    first = runtime.stage(keyed.groupBy("cluster", "block").applyInPandas(within, "rid long, root long"), "within")
+    # A fixed number of partitions: comparing costs far more than its bytes tell.
+    dealt = keyed.repartition(runtime.parts_for(keyed, TASK_BYTES), "cluster", "block")
+    first = runtime.stage(dealt.groupBy("cluster", "block").applyInPandas(within, "rid long, root long"), "within")
     edges = first.where("rid <> root")
     large = keyed.where("nb > 1")
     if large.isEmpty():
