@@ -134,21 +134,21 @@ def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     The distributed counterpart of ``topological_order``: levels are barriers, and (level, node) is a
     valid order, though not the same one.  Nodes on a cycle, or above one, get no row.
     """
-    left = runtime.stage(edges.select("src", "dst").distinct(), "edges")
-    todo = runtime.stage(nodes.select("node").distinct(), "nodes")
-    done: list[DataFrame] = []
-    while not todo.isEmpty():
-        held = left.select(F.col("src").alias("node")).distinct()
-        ready = runtime.stage(todo.join(held, "node", "left_anti").withColumn("level", F.lit(len(done))), "ready")
-        if ready.isEmpty():
-            break
-        done.append(ready)
-        todo = runtime.stage(todo.join(ready, "node", "left_anti"), "nodes")
-        left = runtime.stage(left.join(ready, left["dst"] == ready["node"], "left_anti"), "edges")
-    out = todo.limit(0).withColumn("level", F.lit(0))
-    for more in done:
-        out = out.unionByName(more)
-    return out
+    nodes = nodes.select("node").distinct()
+    left = runtime.stage(edges.select("src", "dst").distinct().join(nodes.withColumnRenamed("node", "src"), "src", "left_semi"), "edges")
+    ready = runtime.stage(nodes.join(left.select(F.col("src").alias("node")), "node", "left_anti").withColumn("level", F.lit(0)), "ready")
+    out = ready
+    level = 0
+    while not ready.isEmpty():
+        level += 1
+        met = ready.select(F.col("node").alias("dst"))
+        freed = left.join(met, "dst", "left_semi").select(F.col("src").alias("node")).distinct()
+        left = runtime.stage(left.join(met, "dst", "left_anti"), "edges")
+        # A node is ready when its last edge has gone.
+        ready = freed.join(left.select(F.col("src").alias("node")), "node", "left_anti").withColumn("level", F.lit(level))
+        ready = runtime.stage(ready, "ready")
+        out = out.unionByName(ready)
+    return out.select("node", "level")
 
 
 def depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
