@@ -77,6 +77,15 @@ def test_messages_come_back_as_they_were(most):
     assert len(got) == 3 and all(np.array_equal(a, b) for a, b in zip(sent, got))
 
 
+def test_order_of_keys_that_fit_no_word():
+    """Chunks of very long texts sort by several keys instead of one of 64 bits."""
+    rng = np.random.default_rng(3)
+    a, b, c = (rng.integers(0, 9, 500) for _ in range(3))
+    for n in (9, 1 << 30):
+        at = py._order((a, n), (b, n), (c, n))
+        assert sorted(at) == list(range(500)) and list(zip(a[at], b[at], c[at])) == sorted(zip(a, b, c))
+
+
 def every_pair(v=30, seed=3):
     """All types of 30 words in six pairs of previous words, most of them unseen."""
     rng = np.random.default_rng(seed)
