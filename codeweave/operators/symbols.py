@@ -49,13 +49,15 @@ def ground(claims: DataFrame, declared: DataFrame, files: DataFrame) -> DataFram
     a match keeps its reference, and ``grounded`` is false.
     """
     own = declared.join(files.select("module_id", "path").distinct(), "path").select(
-        "module_id", "name", F.col("signature").alias("declared_as"), F.struct("path", F.col("ord").alias("at")).alias("place"), text.ref(F.col("path"), F.col("line_start")).alias("found")
+        "module_id", "name", "signature", F.struct("path", F.col("ord").alias("at")).alias("place"), text.ref(F.col("path"), F.col("line_start")).alias("found")
     )
-    fits = (F.coalesce(F.col("signature"), F.lit("")) == "") | (F.col("signature") == F.col("declared_as"))
-    best = claims.select("module_id", "ord", "name", "signature").join(own, ["module_id", "name"]).where(fits)
-    best = best.groupBy("module_id", "ord").agg(F.min_by("found", "place").alias("found"))
-    out = claims.join(best, ["module_id", "ord"], "left")
-    return out.select(*[F.coalesce("found", "ref").alias("ref") if c == "ref" else F.col(c) for c in claims.columns], F.col("found").isNotNull().alias("grounded"))
+    # The first declaration of each signature, then of each name, so a claim meets one row of either, not all of its name.
+    exact = own.groupBy("module_id", "name", "signature").agg(F.min_by(F.struct("place", "found"), "place").alias("one"))
+    named = exact.groupBy("module_id", "name").agg(F.min_by("one.found", "one.place").alias("_named"))
+    exact = exact.select("module_id", "name", "signature", F.col("one.found").alias("_exact"))
+    out = claims.join(named, ["module_id", "name"], "left").join(exact, ["module_id", "name", "signature"], "left")
+    found = F.when(F.coalesce(F.col("signature"), F.lit("")) == "", F.col("_named")).otherwise(F.col("_exact"))
+    return out.select(*[F.coalesce(found, "ref").alias("ref") if c == "ref" else F.col(c) for c in claims.columns], found.isNotNull().alias("grounded"))
 
 
 def declared_functions(index: DataFrame) -> DataFrame:
